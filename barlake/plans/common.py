@@ -18,12 +18,18 @@ from barlake.operators.clean import clean_bars
 DIGITS = 6
 
 
+# Rounding boundary just below one half: prices and counts are short decimals,
+# so their exact quotients often sit on a decimal tie (x.xxxxxx5) that two
+# engines reach from opposite sides; a boundary off the decimal grid avoids it.
+OFFSET = 0.499755859375
+
+
 def round_half_up(c, digits: int = DIGITS):
-    """``floor(x·10^d + 0.5) / 10^d``: plain IEEE arithmetic, so Spark and the
-    oracle round a bit-identical input to a bit-identical output (Spark's
+    """``floor(x·10^d + offset) / 10^d``: plain IEEE arithmetic, so Spark and
+    the oracle round a bit-identical input to a bit-identical output (Spark's
     ``round`` works on the decimal string and differs on exact binary ties)."""
     scale = float(10 ** digits)
-    return F.floor(c * scale + 0.5) / scale
+    return F.floor(c * scale + OFFSET) / scale
 
 
 def finalize(df: DataFrame, digits: int = DIGITS, overrides: dict | None = None) -> DataFrame:
@@ -107,7 +113,7 @@ def rnd(cols, digits: int = DIGITS) -> str:
 
 
 def rnd_expr(expr: str, digits: int = DIGITS) -> str:
-    return f"floor(({expr}) * 1e{digits} + CAST(0.5 AS DOUBLE)) / 1e{digits}"
+    return f"floor(({expr}) * 1e{digits} + CAST(0.499755859375 AS DOUBLE)) / 1e{digits}"
 
 
 W = "PARTITION BY stock_code ORDER BY date"

