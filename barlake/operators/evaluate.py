@@ -17,6 +17,7 @@ import math
 import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from barlake.functions.ranks import row_position, top_n_per_group
 from barlake.functions.windows import KEY, TIME, safe_corr
@@ -98,9 +99,12 @@ def information_ratio(df: DataFrame, y: str = "y", p: str = "p", by=("model",),
 
 
 def portfolio_metrics(df: DataFrame, y: str = "y", p: str = "p", by=("model",), cap: int = 10,
-                      tie=(F.col(TIME).desc(), F.col(KEY).desc())) -> DataFrame:
-    """Mean true return of the N best predictions and its mean/std ratio."""
+                      tie=None) -> DataFrame:
+    """Mean true return of the N best predictions and its mean/std ratio.
+
+    Ties among equal predictions break on (date, instrument) descending."""
     by = list(by)
+    tie = tie if tie is not None else (F.col(TIME).desc(), F.col(KEY).desc())
     n = df.groupBy(*by).agg(F.count(F.lit(1)).alias("_n"))
     ranked = top_n_per_group(df, by, [F.col(p).desc(), *tie], cap, out="_r", salt_col=None)
     j = ranked.join(n, by).where(
@@ -136,7 +140,7 @@ def durbin_watson(df: DataFrame, y: str = "y", p: str = "p", by=("model",), key:
                     ((dw >= 1.5) & (dw <= 2.5)).alias("no_autocorrelation"))
 
 
-@F.pandas_udf("double")
+@F.pandas_udf(T.DoubleType())
 def _chi2_1_sf(x: pd.Series) -> pd.Series:
     return x.map(lambda v: math.erfc(math.sqrt(v / 2.0)) if v is not None and v == v and v >= 0 else None)
 

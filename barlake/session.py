@@ -28,9 +28,12 @@ def get_session(master: str | None = None, shuffle_partitions: int | None = None
     ``shuffle_partitions`` to the data (about 128 MB of shuffle per partition).
     """
     b = SparkSession.builder.appName(app_name)
+    conf = dict(BASE_CONF)
     if master:
         b = b.master(master)
-    conf = dict(BASE_CONF)
+        if master.startswith("local"):
+            # local mode: the driver JVM is the only executor
+            conf.setdefault("spark.driver.memory", os.environ.get("BARLAKE_DRIVER_MEMORY", "16g"))
     if shuffle_partitions:
         conf["spark.sql.shuffle.partitions"] = str(shuffle_partitions)
     conf.update(extra or {})
