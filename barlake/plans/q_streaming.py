@@ -1 +1,123 @@
-"""Catalog family (filled in below)."""
+"""Catalog: Structured Streaming queries (Z1-Z5, N6), each drained with availableNow.
+
+Every run writes into a fresh sub-folder of the shared checkpoint directory
+(sink data + streaming checkpoint) and returns the sink read back as a batch
+DataFrame. In append mode only windows closed by the watermark (10 minutes
+behind the newest tick) are emitted; the oracles apply the same rule.
+"""
+
+from __future__ import annotations
+
+import uuid
+
+from pyspark.sql import functions as F
+
+from barlake.functions.windows import DEFAULT as S
+from barlake.functions.windows import div
+from barlake.operators import models as M
+from barlake.plans.catalog import register
+from barlake.plans.common import BAR_SQL, finalize, rnd, rnd_expr
+from barlake.plans.q_recursive import ema_cte
+from barlake.session import scratch_path
+from barlake.streaming import bars as ZB
+from barlake.streaming import state as ZS
+
+CLOSED = "date + INTERVAL 1 HOUR <= (SELECT max(ts) FROM events WHERE value IS NOT NULL) - INTERVAL 10 MINUTE"
+
+
+def _scratch(spark, name):
+    return scratch_path(spark, f"stream/{name}/{uuid.uuid4().hex}")
+
+
+def _bars_to_folder(spark, d, root):
+    ticks = ZB.tick_stream(spark, d, glob="events.parquet")
+    ZB.run_to_folder(ZB.stream_bars(ticks), f"{root}/bars", f"{root}/ck_bars")
+    return f"{root}/bars"
+
+
+@register("stream_bars", f"""
+WITH b AS ({BAR_SQL['events']})
+SELECT stock_code, date, {rnd(['open', 'high', 'low', 'close', 'volume'])}, {rnd(['amount'], 4)}
+FROM b WHERE {CLOSED}""", ids="Z1")
+def q_stream_bars(spark, d):
+    root = _scratch(spark, "bars")
+    return finalize(spark.read.parquet(_bars_to_folder(spark, d, root)), overrides={"amount": 4})
+
+
+@register("stream_late_ticks", f"""
+WITH b AS ({BAR_SQL['events'].replace('WHERE value IS NOT NULL', "WHERE ts >= TIMESTAMP '2024-01-15' AND value IS NOT NULL")})
+SELECT stock_code, date, {rnd(['close', 'volume'])} FROM b WHERE {CLOSED}""", ids="Z2")
+def q_stream_late(spark, d):
+    """Newer ticks arrive first, older ones in a second micro-batch: the old
+    ones are behind the watermark and are dropped, not merged into bars."""
+    root = _scratch(spark, "late")
+    ev = spark.read.parquet(f"{d}/events.parquet")
+    cut = F.lit("2024-01-15 00:00:00").cast("timestamp_ntz")
+    ev.where(F.col("ts") >= cut).write.mode("append").parquet(f"{root}/in")
+    ticks = ZB.tick_stream(spark, f"{root}/in", glob="*.parquet")
+    ZB.run_to_folder(ZB.stream_bars(ticks), f"{root}/bars", f"{root}/ck")
+    # the older ticks arrive afterwards; the restarted query resumes from its
+    # checkpoint (watermark included) and drops them as late
+    ev.where(F.col("ts") < cut).write.mode("append").parquet(f"{root}/in")
+    ticks = ZB.tick_stream(spark, f"{root}/in", glob="*.parquet")
+    ZB.run_to_folder(ZB.stream_bars(ticks), f"{root}/bars", f"{root}/ck")
+    return finalize(spark.read.parquet(f"{root}/bars").select("stock_code", "date", "close", "volume"))
+
+
+@register("stream_rolling", f"""
+WITH t AS (SELECT event_type AS stock_code, value, ts, date_trunc('hour', ts) AS h FROM events
+           WHERE value IS NOT NULL AND ts IS NOT NULL),
+x AS (SELECT stock_code, value, h - to_hours(k) AS window_start FROM t, (SELECT unnest([0, 1, 2]) AS k)),
+w AS (SELECT stock_code, window_start, window_start + INTERVAL 3 HOUR AS window_end, avg(value) AS mean_value,
+             count(*) AS n_ticks FROM x GROUP BY 1, 2)
+SELECT stock_code, window_start, window_end, {rnd(['mean_value'])}, n_ticks FROM w
+WHERE window_end <= (SELECT max(ts) FROM events WHERE value IS NOT NULL) - INTERVAL 10 MINUTE""", ids="Z5")
+def q_stream_rolling(spark, d):
+    root = _scratch(spark, "rolling")
+    ticks = ZB.tick_stream(spark, d, glob="events.parquet")
+    ZB.run_to_folder(ZB.stream_rolling(ticks), f"{root}/out", f"{root}/ck")
+    return finalize(spark.read.parquet(f"{root}/out"))
+
+
+_EMA_SQL = (f"WITH RECURSIVE b AS ({BAR_SQL['events']}),\n"
+            f"closed AS (SELECT * FROM b WHERE {CLOSED}),\n"
+            "src AS (SELECT stock_code, date, close, row_number() OVER (PARTITION BY stock_code ORDER BY date) AS rn "
+            "FROM closed)" + ema_cte("e", "src", "close", 10) +
+            f"\nSELECT src.stock_code, src.date, {rnd(['src.close'])[:-len(' AS src.close')]} AS close, "
+            f"{rnd_expr('e.e')} AS ema_10 FROM src LEFT JOIN e USING (stock_code, rn)")
+
+
+@register("stream_ema", _EMA_SQL, check="REC", ids="Z3")
+def q_stream_ema(spark, d):
+    root = _scratch(spark, "ema")
+    folder = _bars_to_folder(spark, d, root)
+    schema = spark.read.parquet(folder).schema
+    out = ZS.stream_ema(ZS.bar_stream(spark, folder, schema), 10)
+    ZB.run_to_folder(out, f"{root}/ema", f"{root}/ck_ema")
+    return finalize(spark.read.parquet(f"{root}/ema"))
+
+
+def _score_features(df):
+    return df.withColumns({"return_1d": S.pct_change("close", 1),
+                           "ma_gap": div("close", S.mean("close", 5)) - 1,
+                           "range_ratio": div(F.col("high") - F.col("low"), "close")})
+
+
+@register("stream_scores", None, check="ROWS", ids="Z4 N6")
+def q_stream_scores(spark, d):
+    """Real-time scoring: a ridge model fit on batch bars scores each streamed
+    micro-batch of bars with a 10-bar look-back buffer."""
+    from barlake.plans.common import clean_panel
+    from barlake.operators.splits import next_return_label
+    feats = ["return_1d", "ma_gap", "range_ratio"]
+    hist = next_return_label(_score_features(clean_panel(spark, d)))
+    model = M.fit("ridge", hist, feats, "target_return_1d")
+    root = _scratch(spark, "scores")
+    folder = _bars_to_folder(spark, d, root)
+    schema = spark.read.parquet(folder).schema
+    stream = spark.readStream.schema(schema).option("maxFilesPerTrigger", 4).parquet(folder)
+    body = ZS.scoring_batch_fn(model, _score_features, f"{root}/pred", f"{root}/buffer", lookback=10)
+    q = (stream.writeStream.foreachBatch(body).option("checkpointLocation", f"{root}/ck_score")
+         .trigger(availableNow=True).start())
+    q.awaitTermination()
+    return finalize(spark.read.parquet(f"{root}/pred"))

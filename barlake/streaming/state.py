@@ -1,0 +1,112 @@
+"""Stateful per-instrument indicators over a bar stream (Z3) and
+micro-batch scoring (Z4, real-time prediction).
+
+Z3 keeps, per instrument, (bars seen, sum of the first n closes, current EMA,
+last bar time) in the state store; each micro-batch's bars of an instrument
+are processed in time order, so the streamed EMA equals the batch EMA of
+:func:`barlake.operators.recursive.ema_seeded` over the same bars.
+
+Z4 scores each micro-batch in ``foreachBatch``: the new bars are unioned with
+a bounded look-back buffer (the last ``lookback`` bars per instrument, kept
+as a table in the shared checkpoint folder), window features are computed on
+that union, the new rows are scored and appended, and the buffer is replaced.
+Outputs are keyed by batch id, so a retried batch overwrites its own files.
+"""
+
+from __future__ import annotations
+
+from collections.abc import Iterator
+
+import pandas as pd
+from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import functions as F
+from pyspark.sql import types as T
+from pyspark.sql.streaming.state import GroupStateTimeout
+
+from barlake.functions.windows import KEY, TIME
+
+
+def ema_state_fn(n: int):
+    alpha = 2.0 / (n + 1)
+
+    def fn(key, pdfs: Iterator[pd.DataFrame], state) -> Iterator[pd.DataFrame]:
+        if state.exists:
+            seen, seed_sum, ema, last = state.get
+        else:
+            seen, seed_sum, ema, last = 0, 0.0, None, None
+        frames = [p for p in pdfs if len(p)]
+        if not frames:
+            return
+        bars = pd.concat(frames).sort_values(TIME, kind="stable")
+        out_ema = []
+        for d, c in zip(bars[TIME], bars["close"]):
+            if last is not None and d <= last:
+                out_ema.append(None)          # duplicate or out-of-order bar: not re-applied
+                continue
+            seen += 1
+            if seen < n:
+                seed_sum += c
+                out_ema.append(None)
+            elif seen == n:
+                seed_sum += c
+                ema = seed_sum / n
+                out_ema.append(ema)
+            else:
+                ema = alpha * c + (1 - alpha) * ema
+                out_ema.append(ema)
+            last = d
+        state.update((seen, seed_sum, ema, last))
+        yield pd.DataFrame({KEY: key[0], TIME: bars[TIME].values, "close": bars["close"].values,
+                            f"ema_{n}": pd.Series(out_ema, dtype="float64").values})
+
+    return fn
+
+
+def stream_ema(bars: DataFrame, n: int = 10) -> DataFrame:
+    """Z3: streaming SMA-seeded EMA(n) of bar closes per instrument."""
+    out_schema = T.StructType([T.StructField(KEY, T.StringType()), T.StructField(TIME, T.TimestampNTZType()),
+                               T.StructField("close", T.DoubleType()), T.StructField(f"ema_{n}", T.DoubleType())])
+    state_schema = T.StructType([T.StructField("seen", T.LongType()), T.StructField("seed_sum", T.DoubleType()),
+                                 T.StructField("ema", T.DoubleType()), T.StructField("last", T.TimestampNTZType())])
+    return (bars.select(KEY, TIME, "close").groupBy(KEY)
+            .applyInPandasWithState(ema_state_fn(n), out_schema, state_schema, "append",
+                                    GroupStateTimeout.NoTimeout))
+
+
+def bar_stream(spark: SparkSession, folder: str, schema: T.StructType) -> DataFrame:
+    """Bars written by a Z1 query, read back as a stream (one file per batch)."""
+    return spark.readStream.schema(schema).parquet(folder)
+
+
+def scoring_batch_fn(model, features_fn, out: str, buffer_root: str, lookback: int):
+    """The foreachBatch body (see module doc)."""
+    def run(batch: DataFrame, batch_id: int) -> None:
+        spark = batch.sparkSession
+        prev = _latest_buffer(spark, buffer_root, batch_id)
+        new = batch.withColumn("_new", F.lit(True))
+        hist = new if prev is None else prev.withColumn("_new", F.lit(False)).unionByName(new)
+        feats = features_fn(hist)
+        scored = _score(model, feats.where("_new"))
+        scored.withColumn("batch_id", F.lit(batch_id)).write.mode("overwrite") \
+            .parquet(f"{out}/batch_id={batch_id}")
+        w = Window.partitionBy(KEY).orderBy(F.col(TIME).desc())
+        keep = hist.drop("_new").withColumn("_r", F.row_number().over(w)).where(F.col("_r") <= lookback).drop("_r")
+        keep.write.mode("overwrite").parquet(f"{buffer_root}/buffer_{batch_id:012d}")
+    return run
+
+
+def _latest_buffer(spark, root, batch_id):
+    jvm = spark._jvm
+    p = jvm.org.apache.hadoop.fs.Path(root)
+    fs = p.getFileSystem(spark._jsc.hadoopConfiguration())
+    if not fs.exists(p):
+        return None
+    names = sorted(s.getPath().getName() for s in fs.listStatus(p)
+                   if s.getPath().getName().startswith("buffer_")
+                   and int(s.getPath().getName().split("_")[1]) < batch_id)
+    return spark.read.parquet(f"{root}/{names[-1]}") if names else None
+
+
+def _score(model, df):
+    from barlake.operators import models as M
+    return M.predict(model, df, keep=[KEY, TIME, "close"])
