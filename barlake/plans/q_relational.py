@@ -1 +1,171 @@
-"""Catalog family (filled in below)."""
+"""Catalog: joins, unions, grouped stats, rollups, universes, calendars, sinks, sequences."""
+
+from __future__ import annotations
+
+import uuid
+
+from pyspark.sql import functions as F
+
+from barlake.operators import relational as J
+from barlake.plans.catalog import register
+from barlake.plans.common import BAR_SQL, W, clean_panel, finalize, rnd, rnd_expr, with_bars
+from barlake.plans.q_eval import PRED_SQL, wide_predictions
+from barlake.session import scratch_path
+from barlake.sources import files as IO
+from barlake.sources.panels import load_panel, table
+
+
+@register("key_join", PRED_SQL + f"""
+SELECT w.stock_code, w.date, {rnd_expr('w.momentum')} AS momentum,
+       {rnd_expr('c.volume')} AS volume, {rnd_expr('w.y')} AS y
+FROM wide w JOIN clean c USING (stock_code, date) WHERE w.y IS NOT NULL""", ids="J1")
+def q_key_join(spark, d):
+    w = wide_predictions(spark, d).select("stock_code", "date", "momentum", "y").where("y IS NOT NULL")
+    bars = clean_panel(spark, d).select("stock_code", "date", "volume")
+    return finalize(J.key_join(w.select("stock_code", "date", "momentum"), bars, w.select("stock_code", "date", "y")))
+
+
+@register("asof_previous_bar", f"""
+WITH b AS ({BAR_SQL['events']})
+SELECT e.event_id, {rnd_expr('e.value')} AS value, b.date AS prev_bar_date, {rnd_expr('b.close')} AS prev_close
+FROM events e ASOF LEFT JOIN b ON e.event_type = b.stock_code AND e.ts >= b.date + INTERVAL 1 HOUR
+WHERE e.value IS NOT NULL AND e.ts IS NOT NULL""", ids="J5")
+def q_asof(spark, d):
+    ev = table(spark, d, "events").where(F.col("value").isNotNull() & F.col("ts").isNotNull())
+    bars = load_panel(spark, d)
+    out = J.asof_previous_bar(ev.select("event_id", "event_type", "ts", "value"), bars)
+    return finalize(out.select("event_id", "value", "prev_bar_date", "prev_close"))
+
+
+@register("union_panels", f"""
+WITH a AS ({BAR_SQL['events']}), c AS ({BAR_SQL['nations']})
+SELECT 'events' AS panel, count(*) AS bars, count(amount) AS with_amount FROM a
+UNION ALL SELECT 'nations', count(*), 0 FROM c""", ids="C1 C2")
+def q_union(spark, d):
+    a = load_panel(spark, d, "events")
+    c = load_panel(spark, d, "nations").drop("amount").withColumn("date", F.col("date").cast("timestamp_ntz"))
+    u = J.union_panels({"events": a, "nations": c})
+    return u.groupBy("panel").agg(F.count(F.lit(1)).alias("bars"), F.count("amount").alias("with_amount"))
+
+
+@register("stock_stats", with_bars() + f""",
+m AS (SELECT *, CASE WHEN count(close) OVER ({W} ROWS BETWEEN 4 PRECEDING AND CURRENT ROW) = 5
+                     THEN avg(close) OVER ({W} ROWS BETWEEN 4 PRECEDING AND CURRENT ROW) END AS ma5 FROM clean)
+SELECT stock_code, count(*) AS days, {rnd_expr('avg(close)')} AS mean_close, {rnd_expr('stddev_samp(close)')} AS std_close,
+       {rnd_expr('max(high)')} AS max_high, {rnd_expr('min(low)')} AS min_low, {rnd_expr('arg_max(ma5, date)')} AS last_ma5
+FROM m GROUP BY stock_code""", ids="A1")
+def q_stock_stats(spark, d):
+    return finalize(J.instrument_stats(clean_panel(spark, d)))
+
+
+@register("coverage_rollup", with_bars("nations") + """
+SELECT year(date) AS year, month(date) AS month, count(*) AS bars, count(DISTINCT stock_code) AS instruments
+FROM clean GROUP BY ROLLUP (year(date), month(date))""", ids="A2")
+def q_rollup(spark, d):
+    return finalize(J.coverage_rollup(clean_panel(spark, d, "nations")))
+
+
+_UNIV = """
+u AS (SELECT CAST(n_nationkey AS VARCHAR) AS con_code, coalesce(c, 0) / sum(coalesce(c, 0)) OVER () AS weight
+      FROM nation JOIN region ON n_regionkey = r_regionkey
+      LEFT JOIN (SELECT c_nationkey, count(*) AS c FROM customer GROUP BY 1) cc ON cc.c_nationkey = n_nationkey
+      WHERE r_name = 'ASIA')"""
+
+
+def _universe(spark, d):
+    return J.region_universe(table(spark, d, "nation"), table(spark, d, "region"), table(spark, d, "customer"), "ASIA")
+
+
+@register("constituents", "WITH" + _UNIV + f"\nSELECT DISTINCT con_code AS stock_code, {rnd_expr('weight')} AS weight FROM u",
+          ids="S14")
+def q_constituents(spark, d):
+    return finalize(IO.constituents(_universe(spark, d)))
+
+
+@register("semi_universe", with_bars("nations") + "," + _UNIV + f"""
+SELECT stock_code, date, {rnd(['close'])} FROM clean WHERE stock_code IN (SELECT con_code FROM u)
+  AND date BETWEEN DATE '1996-01-01' AND DATE '1997-12-31'""", ids="S12 S13 S17 J3")
+def q_semi_universe(spark, d):
+    uni = IO.constituents(_universe(spark, d))
+    out = IO.load_bar_range(clean_panel(spark, d, "nations"), uni, "1996-01-01", "1997-12-31", ["close"])
+    return finalize(out)
+
+
+@register("index_series", with_bars() + f"""
+SELECT stock_code, date, {rnd(['open', 'high', 'low', 'close', 'volume'])}, {rnd(['amount'], 4)} FROM clean
+WHERE stock_code = 'purchase' AND CAST(date AS DATE) BETWEEN DATE '2024-01-10' AND DATE '2024-01-20'""", ids="S18")
+def q_index_series(spark, d):
+    return finalize(IO.load_index_series(clean_panel(spark, d), "purchase", "2024-01-10", "2024-01-20"),
+                    overrides={"amount": 4})
+
+
+_CAL = with_bars("nations") + """,
+days AS (SELECT DISTINCT CAST(date AS DATE) AS d FROM clean),
+cal AS (SELECT strftime(g.d, '%Y%m%d') AS cal_date, CASE WHEN days.d IS NULL THEN 0 ELSE 1 END AS is_open
+        FROM (SELECT CAST(unnest(generate_series(min(d), max(d), INTERVAL 1 DAY)) AS DATE) AS d FROM days) g
+        LEFT JOIN days ON g.d = days.d)"""
+
+
+@register("latest_trading_date", _CAL + """,
+today AS (SELECT max(d) AS t FROM days)
+SELECT max(strptime(cal_date, '%Y%m%d')::DATE) AS latest_trading_date FROM cal, today
+WHERE is_open = 1 AND strptime(cal_date, '%Y%m%d')::DATE BETWEEN t - INTERVAL 10 DAY AND t""", ids="S10")
+def q_latest_trading(spark, d):
+    bars = clean_panel(spark, d, "nations")
+    cal = J.trading_calendar(bars)
+    today = bars.agg(F.max(F.to_date("date"))).scalar()
+    return IO.latest_trading_date(cal, today=today)
+
+
+@register("weekday_fallback", with_bars("nations") + """
+SELECT DISTINCT CAST(date AS DATE) AS d, CAST(date AS DATE) - CAST(greatest(isodow(date) - 1 - 4, 0) AS INTEGER) AS trading_day
+FROM clean""", ids="S11")
+def q_weekday(spark, d):
+    days = clean_panel(spark, d, "nations").select(F.to_date("date").alias("d")).distinct()
+    return days.withColumn("trading_day", IO.weekday_fallback("d"))
+
+
+@register("save_reload_csv", with_bars() + f"""
+SELECT stock_code, CAST(date AS DATE) AS date, {rnd(['open', 'close', 'high', 'low', 'volume'])}, {rnd(['amount'], 4)}
+FROM clean""", ids="K1 K4 K8 S1 S3 S6 S7 S8")
+def q_save_reload(spark, d):
+    """Write the panel as a vendor-style CSV (localised headers, daily dates),
+    read it back through the standardising reader."""
+    path = scratch_path(spark, f"csv/{uuid.uuid4().hex}")
+    bars = clean_panel(spark, d).withColumn("date", F.date_format("date", "yyyy-MM-dd"))
+    inv = {v: k for k, v in IO.COLUMN_MAP.items()}
+    bars.select(*[F.col(c).alias(inv.get(c, c)) for c in bars.columns]).write.option("header", True).csv(path)
+    back = IO.read_bars(spark, path, fmt="csv")
+    return finalize(back.select("stock_code", "date", "open", "close", "high", "low", "volume", "amount"),
+                    overrides={"amount": 4})
+
+
+@register("partitioned_sink", with_bars("nations") + """
+SELECT year(date) AS year, count(*) AS bars FROM clean GROUP BY 1""", ids="K1 K7")
+def q_partitioned_sink(spark, d):
+    path = scratch_path(spark, f"panel/{uuid.uuid4().hex}")
+    IO.save_bars(clean_panel(spark, d, "nations"), path)
+    back = spark.read.parquet(path)
+    return back.groupBy(F.col("year").cast("bigint").alias("year")).agg(F.count(F.lit(1)).alias("bars"))
+
+
+@register("cached_stage", None, check="ROWS", ids="S16")
+def q_cached_stage(spark, d):
+    root = scratch_path(spark, f"cache/{uuid.uuid4().hex}")
+    first = IO.cached_stage(spark, clean_panel(spark, d), root, "bars_events")
+    again = IO.cached_stage(spark, clean_panel(spark, d), root, "bars_events")
+    return again.groupBy("stock_code").agg(F.count(F.lit(1)).alias("bars")).join(
+        first.groupBy("stock_code").agg(F.count(F.lit(1)).alias("bars_first")), "stock_code")
+
+
+@register("sequence_windows", with_bars() + f""",
+s AS (SELECT stock_code, date, list([close, volume]) OVER ({W} ROWS BETWEEN 29 PRECEDING AND CURRENT ROW) AS sq,
+             lead(close) OVER ({W}) AS target FROM clean)
+SELECT stock_code, date, len(sq) AS seq_len, {rnd_expr('sq[1][1]')} AS first_close,
+       {rnd_expr('sq[30][1]')} AS last_close, {rnd_expr('target')} AS target
+FROM s WHERE len(sq) = 30 AND target IS NOT NULL""", ids="G13")
+def q_sequences(spark, d):
+    s = J.sequence_windows(clean_panel(spark, d), ["close", "volume"], "close", 30)
+    return finalize(s.select("stock_code", "date", F.size("sequence").cast("bigint").alias("seq_len"),
+                             F.col("sequence")[0][0].alias("first_close"),
+                             F.element_at("sequence", -1)[0].alias("last_close"), "target"))

@@ -152,8 +152,14 @@ def constituents(table: DataFrame, code: str = "con_code", weight: str = "weight
 
 
 def latest_trading_date(calendar: DataFrame, today=None, days: int = 10) -> DataFrame:
-    """Newest open day (``is_open = 1``) within the last ``days`` days."""
-    today = F.current_date() if today is None else F.to_date(F.lit(today))
+    """Newest open day (``is_open = 1``) within the last ``days`` days.
+
+    ``today`` is a date string, a Column (e.g. a scalar subquery) or None
+    for the current date."""
+    if today is None:
+        today = F.current_date()
+    elif isinstance(today, str):
+        today = F.to_date(F.lit(today))
     d = F.to_date(F.col("cal_date").cast("string"), "yyyyMMdd")
     return (calendar.where((F.col("is_open") == 1) & d.between(F.date_sub(today, days), today))
             .agg(F.max(d).alias("latest_trading_date")))
