@@ -25,6 +25,7 @@ import json
 import math
 
 import numpy as np
+import pandas as pd
 from pyspark.ml import Pipeline, PipelineModel
 from pyspark.ml.feature import PolynomialExpansion, StandardScaler, VectorAssembler
 from pyspark.ml.functions import vector_to_array
@@ -306,19 +307,30 @@ def _bayes_fit(name, data, features, cfg) -> FittedModel:
 
 
 def _bayes_predict(model: FittedModel, df: DataFrame) -> DataFrame:
-    """Projection xᵀw + b and predictive std sqrt(1/α + (x-x̄)ᵀΣ(x-x̄)) as expressions."""
+    """Projection xᵀw + b and predictive std sqrt(1/α + (x-x̄)ᵀΣ(x-x̄)).
+
+    Σ is p×p (bounded by the feature count) and travels inside the UDF
+    closure; each Arrow batch is one numpy matrix product."""
+    from pyspark.sql import types as T
+
     ex = model.extra
-    pred = F.lit(ex["intercept"])
-    for c, w in zip(model.features, ex["coef"]):
-        pred = pred + F.col(c) * F.lit(float(w))
-    centred = [F.col(c) - F.lit(float(m)) for c, m in zip(model.features, ex["x_mean"])]
-    quad = F.lit(0.0)
-    sig = ex["sigma"]
-    for i in range(len(centred)):
-        for j in range(len(centred)):
-            if sig[i][j]:
-                quad = quad + centred[i] * centred[j] * F.lit(float(sig[i][j]))
-    return df.withColumns({PRED: pred, "uncertainty": F.sqrt(F.greatest(quad, F.lit(0.0)) + 1.0 / ex["alpha"])})
+    w = np.asarray(ex["coef"], dtype=float)
+    b = float(ex["intercept"])
+    mu = np.asarray(ex["x_mean"], dtype=float)
+    sig = np.asarray(ex["sigma"], dtype=float)
+    inv_alpha = 1.0 / float(ex["alpha"])
+    out_type = T.StructType([T.StructField(PRED, T.DoubleType()), T.StructField("uncertainty", T.DoubleType())])
+
+    @F.pandas_udf(out_type)
+    def score(x: pd.DataFrame) -> pd.DataFrame:
+        m = x.to_numpy(dtype=float)
+        c = m - mu
+        quad = np.einsum("ij,jk,ik->i", c, sig, c)
+        return pd.DataFrame({PRED: m @ w + b, "uncertainty": np.sqrt(np.clip(quad, 0.0, None) + inv_alpha)})
+
+    s = score(F.struct(*[F.col(c).cast("double").alias(f"x{i}") for i, c in enumerate(model.features)]))
+    return df.withColumn("_bayes", s).withColumns({PRED: F.col("_bayes")[PRED],
+                                                   "uncertainty": F.col("_bayes")["uncertainty"]}).drop("_bayes")
 
 
 # -- AdaBoost.R2 (G12) --------------------------------------------------------------------------
