@@ -57,8 +57,16 @@ class PanelSpec:
         return self.w().rowsBetween(Window.unboundedPreceding, 0)
 
     def ahead(self):
+        """Current row to the end. Spark re-evaluates such frames per row
+        (quadratic): prefer :meth:`reverse_cumulative` for next-value lookups."""
         return self.w().rowsBetween(0, Window.unboundedFollowing)
 
+    def reverse_cumulative(self):
+        """Cumulative frame in descending time order: ``last(..., ignorenulls)``
+        over it is the next non-null value, evaluated incrementally (linear)."""
+        return (Window.partitionBy(*self.keys).orderBy(F.col(self.order).desc())
+                .rowsBetween(Window.unboundedPreceding, 0))
+
     def unordered(self):
         return Window.partitionBy(*self.keys)
 

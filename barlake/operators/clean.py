@@ -100,7 +100,7 @@ def forward_fill(df: DataFrame, columns: list[str], spec: PanelSpec = DEFAULT) -
 
 def backward_fill(df: DataFrame, columns: list[str], spec: PanelSpec = DEFAULT) -> DataFrame:
     """Next non-null value carried backward inside each instrument."""
-    return df.withColumns({c: F.first(c, ignorenulls=True).over(spec.ahead())
+    return df.withColumns({c: F.last(c, ignorenulls=True).over(spec.reverse_cumulative())
                            for c in columns})
 
 
@@ -116,8 +116,8 @@ def interpolate(df: DataFrame, columns: list[str], spec: PanelSpec = DEFAULT) ->
     for c in columns:
         pv = F.last(F.when(F.col(c).isNotNull(), F.struct(F.col(rn).alias("i"), F.col(c).alias("v"))),
                     ignorenulls=True).over(spec.cumulative())
-        nx = F.first(F.when(F.col(c).isNotNull(), F.struct(F.col(rn).alias("i"), F.col(c).alias("v"))),
-                     ignorenulls=True).over(spec.ahead())
+        nx = F.last(F.when(F.col(c).isNotNull(), F.struct(F.col(rn).alias("i"), F.col(c).alias("v"))),
+                    ignorenulls=True).over(spec.reverse_cumulative())
         lerp = pv["v"] + (nx["v"] - pv["v"]) * (F.col(rn) - pv["i"]) / (nx["i"] - pv["i"])
         fills[c] = (F.when(F.col(c).isNotNull(), F.col(c))
                     .when(pv.isNull(), F.lit(None))

@@ -198,3 +198,12 @@ def q_all_indicators(spark, d):
 
 
 __all__ = ["rnd_expr"]
+
+
+# -- skew-safe execution of the same library (plans.blocked) ----------------------
+@register("blocked_indicators", _sql({**_sma, **_wr, "obv": f"sum(sv) OVER {_CUM}"}, extra_cte=_OV_CTE,
+                                     source="o0", digits={"obv": 4}), ids="T1 T8 T19 (blocked, halo)")
+def q_blocked(spark, d):
+    from barlake.plans.blocked import blocked_window_indicators
+    out = blocked_window_indicators(clean_panel(spark, d), block_rows=500, lookback=64)
+    return _sel(out, [*_sma, *_wr, "obv"], {"obv": 4})
