@@ -448,13 +448,14 @@ def output_columns(kinds) -> list[str]:
     return cols
 
 
-def compute(pdf: pd.DataFrame, kinds, order: str) -> pd.DataFrame:
+def compute(pdf: pd.DataFrame, kinds, order: str, kernels: dict | None = None) -> pd.DataFrame:
     """Pure-pandas core (also used by tests as the brute-force reference)."""
+    kernels = kernels or KERNELS
     pdf = pdf.sort_values(order, kind="stable").reset_index(drop=True)
     arrays = {c: pdf[c].to_numpy(dtype="float64", na_value=np.nan)
               for c in INPUTS if c in pdf.columns}
     for k in kinds:
-        for name, values in KERNELS[k][0](arrays).items():
+        for name, values in kernels[k][0](arrays).items():
             v = np.asarray(values, dtype="float64")
             v[~np.isfinite(v)] = np.nan
             pdf[name] = v
@@ -468,11 +469,20 @@ def apply_recursive(df: DataFrame, kinds, spec: PanelSpec = DEFAULT) -> DataFram
     schema = T.StructType(fields + [T.StructField(c, T.DoubleType(), True) for c in new])
     names = [f.name for f in schema.fields]
     order = spec.order
+    # captured in the closure so user-registered kernels reach the workers
+    kernels = {k: KERNELS[k] for k in kinds}
 
     def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        out = compute(pdf, kinds, order)
+        out = compute(pdf, kinds, order, kernels)
         for c in new:
             out[c] = out[c].astype("float64").where(out[c].notna(), None)
         return out[names]
 
     return df.groupBy(*spec.keys).applyInPandas(run, schema)
+
+
+def register_kernel(name: str, fn, outputs: list[str]) -> None:
+    """Add a recursive indicator: ``fn(arrays: dict[str, ndarray]) -> dict[str, ndarray]``
+    over one instrument's bars in time order, producing ``outputs``. It then
+    runs inside the same grouped map as the built-in kernels."""
+    KERNELS[name] = (fn, list(outputs))

@@ -169,3 +169,46 @@ def q_sequences(spark, d):
     return finalize(s.select("stock_code", "date", F.size("sequence").cast("bigint").alias("seq_len"),
                              F.col("sequence")[0][0].alias("first_close"),
                              F.element_at("sequence", -1)[0].alias("last_close"), "target"))
+
+
+@register("feature_registry", None, check="ROWS", ids="X1 X2 F18")
+def q_feature_registry(spark, d):
+    """Registered feature stages chained with DataFrame.transform, plus a
+    user kernel (running max drawdown of the close) in the shared grouped map."""
+    import numpy as np
+    from barlake.operators import recursive as R
+    from barlake.operators.registry import apply_features
+
+    def drawdown(a):
+        c = a["close"]
+        return {"close_drawdown": c / np.maximum.accumulate(c) - 1}
+
+    R.register_kernel("close_drawdown", drawdown, ["close_drawdown"])
+    out, added = apply_features(clean_panel(spark, d), ["price", "kdj", "time"])
+    out = R.apply_recursive(out, ("close_drawdown",))
+    return finalize(out.select("stock_code", "date", *added, "close_drawdown"))
+
+
+@register("prepare_panel", None, check="ROWS", ids="S2 P2 K1 K2 (data preparation plan)")
+def q_prepare(spark, d):
+    from barlake.plans.prepare import prepare_and_write
+    path = scratch_path(spark, f"prepared/{uuid.uuid4().hex}")
+    return prepare_and_write(load_panel(spark, d, "nations").withColumn("date", F.to_date("date")), path)
+
+
+@register("train_plan", None, check="ROWS", ids="L8 P19 E7 E8 (training plan)")
+def q_train_plan(spark, d):
+    from barlake.plans.train import train
+    name, _, hist, chosen = train(clean_panel(spark, d), method="correlation", threshold=0.05)
+    return hist.withColumn("selected_features", F.lit(",".join(chosen))).withColumn("best", F.col("model") == name)
+
+
+@register("score_plan", None, check="ROWS", ids="Q1 Q2 K3 K4 K5 K6 (prediction plan)")
+def q_score_plan(spark, d):
+    from barlake.plans.score import save_predictions, score_latest
+    from barlake.plans.train import train
+    bars = clean_panel(spark, d)
+    name, fitted, _, _ = train(bars, models=("ridge",), method="correlation", threshold=0.05)
+    pred, ranked = score_latest(bars, fitted[name], n=2)
+    base = save_predictions(pred, ranked, scratch_path(spark, "predictions"), uuid.uuid4().hex)
+    return spark.read.option("header", True).csv(f"{base}/submission")
