@@ -152,10 +152,23 @@ def _label_std(df: DataFrame) -> tuple[float, int]:
 def fit(name: str, df: DataFrame, features: list[str], label: str = "target_return_1d",
         seed: int = SEED, weight_col: str | None = None, validation_col: str | None = None,
         **overrides) -> FittedModel:
-    """Fit preset ``name`` (G1-G12) on ``df``; ``overrides`` patch the preset."""
+    """Fit preset ``name`` (G1-G12) on ``df``; ``overrides`` patch the preset.
+
+    The training frame is persisted for the duration of the fit (statistics,
+    label spread and the solver's passes read it several times) and released
+    afterwards."""
+    from pyspark import StorageLevel
+
+    data = training_frame(df, features, label).persist(StorageLevel.MEMORY_AND_DISK)
+    try:
+        return _fit(name, data, features, seed, weight_col, validation_col, overrides)
+    finally:
+        data.unpersist()
+
+
+def _fit(name, data, features, seed, weight_col, validation_col, overrides) -> FittedModel:
     cfg = {**PRESETS[name], **overrides}
     kind = cfg.pop("kind")
-    data = training_frame(df, features, label)
     if kind == "gbt":
         est = GBTRegressor(featuresCol="features", labelCol=LABEL, seed=seed, **cfg)
         if validation_col:

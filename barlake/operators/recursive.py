@@ -449,17 +449,21 @@ def output_columns(kinds) -> list[str]:
 
 
 def compute(pdf: pd.DataFrame, kinds, order: str, kernels: dict | None = None) -> pd.DataFrame:
-    """Pure-pandas core (also used by tests as the brute-force reference)."""
+    """Pure-pandas core (also used by tests as the brute-force reference).
+
+    New columns are assembled once (one concat), not inserted one by one."""
     kernels = kernels or KERNELS
     pdf = pdf.sort_values(order, kind="stable").reset_index(drop=True)
     arrays = {c: pdf[c].to_numpy(dtype="float64", na_value=np.nan)
               for c in INPUTS if c in pdf.columns}
+    new = {}
     for k in kinds:
         for name, values in kernels[k][0](arrays).items():
             v = np.asarray(values, dtype="float64")
             v[~np.isfinite(v)] = np.nan
-            pdf[name] = v
-    return pdf
+            new[name] = v
+    base = pdf.drop(columns=[c for c in new if c in pdf.columns])
+    return pd.concat([base, pd.DataFrame(new, index=base.index)], axis=1)
 
 
 def apply_recursive(df: DataFrame, kinds, spec: PanelSpec = DEFAULT) -> DataFrame:
@@ -473,10 +477,8 @@ def apply_recursive(df: DataFrame, kinds, spec: PanelSpec = DEFAULT) -> DataFram
     kernels = {k: KERNELS[k] for k in kinds}
 
     def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        out = compute(pdf, kinds, order, kernels)
-        for c in new:
-            out[c] = out[c].astype("float64").where(out[c].notna(), None)
-        return out[names]
+        # NaN leaves the Arrow batch as SQL NULL
+        return compute(pdf, kinds, order, kernels)[names]
 
     return df.groupBy(*spec.keys).applyInPandas(run, schema)
 
