@@ -38,6 +38,7 @@ from barlake.operators.clean import apply_standard, fit_standard
 from barlake.session import cut_lineage
 
 SEED = 42
+ROWS_PER_PARTITION = 250_000
 LABEL = "label"
 PRED = "prediction"
 
@@ -161,7 +162,12 @@ def fit(name: str, df: DataFrame, features: list[str], label: str = "target_retu
 
     data = training_frame(df, features, label).persist(StorageLevel.MEMORY_AND_DISK)
     try:
-        return _fit(name, data, features, seed, weight_col, validation_col, overrides)
+        rows = data.count()
+        # iterative learners launch one job per tree level / solver pass: size
+        # partitions by rows (~250k each) so small sets do not pay for idle tasks
+        target = max(1, -(-rows // ROWS_PER_PARTITION))
+        fit_data = data.coalesce(target) if target < data.rdd.getNumPartitions() else data
+        return _fit(name, fit_data, features, seed, weight_col, validation_col, overrides)
     finally:
         data.unpersist()
 

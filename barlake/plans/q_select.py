@@ -123,7 +123,7 @@ def q_time_split(spark, d):
 @register("contiguous_folds", _POS + """,
 f AS (SELECT *, floor(n / 5) AS base, n - floor(n / 5) * 5 AS extra FROM p)
 SELECT stock_code, date, CAST(CASE WHEN pos < extra * (base + 1) THEN floor(pos / (base + 1))
-                                   ELSE extra + floor((pos - extra * (base + 1)) / base) END AS INTEGER) AS fold FROM f""",
+                                   ELSE extra + floor((pos - extra * (base + 1)) / base) END AS BIGINT) AS fold FROM f""",
           ids="M5")
 def q_contiguous_folds(spark, d):
     out = M.contiguous_folds(clean_panel(spark, d).select("stock_code", "date"))
