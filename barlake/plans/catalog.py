@@ -8,11 +8,14 @@ checked by row count here and by unit tests against brute-force fixtures.
 
 from __future__ import annotations
 
+import functools
 from dataclasses import dataclass
 from typing import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
+from barlake.session import ship_package
+
 REGISTRY: dict[str, "Query"] = {}
 
 
@@ -27,7 +30,11 @@ class Query:
 
 def register(name: str, sql: str | None = None, check: str = "SQL", ids: str = ""):
     def deco(fn):
-        REGISTRY[name] = Query(name, fn, sql, check if sql or check != "SQL" else "ROWS", ids)
+        @functools.wraps(fn)
+        def build(spark: SparkSession, sf_dir: str) -> DataFrame:
+            ship_package(spark)
+            return fn(spark, sf_dir)
+        REGISTRY[name] = Query(name, build, sql, check if sql or check != "SQL" else "ROWS", ids)
         return fn
     return deco
 
