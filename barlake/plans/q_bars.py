@@ -108,7 +108,7 @@ FROM clean""", ids="K2 S15")(dataset_summary)
 def lookback_scan(spark, d):
     """Bars of listed instruments inside a date range, chosen fields."""
     from barlake.sources.files import load_bar_range
-    bars = load_panel(spark, d)
+    bars = load_panel(spark, d, start="2024-01-05", end="2024-01-20")
     universe = spark.createDataFrame([("click",), ("view",), ("purchase",)], "stock_code string")
     out = load_bar_range(bars, universe, "2024-01-05", "2024-01-20", ["close", "volume"])
     return finalize(out)

@@ -86,8 +86,10 @@ def q_constituents(spark, d):
 SELECT stock_code, date, {rnd(['close'])} FROM clean WHERE stock_code IN (SELECT con_code FROM u)
   AND date BETWEEN DATE '1996-01-01' AND DATE '1997-12-31'""", ids="S12 S13 S17 J3")
 def q_semi_universe(spark, d):
+    from barlake.operators.clean import clean_bars
     uni = IO.constituents(_universe(spark, d))
-    out = IO.load_bar_range(clean_panel(spark, d, "nations"), uni, "1996-01-01", "1997-12-31", ["close"])
+    bars = clean_bars(load_panel(spark, d, "nations", "1996-01-01", "1997-12-31"), dedupe=False)
+    out = IO.load_bar_range(bars, uni, "1996-01-01", "1997-12-31", ["close"])
     return finalize(out)
 
 
@@ -95,7 +97,9 @@ def q_semi_universe(spark, d):
 SELECT stock_code, date, {rnd(['open', 'high', 'low', 'close', 'volume'])}, {rnd(['amount'], 4)} FROM clean
 WHERE stock_code = 'purchase' AND CAST(date AS DATE) BETWEEN DATE '2024-01-10' AND DATE '2024-01-20'""", ids="S18")
 def q_index_series(spark, d):
-    return finalize(IO.load_index_series(clean_panel(spark, d), "purchase", "2024-01-10", "2024-01-20"),
+    from barlake.operators.clean import clean_bars
+    bars = clean_bars(load_panel(spark, d, "events", "2024-01-10", "2024-01-20"), dedupe=False)
+    return finalize(IO.load_index_series(bars, "purchase", "2024-01-10", "2024-01-20"),
                     overrides={"amount": 4})
 
 

@@ -96,9 +96,31 @@ PANELS = {
     "suppliers": lambda spark, d: supplier_bars(table(spark, d, "lineitem")),
 }
 
-
-def load_panel(spark: SparkSession, sf_dir: str, panel: str = "events") -> DataFrame:
-    return PANELS[panel](spark, sf_dir)
+# raw table, its time column and how far past the last bar start a tick can lie
+_RAW = {"events": ("events", "ts", "1 day"), "brands": ("lineitem", "l_shipdate", "7 days"),
+        "nations": ("orders", "o_orderdate", "1 day"), "suppliers": ("lineitem", "l_shipdate", "1 month")}
+
+
+def load_panel(spark: SparkSession, sf_dir: str, panel: str = "events", start=None, end=None) -> DataFrame:
+    """Bars of ``panel``; with ``start``/``end`` (dates of bar starts, inclusive)
+    the raw ticks are range-filtered first, so the predicate reaches the
+    Parquet scan (bucket expressions are not invertible by the optimizer)."""
+    if start is None and end is None:
+        return PANELS[panel](spark, sf_dir)
+    name, tcol, span = _RAW[panel]
+    cond = F.lit(True)
+    if start is not None:
+        cond = cond & (F.col(tcol) >= F.to_date(F.lit(start)).cast("timestamp_ntz"))
+    if end is not None:
+        cond = cond & (F.col(tcol) < (F.to_date(F.lit(end)) + F.expr(f"INTERVAL {span}")).cast("timestamp_ntz"))
+    raw = table(spark, sf_dir, name).where(cond)
+    if panel == "events":
+        return event_bars(raw)
+    if panel == "brands":
+        return brand_bars(raw, table(spark, sf_dir, "part"))
+    if panel == "nations":
+        return nation_bars(raw, table(spark, sf_dir, "customer"))
+    return supplier_bars(raw)
 
 
 def gap_grid(bars: DataFrame, step: str = "1 hour") -> DataFrame:
