@@ -86,15 +86,18 @@ def top_n_per_group(df: DataFrame, group: list[str], order: list, n: int, out: s
     return cand.withColumn(out, F.row_number().over(w2)).where(F.col(out) <= n)
 
 
-def date_offsets(df: DataFrame, time: str, key: str, out: str = "pos") -> DataFrame:
-    """0-based global position in (time, key) order.
+def date_offsets(df: DataFrame, time: str, key: str, out: str = "pos", by: list[str] | None = None) -> DataFrame:
+    """0-based position in (time, key) order, per ``by`` group.
 
     Offsets come from a running sum over the per-time row counts (one row per
-    distinct time, a small table); inside a time the position is the key order.
+    distinct (group, time), a small table); inside a time the position is the
+    key order, so no task ever sorts a whole group.
     """
-    per = df.groupBy(time).agg(F.count(F.lit(1)).alias("_c"))
-    w = Window.partitionBy(F.lit(0)).orderBy(time).rowsBetween(Window.unboundedPreceding, -1)
+    by = list(by or [])
+    per = df.groupBy(*by, time).agg(F.count(F.lit(1)).alias("_c"))
+    w = (Window.partitionBy(*by) if by else Window.partitionBy(F.lit(0))).orderBy(time) \
+        .rowsBetween(Window.unboundedPreceding, -1)
     per = per.withColumn("_o", F.coalesce(F.sum("_c").over(w), F.lit(0))).drop("_c")
-    inner = Window.partitionBy(time).orderBy(key)
-    return (df.join(per, time).withColumn(out, F.col("_o") + F.row_number().over(inner) - 1)
+    inner = Window.partitionBy(*by, time).orderBy(key)
+    return (df.join(per, [*by, time]).withColumn(out, F.col("_o") + F.row_number().over(inner) - 1)
             .drop("_o"))

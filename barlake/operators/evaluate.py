@@ -19,7 +19,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from barlake.functions.ranks import row_position, top_n_per_group
+from barlake.functions.ranks import date_offsets, row_position, top_n_per_group
 from barlake.functions.windows import KEY, TIME, safe_corr
 
 EPS64 = 2.220446049250313e-16
@@ -82,7 +82,11 @@ def information_ratio(df: DataFrame, y: str = "y", p: str = "p", by=("model",),
     the ratio is 0 when the spread is 0 or undefined.
     """
     by = list(by)
-    pos = row_position(df, list(order), by, "_pos")
+    if len(order) == 2:
+        # (time, key) order: per-time counts + running sum, no global sort
+        pos = date_offsets(df, order[0], order[1], "_pos", by)
+    else:
+        pos = row_position(df, list(order), by, "_pos")
     n = df.groupBy(*by).agg(F.count(F.lit(1)).alias("_n"))
     j = pos.join(n, by)
     hi = F.least(F.col("_pos"), F.col("_n") - window - 1)
