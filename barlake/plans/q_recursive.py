@@ -191,3 +191,15 @@ register("adx", adx_sql(14), check="REC", ids="T14")(_spark(("adx",), ["adx"]))
 # -- T16 SAR, T24/T25 Hilbert: rows-only here, fixtures in tests ---------------------------------------------
 register("sar", None, check="ROWS", ids="T16")(_spark(("sar",), ["sar"]))
 register("ht_trend", None, check="ROWS", ids="T24 T25")(_spark(("ht",), ["ht_trendline", "ht_trendmode"]))
+
+
+# -- block-parallel form of the linear recursions (plans.blocked) -----------------
+_BLK_CTE = ema_cte("e20", "src", "close", 20) + ",\ne20_o AS (SELECT stock_code, rn, e AS ema_20 FROM e20)" + rsi_cte(12)
+
+
+@register("blocked_ema_rsi", _final({"ema_20": "ema_20", "rsi_12": "rsi_12"}, ["e20_o", "r12_o"], _BLK_CTE),
+          check="REC", ids="T2 T5 F10 F12 (block-parallel, hot-instrument safe)")
+def q_blocked_ema_rsi(spark, d):
+    from barlake.plans.blocked import blocked_ema, blocked_rsi
+    out = blocked_rsi(blocked_ema(clean_panel(spark, d), 20, block_rows=200), 12, block_rows=200)
+    return finalize(out.select(*KEYS, "ema_20", "rsi_12"))

@@ -29,3 +29,16 @@ def test_blocked_cumsum(walk_df, walk_panel):
     ref = walk_panel.sort_values(["stock_code", "date"]).assign(ref=lambda d: d.groupby("stock_code").volume.cumsum())
     m = out.merge(ref[["stock_code", "date", "ref"]], on=["stock_code", "date"])
     np.testing.assert_allclose(m.cv, m.ref, rtol=1e-12)
+
+
+def test_blocked_ema_and_rsi_equal_grouped_map(walk_df):
+    from barlake.operators import recursive as R
+    from barlake.plans.blocked import blocked_ema, blocked_rsi
+    plain = R.apply_recursive(walk_df, ("ema_technical", "rsi_multi")).select(
+        "stock_code", "date", "ema_20", "rsi_12").toPandas()
+    b = blocked_rsi(blocked_ema(walk_df, 20, block_rows=73), 12, block_rows=73).select(
+        "stock_code", "date", "ema_20", "rsi_12").toPandas()
+    m = plain.merge(b, on=["stock_code", "date"], suffixes=("", "_b"))
+    assert len(m) == len(plain) == len(b)
+    for c in ("ema_20", "rsi_12"):
+        np.testing.assert_allclose(m[c].astype(float), m[c + "_b"].astype(float), rtol=1e-9, equal_nan=True)
