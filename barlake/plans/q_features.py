@@ -263,9 +263,29 @@ def q_engineered(spark, d):
     return finalize(out.select(*KEYS, *names))
 
 
-@register("preprocess_panel", None, check="ROWS", ids="R1-R10 (stages 5-7)")
+_PRE_DEFS = {**_ret, **_ma, **_bb, **_vr}
+_PRE_CAL = {"year": "year(date)", "month": "month(date)", "day": "day(date)", "weekday": "isodow(date) - 1",
+            "quarter": "quarter(date)", "is_month_end": "CAST(date AS DATE) = last_day(date)",
+            "is_quarter_end": "CAST(date AS DATE) = last_day(date) AND month(date) IN (3, 6, 9, 12)",
+            "is_year_end": "CAST(date AS DATE) = last_day(date) AND month(date) = 12"}
+_PRE_CYC = {"month_sin": "sin(2 * pi() * month(date) / 12)", "month_cos": "cos(2 * pi() * month(date) / 12)",
+            "weekday_sin": "sin(2 * pi() * (isodow(date) - 1) / 7)",
+            "weekday_cos": "cos(2 * pi() * (isodow(date) - 1) / 7)"}
+_PRE_SQL = (with_bars() + _RSI_CTE + f""",
+pre AS (SELECT stock_code, date, open, high, low, close, volume, amount,
+               {", ".join(f"{e} AS {n}" for n, e in _PRE_DEFS.items())},
+               CASE WHEN al = 0 THEN CASE WHEN ag > 0 THEN 100.0 END ELSE 100.0 - 100.0 / (1.0 + ag / al) END AS rsi,
+               {", ".join(f"{e} AS {n}" for n, e in _PRE_CAL.items())},
+               {", ".join(f"{e} AS {n}" for n, e in _PRE_CYC.items())} FROM gm)
+SELECT stock_code, date, {", ".join(f"{rnd_expr(c)} AS {c}" for c in ["open", "high", "low", "close", "volume"])},
+       {rnd_expr("amount", 4)} AS amount,
+       {", ".join(f"{rnd_expr(c)} AS {c}" for c in [*_PRE_DEFS, "rsi", *_PRE_CYC])},
+       {", ".join(_PRE_CAL)} FROM pre""")
+
+
+@register("preprocess_panel", _PRE_SQL, ids="R1-R10 (stages 5-7 composed)")
 def q_preprocess(spark, d):
-    return finalize(B.preprocess(clean_panel(spark, d)))
+    return finalize(B.preprocess(clean_panel(spark, d)), overrides={"amount": 4})
 
 
 __all__ = ["W"]
