@@ -189,7 +189,38 @@ register("adx", adx_sql(14), check="REC", ids="T14")(_spark(("adx",), ["adx"]))
 
 
 # -- T16 SAR, T24/T25 Hilbert: rows-only here, fixtures in tests ---------------------------------------------
-register("sar", None, check="ROWS", ids="T16")(_spark(("sar",), ["sar"]))
+_IL = "NOT ((a.low - b.low) > 0 AND (b.high - a.high) < (a.low - b.low))"
+_SAR_CTE = f""",
+init AS (SELECT a.stock_code, {_IL} AS is_long, CAST(0.02 AS DOUBLE) AS af,
+                CASE WHEN {_IL} THEN b.high ELSE b.low END AS ep,
+                CASE WHEN {_IL} THEN a.low ELSE a.high END AS s, b.low AS nl, b.high AS nh
+         FROM src a JOIN src b ON a.stock_code = b.stock_code AND a.rn = 1 AND b.rn = 2),
+sr AS (SELECT stock_code, 1 AS rn, is_long, af, ep, s, nl, nh, CAST(NULL AS DOUBLE) AS sar FROM init
+       UNION ALL
+       SELECT stock_code, rn,
+              CASE WHEN sw THEN NOT is_long ELSE is_long END,
+              af2, ep2,
+              CASE WHEN is_long AND NOT sw THEN least(s + af2 * (ep2 - s), prev_lo, new_lo)
+                   WHEN is_long AND sw THEN greatest(s_sw + af2 * (ep2 - s_sw), prev_hi, new_hi)
+                   WHEN NOT is_long AND NOT sw THEN greatest(s + af2 * (ep2 - s), prev_hi, new_hi)
+                   ELSE least(s_sw + af2 * (ep2 - s_sw), prev_lo, new_lo) END,
+              new_lo, new_hi,
+              CASE WHEN sw THEN s_sw ELSE s END
+       FROM (SELECT x.*,
+                    CASE WHEN sw THEN CAST(0.02 AS DOUBLE)
+                         WHEN is_long AND new_hi > ep THEN least(af + 0.02, 0.2)
+                         WHEN NOT is_long AND new_lo < ep THEN least(af + 0.02, 0.2)
+                         ELSE af END AS af2,
+                    CASE WHEN sw AND is_long THEN new_lo WHEN sw THEN new_hi
+                         WHEN is_long AND new_hi > ep THEN new_hi
+                         WHEN NOT is_long AND new_lo < ep THEN new_lo ELSE ep END AS ep2,
+                    CASE WHEN is_long THEN greatest(ep, prev_hi, new_hi) ELSE least(ep, prev_lo, new_lo) END AS s_sw
+             FROM (SELECT r.stock_code, q.rn, r.is_long, r.af, r.ep, r.s, r.nl AS prev_lo, r.nh AS prev_hi,
+                          q.low AS new_lo, q.high AS new_hi,
+                          CASE WHEN r.is_long THEN q.low <= r.s ELSE q.high >= r.s END AS sw
+                   FROM sr r JOIN src q ON q.stock_code = r.stock_code AND q.rn = r.rn + 1) x) y),
+so AS (SELECT stock_code, rn, sar FROM sr)"""
+register("sar", _final({"sar": "sar"}, ["so"], _SAR_CTE), check="REC", ids="T16")(_spark(("sar",), ["sar"]))
 register("ht_trend", None, check="ROWS", ids="T24 T25")(_spark(("ht",), ["ht_trendline", "ht_trendmode"]))
 
 
