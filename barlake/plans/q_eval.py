@@ -185,7 +185,37 @@ def q_model_summary(spark, d):
     return finalize(V.model_ranking(m))
 
 
-@register("evaluate_all", None, check="ROWS", ids="V13 (all metrics, all models)")
+_ALL_SQL = PRED_SQL + f""",
+m AS (SELECT model, count(*) AS n, avg((y - p) * (y - p)) AS mse, avg(abs(y - p)) AS mae, var_pop(y) AS vy,
+             avg(abs(y - p) / greatest(abs(y), 2.220446049250313e-16)) AS mape,
+             covar_pop(y, p) / nullif(stddev_pop(y) * stddev_pop(p), 0) AS pearson_corr,
+             max(abs(y - p)) AS max_error, median(abs(y - p)) AS median_ae,
+             avg(CASE WHEN sign(y) = sign(p) THEN 1.0 ELSE 0.0 END) AS direction_accuracy FROM preds GROUP BY model),
+m2 AS (SELECT *, sqrt(mse) AS rmse, 1 - mse / nullif(vy, 0) AS r2, pearson_corr AS information_coefficient FROM m),
+m3 AS (SELECT *, CASE WHEN n > 2 THEN 1 - (1 - r2) * (n - 1) / (n - 2) ELSE r2 END AS adj_r2 FROM m2),
+rk AS (SELECT model, rank() OVER (PARTITION BY model ORDER BY y) + (count(*) OVER (PARTITION BY model, y) - 1) / 2.0 AS ry,
+              rank() OVER (PARTITION BY model ORDER BY p) + (count(*) OVER (PARTITION BY model, p) - 1) / 2.0 AS rp FROM preds),
+sp AS (SELECT model, covar_pop(ry, rp) / nullif(stddev_pop(ry) * stddev_pop(rp), 0) AS spearman_corr FROM rk GROUP BY model),
+pos AS (SELECT *, row_number() OVER (PARTITION BY model ORDER BY date, stock_code) - 1 AS pos,
+               count(*) OVER (PARTITION BY model) AS nn FROM preds),
+st AS (SELECT model, unnest(range(0, nn - 20, 5)) AS s FROM (SELECT DISTINCT model, nn FROM pos)),
+win AS (SELECT st.model, st.s, covar_pop(y, p) / nullif(stddev_pop(y) * stddev_pop(p), 0) AS ic
+        FROM st JOIN pos ON pos.model = st.model AND pos.pos BETWEEN st.s AND st.s + 19 GROUP BY st.model, st.s),
+ics AS (SELECT model, stddev_pop(ic) AS ic_std, count(ic) AS n_windows FROM win WHERE ic IS NOT NULL GROUP BY model),
+pr AS (SELECT *, row_number() OVER (PARTITION BY model ORDER BY p DESC, date DESC, stock_code DESC) AS r,
+              count(*) OVER (PARTITION BY model) AS nn FROM preds),
+pk AS (SELECT model, avg(y) AS portfolio_return, count(*) AS top_n,
+              CASE WHEN stddev_pop(y) > 0 THEN avg(y) / stddev_pop(y) ELSE 0.0 END AS sharpe_ratio
+       FROM pr WHERE nn < 10 OR r <= least(10, nn // 10) GROUP BY model),
+al AS (SELECT m3.*, sp.spearman_corr, ics.ic_std, ics.n_windows,
+              CASE WHEN ics.ic_std > 0 THEN m3.information_coefficient / ics.ic_std ELSE 0.0 END AS information_ratio,
+              pk.portfolio_return, pk.top_n, pk.sharpe_ratio
+       FROM m3 LEFT JOIN sp USING (model) LEFT JOIN ics USING (model) LEFT JOIN pk USING (model))
+SELECT model, n, {rnd(_REG + ["spearman_corr", "ic_std", "information_ratio", "portfolio_return", "sharpe_ratio"])},
+       n_windows, top_n, row_number() OVER (ORDER BY rmse, model) AS rank FROM al"""
+
+
+@register("evaluate_all", _ALL_SQL, ids="V13 (all metrics, all models)")
 def q_evaluate_all(spark, d):
     return finalize(V.evaluate_all(long_predictions(spark, d)))
 

@@ -257,7 +257,37 @@ def q_time_features(spark, d):
 
 
 # -- F18: composite (window part; recursive part is checked in q_recursive) ----------------------------------------
-@register("engineered_features", None, check="ROWS", ids="F18")
+def _engineered_sql() -> str:
+    from barlake.plans.q_recursive import _EWM_CTE, _head, ema_cte, rsi_cte
+    win = {**_pf, **_pp, **_vf, **_corr, **{f"sma_{n}": mean_sql("close", n) for n in (5, 10, 20, 50)},
+           **_bbpop, **_lag, **_roll}
+    time_cols = {"year": "year(date)", "month": "month(date)", "day": "day(date)", "weekday": "isodow(date) - 1",
+                 "quarter": "quarter(date)", "is_month_start": "day(date) = 1",
+                 "is_month_end": "CAST(date AS DATE) = last_day(date)",
+                 "is_quarter_start": "day(date) = 1 AND month(date) IN (1, 4, 7, 10)",
+                 "is_quarter_end": "CAST(date AS DATE) = last_day(date) AND month(date) IN (3, 6, 9, 12)"}
+    rec = "".join(ema_cte(f"e{n}", "src", "close", n) + f",\ne{n}_o AS (SELECT stock_code, rn, e AS ema_{n} FROM e{n})"
+                  for n in (5, 10, 20, 50)) + _EWM_CTE + rsi_cte(14)
+    body = f"""{_head()}{rec}{_KDJ_CTE},
+c2 AS (SELECT *, high / nullif(low, 0) AS hl FROM clean),
+wf AS (SELECT stock_code, date, {", ".join(f"{e} AS {n}" for n, e in win.items())},
+              {", ".join(f"{e} AS {n}" for n, e in time_cols.items())} FROM c2),
+kd AS (SELECT stock_code, date, CASE WHEN dd IS NOT NULL THEN kk END AS k, dd AS d,
+              3 * CASE WHEN dd IS NOT NULL THEN kk END - 2 * dd AS j FROM k2)
+SELECT wf.stock_code, wf.date, {", ".join(f"{rnd_expr('wf.' + n)} AS {n}" for n in win)},
+       {", ".join(f"wf.{n}" for n in time_cols)},
+       {", ".join(f"{rnd_expr('kd.' + n)} AS {n}" for n in ("k", "d", "j"))},
+       {", ".join(f"{rnd_expr(f'e{n}_o.ema_{n}')} AS ema_{n}" for n in (5, 10, 20, 50))},
+       {rnd_expr('wo.macd')} AS macd, {rnd_expr('wo.macd_signal')} AS macd_signal,
+       {rnd_expr('wo.macd_histogram')} AS macd_histogram, {rnd_expr('r14_o.rsi_14')} AS rsi
+FROM wf JOIN kd USING (stock_code, date) JOIN src USING (stock_code, date)
+{" ".join(f"LEFT JOIN e{n}_o ON e{n}_o.stock_code = src.stock_code AND e{n}_o.rn = src.rn" for n in (5, 10, 20, 50))}
+LEFT JOIN wo ON wo.stock_code = src.stock_code AND wo.rn = src.rn
+LEFT JOIN r14_o ON r14_o.stock_code = src.stock_code AND r14_o.rn = src.rn"""
+    return body
+
+
+@register("engineered_features", _engineered_sql(), check="REC", ids="F18 (composite: windows + recursions)")
 def q_engineered(spark, d):
     out, names = E.engineer_features(clean_panel(spark, d))
     return finalize(out.select(*KEYS, *names))
