@@ -1,10 +1,12 @@
 """Cleaning, null handling, outlier flags and scaling.
 
-Global statistics (quantiles, means, deviations) are computed with one
+Global statistics (means, deviations, extremes) are computed with one
 aggregate and attached through scalar subqueries (``DataFrame.scalar()``):
 Catalyst merges all subqueries over the same plan into a single job and
 inlines the results as literals, so no join, broadcast or cross product is
 needed and nothing grows with the data except the partial aggregates.
+Quantiles come from :mod:`barlake.functions.quantiles` (distributed, exact):
+the exact ``percentile`` aggregate would hold every distinct value in one task.
 """
 
 from __future__ import annotations
@@ -85,9 +87,11 @@ def fill_zero(df: DataFrame, columns: list[str] | None = None) -> DataFrame:
 
 
 def median_impute(df: DataFrame, columns: list[str]) -> DataFrame:
-    """Exact median per column (percentile == linear quantile)."""
-    stats = df.agg(*[F.median(c).alias(c) for c in columns])
-    return df.withColumns({c: F.coalesce(F.col(c), stats.select(c).scalar()) for c in columns})
+    """Exact median per column (linear quantile), computed distributed;
+    the medians (one number per column) are inlined as literals."""
+    from barlake.functions.quantiles import quantile_literals
+    med = quantile_literals(df, columns, [0.5])
+    return df.withColumns({c: F.coalesce(F.col(c), F.lit(med[c][0]).cast("double")) for c in columns})
 
 
 # -- P8-P10: per-instrument fills ---------------------------------------------
@@ -143,10 +147,11 @@ def handle_missing(df: DataFrame, method: str = "forward_fill", columns: list[st
 
 def iqr_outliers(df: DataFrame, columns: list[str], k: float = 1.5) -> DataFrame:
     """``<c>_outlier`` outside [Q1 - k·IQR, Q3 + k·IQR] (exact linear quantiles)."""
-    stats = df.agg(*[F.percentile(c, F.array(F.lit(0.25), F.lit(0.75))).alias(c) for c in columns])
+    from barlake.functions.quantiles import quantile_literals
+    stats = quantile_literals(df, columns, [0.25, 0.75])
     flags = {}
     for c in columns:
-        q = stats.select(c).scalar()
+        q = [F.lit(v).cast("double") for v in stats[c]]
         iqr = q[1] - q[0]
         flags[f"{c}_outlier"] = F.coalesce((F.col(c) < q[0] - k * iqr) | (F.col(c) > q[1] + k * iqr),
                                            F.lit(False))

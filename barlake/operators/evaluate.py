@@ -40,9 +40,12 @@ def regression_metrics(df: DataFrame, y: str = "y", p: str = "p", by=("model",),
         F.avg(F.abs(e) / F.greatest(F.abs(F.col(y)), F.lit(EPS64))).alias("mape"),
         safe_corr(y, p).alias("pearson_corr"),
         F.max(F.abs(e)).alias("max_error"),
-        F.percentile(F.abs(e), 0.5).alias("median_ae"),
         F.avg((F.signum(y) == F.signum(p)).cast("double")).alias("direction_accuracy"),
     )
+    from barlake.functions.quantiles import quantiles
+    med = (quantiles(df.withColumn("_ae", F.abs(e)), ["_ae"], [0.5], list(by))
+           .select(*by, F.col("value").alias("median_ae")))
+    agg = agg.join(med, list(by), "left")
     r2 = 1 - F.try_divide(F.col("mse"), F.col("_vy"))
     k = float(n_features)
     adj = F.when(F.col("n") > k + 1, 1 - (1 - r2) * (F.col("n") - 1) / (F.col("n") - k - 1)).otherwise(r2)
@@ -61,7 +64,10 @@ def spearman(df: DataFrame, y: str = "y", p: str = "p", by=("model",)) -> DataFr
 
 def quintile_accuracy(df: DataFrame, y: str = "y", p: str = "p", by=("model",)) -> DataFrame:
     """V8: direction accuracy inside return layers q1..q4 (cuts at .2/.4/.6/.8)."""
-    cuts = df.groupBy(*by).agg(F.percentile(y, F.array(*[F.lit(q) for q in (0.2, 0.4, 0.6, 0.8)])).alias("_q"))
+    from barlake.functions.quantiles import quantiles
+    qs = quantiles(df, [y], [0.2, 0.4, 0.6, 0.8], list(by))
+    cuts = qs.groupBy(*by).agg(F.sort_array(F.collect_list(F.struct("q", "value"))).alias("_s")) \
+        .select(*by, F.col("_s.value").alias("_q"))
     j = df.join(cuts, list(by))
     yy = F.col(y)
     layer = (F.when(yy <= F.col("_q")[0], "q1").when(yy <= F.col("_q")[1], "q2")

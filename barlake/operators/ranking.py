@@ -76,14 +76,14 @@ def submission_record(ranked: DataFrame, score: str = "predicted_return") -> Dat
 
 def prediction_stats(df: DataFrame, c: str = "predicted_return") -> DataFrame:
     """Q3: count, mean, sample std, extremes, sign counts, quantiles."""
+    from barlake.functions.quantiles import quantile_literals
     x = F.col(c)
-    q = F.percentile(x, F.array(*[F.lit(p) for p in (0.05, 0.25, 0.5, 0.75, 0.95)]))
+    qv = quantile_literals(df, [c], [0.05, 0.25, 0.5, 0.75, 0.95])[c]
     return (df.agg(F.count(x).alias("count"), F.avg(x).alias("mean"), F.stddev_samp(x).alias("std"),
                    F.min(x).alias("min"), F.max(x).alias("max"),
                    F.count_if(x > 0).alias("positive_count"), F.count_if(x < 0).alias("negative_count"),
-                   F.count_if(x == 0).alias("zero_count"), q.alias("_q"))
-            .select("*", *[F.col("_q")[i].alias(f"q{p}") for i, p in enumerate((5, 25, 50, 75, 95))])
-            .drop("_q"))
+                   F.count_if(x == 0).alias("zero_count"))
+            .select("*", *[F.lit(v).cast("double").alias(f"q{p}") for v, p in zip(qv, (5, 25, 50, 75, 95))]))
 
 
 def prediction_listing(ranked: DataFrame, score: str = "predicted_return") -> DataFrame:

@@ -61,10 +61,10 @@ def mutual_info_binned(df: DataFrame, features: list[str], label: str, k: int =
     aggregate keyed by (feature, bin_x, bin_y).
     """
     data = median_impute(df.where(F.col(label).isNotNull()), features)
-    qs = F.array(*[F.lit(i / bins) for i in range(1, bins)])
+    from barlake.functions.quantiles import quantile_literals
     # (features + 1) × (bins - 1) numbers: a bounded statistic, fetched once
     # and inlined as literals (the same split as ML's QuantileDiscretizer).
-    edges = data.agg(*[F.percentile(c, qs).alias(c) for c in features + [label]]).first().asDict()
+    edges = quantile_literals(data, features + [label], [i / bins for i in range(1, bins)])
 
     def bin_of(c):
         e = edges[c] or []

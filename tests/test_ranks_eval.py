@@ -98,3 +98,12 @@ def test_jarque_bera_numpy(preds):
     s = (m ** 3).mean() / (m ** 2).mean() ** 1.5
     k = (m ** 4).mean() / (m ** 2).mean() ** 2 - 3
     assert r.jarque_bera == pytest.approx(len(e) / 6 * (s ** 2 + k ** 2 / 4))
+
+
+def test_distributed_quantiles_match_numpy(tied):
+    from barlake.functions.quantiles import quantiles
+    pdf, df = tied
+    out = quantiles(df, ["v", "id"], [0.0, 0.1, 0.5, 0.75, 1.0], ["g"]).toPandas()
+    for (g, col, q), val in out.set_index(["g", "column", "q"])["value"].items():
+        ref = np.quantile(pdf[pdf.g == g][col].astype(float), q)
+        assert val == pytest.approx(ref)
