@@ -107,3 +107,15 @@ def test_distributed_quantiles_match_numpy(tied):
     for (g, col, q), val in out.set_index(["g", "column", "q"])["value"].items():
         ref = np.quantile(pdf[pdf.g == g][col].astype(float), q)
         assert val == pytest.approx(ref)
+
+
+def test_correlation_matrix_path_matches_pairwise(spark):
+    from barlake.operators.selection import correlation_pairs
+    rng = np.random.default_rng(5)
+    x = rng.normal(0, 1, (400, 6))
+    x[:, 3] = x[:, 0] * 2 + rng.normal(0, 0.01, 400)
+    df = spark.createDataFrame(pd.DataFrame(x, columns=[f"f{i}" for i in range(6)]))
+    feats = [f"f{i}" for i in range(6)]
+    a = correlation_pairs(df, feats, "pairwise").toPandas().sort_values(["li", "ri"])
+    b = correlation_pairs(df, feats, "matrix").toPandas().sort_values(["li", "ri"])
+    np.testing.assert_allclose(a["corr"].to_numpy(), b["corr"].to_numpy(), atol=1e-9)
