@@ -271,8 +271,26 @@ def metrics(pred: DataFrame, label: str = "target_return_1d", p: str = "predicte
 # -- Bayesian ridge (G9, U4) ------------------------------------------------------------------
 
 def gram_stats(df: DataFrame, features: list[str], label: str = LABEL):
-    """n, means, centred XᵀX, Xᵀy, yᵀy from one aggregate (p(p+3)/2 + 3 sums)."""
+    """n, means, centred XᵀX, Xᵀy, yᵀy.
+
+    Up to 60 features: one DataFrame aggregate of p(p+3)/2 + 3 sums. Wider:
+    ``RowMatrix.computeGramianMatrix`` (tree-aggregated packed outer products),
+    which keeps the plan small however many features there are."""
     p = len(features)
+    if p > 60:
+        from pyspark.mllib.linalg.distributed import RowMatrix
+        rows = df.select(F.array(*[F.col(c).cast("double") for c in [*features, label]]).alias("r")).rdd \
+            .map(lambda r: r[0])
+        rm = RowMatrix(rows)
+        g = rm.computeGramianMatrix().toArray()
+        summ = rm.computeColumnSummaryStatistics()
+        n = float(summ.count())
+        mean = np.asarray(summ.mean(), dtype=float)
+        mx, my = mean[:p], float(mean[p])
+        xx_c = g[:p, :p] - n * np.outer(mx, mx)
+        xy_c = g[:p, p] - n * mx * my
+        yy_c = float(g[p, p]) - n * my * my
+        return n, mx, my, xx_c, xy_c, yy_c
     aggs = [F.count(F.lit(1)).alias("n"), F.sum(label).alias("sy"), F.sum(F.col(label) ** 2).alias("syy")]
     aggs += [F.sum(c).alias(f"s_{i}") for i, c in enumerate(features)]
     aggs += [F.sum(F.col(c) * F.col(label)).alias(f"xy_{i}") for i, c in enumerate(features)]

@@ -65,3 +65,14 @@ def test_forest_importances_find_planted_signal(spark):
     m = M.fit("bagging", df, [f"f{i}" for i in range(5)], "t")
     top = M.importances(m).first()
     assert top.feature == "f2"
+
+
+def test_gram_paths_agree(spark):
+    rng = np.random.default_rng(9)
+    x = rng.normal(0, 1, (300, 62))
+    cols = [f"c{i}" for i in range(62)]
+    df = spark.createDataFrame(pd.DataFrame(x, columns=cols).assign(label=x[:, 0] * 2 + 1))
+    wide = M.gram_stats(df, cols)            # 62 features: RowMatrix path
+    narrow = M.gram_stats(df, cols[:60])     # 60 features: aggregate path
+    np.testing.assert_allclose(wide[3][:60, :60], narrow[3], rtol=1e-9, atol=1e-8)
+    np.testing.assert_allclose(wide[4][:60], narrow[4], rtol=1e-9, atol=1e-8)
