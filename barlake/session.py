@@ -19,6 +19,10 @@ BASE_CONF = {
     # keep AQE from merging a few-MB shuffle into a couple of tasks (large
     # shuffles are unaffected; they are far above this floor)
     "spark.sql.adaptive.coalescePartitions.minPartitionSize": "64k",
+    # streaming state (bars in progress, per-instrument EMA state) lives in
+    # RocksDB: off-heap, incrementally checkpointed, sized by disk not heap
+    "spark.sql.streaming.stateStore.providerClass":
+        "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider",
     "spark.sql.execution.arrow.pyspark.enabled": "true",
     "spark.ui.enabled": "false",
 }
