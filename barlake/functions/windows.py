@@ -141,3 +141,25 @@ def safe_corr(a, b) -> Column:
     x = F.when(col(b).isNotNull(), col(a))
     y = F.when(col(a).isNotNull(), col(b))
     return F.try_divide(F.covar_pop(x, y), F.stddev_pop(x) * F.stddev_pop(y))
+
+
+def add_rolling(df, spec: PanelSpec, stats: dict) -> "DataFrame":
+    """Add full-window rolling statistics, each computed exactly once.
+
+    ``stats`` maps output name → (aggregate, column, n) with aggregate one of
+    avg, sum, stddev_samp, stddev_pop, max, min. Spark does not merge
+    semantically equal window expressions, so a statistic referenced by several
+    outputs would be recomputed per reference; here every distinct
+    (aggregate, column, n) and every (column, n) non-null count is one window
+    column, and the pandas ``rolling(n)`` null mask is applied in a projection.
+    """
+    counts, raws = {}, {}
+    for _, (fn, c, n) in stats.items():
+        counts.setdefault((c, n), f"__cnt_{c}_{n}")
+        raws.setdefault((fn, c, n), f"__{fn}_{c}_{n}")
+    step = {name: F.count(F.col(c)).over(spec.trailing(n)) for (c, n), name in counts.items()}
+    step.update({name: getattr(F, fn)(F.col(c)).over(spec.trailing(n)) for (fn, c, n), name in raws.items()})
+    out = df.withColumns(step)
+    final = {name: F.when(F.col(counts[(c, n)]) == n, F.col(raws[(fn, c, n)]))
+             for name, (fn, c, n) in stats.items()}
+    return out.withColumns(final).drop(*counts.values(), *raws.values())

@@ -11,7 +11,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from barlake.functions.windows import DEFAULT, TIME, PanelSpec, col, div
+from barlake.functions.windows import DEFAULT, TIME, PanelSpec, add_rolling, col, div
 
 
 def returns(df: DataFrame, price: str = "close", periods=(1, 5, 10, 20),
@@ -39,15 +39,16 @@ def simple_rsi(close: str, n: int, spec: PanelSpec) -> F.Column:
 
 def technical_basic(df: DataFrame, spec: PanelSpec = DEFAULT) -> DataFrame:
     """R3, R4, R5, R7 (R6 MACD is recursive: see recursive.ewm_macd)."""
-    out = {f"ma_{n}": spec.mean("close", n) for n in (5, 10, 20, 50)}
-    out["rsi"] = simple_rsi("close", 14, spec)
-    mid = spec.mean("close", 20)
-    sd = spec.std("close", 20)
-    out.update(bb_middle=mid, bb_upper=mid + 2 * sd, bb_lower=mid - 2 * sd)
+    stats = {f"ma_{n}": ("avg", "close", n) for n in (5, 10, 20, 50)}
+    stats["_bbsd"] = ("stddev_samp", "close", 20)
     if "volume" in df.columns:
-        vma = spec.mean("volume", 10)
-        out.update(volume_ma_10=vma, volume_ratio=div("volume", vma))
-    return df.withColumns(out)
+        stats["volume_ma_10"] = ("avg", "volume", 10)
+    out = add_rolling(df, spec, stats)
+    cols = {"rsi": simple_rsi("close", 14, spec), "bb_middle": F.col("ma_20"),
+            "bb_upper": F.col("ma_20") + 2 * F.col("_bbsd"), "bb_lower": F.col("ma_20") - 2 * F.col("_bbsd")}
+    if "volume" in df.columns:
+        cols["volume_ratio"] = div("volume", "volume_ma_10")
+    return out.withColumns(cols).drop("_bbsd")
 
 
 def calendar_features(df: DataFrame, c: str = TIME, cyclic: bool = True) -> DataFrame:

@@ -10,7 +10,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from barlake.functions.windows import DEFAULT, TIME, PanelSpec, col, div, div_or_zero
+from barlake.functions.windows import DEFAULT, TIME, PanelSpec, add_rolling, col, div, div_or_zero
 
 
 def price_position(c: str, n: int, spec: PanelSpec) -> F.Column:
@@ -48,42 +48,43 @@ def volume_features(df: DataFrame, spec: PanelSpec = DEFAULT) -> DataFrame:
 
 def kdj(df: DataFrame, spec: PanelSpec = DEFAULT, n: int = 9, sk: int = 3, sd: int = 3) -> DataFrame:
     """F14 as a three-step projection (nested windows need materialised inputs)."""
-    hh = spec.max("high", n)
-    ll = spec.min("low", n)
-    out = df.withColumn("_k_raw", 100.0 * div_or_zero(F.col("close") - ll, hh - ll))
-    out = out.withColumn("_k", spec.mean("_k_raw", sk))
-    out = out.withColumn("d", spec.mean("_k", sd))
+    out = add_rolling(df, spec, {"_hh": ("max", "high", n), "_ll": ("min", "low", n)})
+    out = out.withColumn("_k_raw", 100.0 * div_or_zero(F.col("close") - F.col("_ll"), F.col("_hh") - F.col("_ll")))
+    out = add_rolling(out, spec, {"_k": ("avg", "_k_raw", sk)})
+    out = add_rolling(out, spec, {"d": ("avg", "_k", sd)})
     out = out.withColumn("k", F.when(F.col("d").isNotNull(), F.col("_k")))
-    return out.withColumn("j", 3 * F.col("k") - 2 * F.col("d")).drop("_k_raw", "_k")
+    return out.withColumn("j", 3 * F.col("k") - 2 * F.col("d")).drop("_k_raw", "_k", "_hh", "_ll")
 
 
 def bollinger_pop(df: DataFrame, n: int = 20, spec: PanelSpec = DEFAULT, suffix: str = "") -> DataFrame:
     """Bollinger bands with the population deviation, width and position."""
-    mid = spec.mean("close", n)
-    sd = spec.std_pop("close", n)
+    m, s_ = f"_bbm{suffix}_{n}", f"_bbs{suffix}_{n}"
+    out = add_rolling(df, spec, {m: ("avg", "close", n), s_: ("stddev_pop", "close", n)})
+    mid, sd = F.col(m), F.col(s_)
     up, lo = mid + 2 * sd, mid - 2 * sd
-    out = {f"bb_upper{suffix}": up, f"bb_middle{suffix}": mid, f"bb_lower{suffix}": lo}
-    out[f"bb_position{suffix}"] = div(F.col("close") - lo, up - lo)
+    cols = {f"bb_upper{suffix}": up, f"bb_middle{suffix}": mid, f"bb_lower{suffix}": lo}
+    cols[f"bb_position{suffix}"] = div(F.col("close") - lo, up - lo)
     if suffix:
-        out[f"bb_width{suffix}"] = div(up - lo, mid)
-    return df.withColumns(out)
+        cols[f"bb_width{suffix}"] = div(up - lo, mid)
+    return out.withColumns(cols).drop(m, s_)
 
 
 def sma_features(df: DataFrame, spec: PanelSpec = DEFAULT, periods=(5, 10, 20, 50)) -> DataFrame:
     """F9."""
-    return df.withColumns({f"sma_{n}": spec.mean("close", n) for n in periods})
+    return add_rolling(df, spec, {f"sma_{n}": ("avg", "close", n) for n in periods})
 
 
 def lag_features(df: DataFrame, target: str = "close", lags=(1, 2, 3, 5, 10),
                  windows=(5, 10, 20), spec: PanelSpec = DEFAULT) -> DataFrame:
     """``<t>_lag_k`` and rolling mean/std/max/min of the target."""
-    out = {f"{target}_lag_{k}": spec.lag(target, k) for k in lags}
+    out = df.withColumns({f"{target}_lag_{k}": spec.lag(target, k) for k in lags})
+    stats = {}
     for n in windows:
-        out[f"{target}_mean_{n}"] = spec.mean(target, n)
-        out[f"{target}_std_{n}"] = spec.std(target, n)
-        out[f"{target}_max_{n}"] = spec.max(target, n)
-        out[f"{target}_min_{n}"] = spec.min(target, n)
-    return df.withColumns(out)
+        stats[f"{target}_mean_{n}"] = ("avg", target, n)
+        stats[f"{target}_std_{n}"] = ("stddev_samp", target, n)
+        stats[f"{target}_max_{n}"] = ("max", target, n)
+        stats[f"{target}_min_{n}"] = ("min", target, n)
+    return add_rolling(out, spec, stats)
 
 
 def lag_columns(df: DataFrame, columns: list[str], lags=(1, 2, 3),

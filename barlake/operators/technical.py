@@ -11,30 +11,27 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from barlake.functions.windows import DEFAULT, PanelSpec, col, div, div_or_zero
+from barlake.functions.windows import DEFAULT, PanelSpec, add_rolling, col, div, div_or_zero
 from barlake.operators.engineered import bollinger_pop
 
 
 def ma_indicators(df: DataFrame, spec: PanelSpec = DEFAULT) -> DataFrame:
     """T1 + T3 (T2 and T4 are recursive)."""
-    out = {}
-    for n in (5, 10, 20, 30, 60):
-        sma = spec.mean("close", n)
-        out[f"sma_{n}"] = sma
-        out[f"price_sma_{n}_ratio"] = div("close", sma)
+    out = add_rolling(df, spec, {f"sma_{n}": ("avg", "close", n) for n in (5, 10, 20, 30, 60)})
+    cols = {f"price_sma_{n}_ratio": div("close", f"sma_{n}") for n in (5, 10, 20, 30, 60)}
     for n in (5, 10, 20):
-        out[f"wma_{n}"] = spec.full(n, "close", spec.wma("close", n))
-    return df.withColumns(out)
+        cols[f"wma_{n}"] = spec.full(n, "close", spec.wma("close", n))
+    return out.withColumns(cols)
 
 
-def cci(spec: PanelSpec, n: int = 14) -> F.Column:
+def cci(df: DataFrame, spec: PanelSpec, n: int = 14, out: str = "cci") -> DataFrame:
     """(TP - SMA(TP)) / (0.015 · mean absolute deviation); 0 on a flat window."""
     tp = (F.col("high") + F.col("low") + F.col("close")) / 3.0
     fr = spec.trailing(n)
-    win = F.collect_list(tp).over(fr)
-    mean = F.avg(tp).over(fr)
-    mad = F.aggregate(win, F.lit(0.0), lambda acc, x: acc + F.abs(x - mean)) / float(n)
-    return spec.full(n, "close", div_or_zero(tp - mean, 0.015 * mad))
+    d = df.withColumns({"_tp": tp, "_tpm": F.avg(tp).over(fr), "_tpl": F.collect_list(tp).over(fr)})
+    mad = F.aggregate(F.col("_tpl"), F.lit(0.0), lambda acc, x: acc + F.abs(x - F.col("_tpm"))) / float(n)
+    val = spec.full(n, "close", div_or_zero(F.col("_tp") - F.col("_tpm"), 0.015 * mad))
+    return d.withColumn(out, val).drop("_tp", "_tpm", "_tpl")
 
 
 def momentum_indicators(df: DataFrame, spec: PanelSpec = DEFAULT) -> DataFrame:
@@ -44,12 +41,12 @@ def momentum_indicators(df: DataFrame, spec: PanelSpec = DEFAULT) -> DataFrame:
         prev = spec.lag("close", n)
         out[f"momentum_{n}"] = F.col("close") - prev
         out[f"roc_{n}"] = F.when(prev == 0, F.lit(0.0)).otherwise(100.0 * (div("close", prev) - 1.0))
-    for n in (14, 21):
-        hh = spec.max("high", n)
-        ll = spec.min("low", n)
-        out[f"willr_{n}"] = -100.0 * div_or_zero(hh - F.col("close"), hh - ll)
-    out["cci"] = cci(spec)
-    return df.withColumns(out)
+    df = add_rolling(df.withColumns(out), spec,
+                     {f"_hh{n}": ("max", "high", n) for n in (14, 21)} | {f"_ll{n}": ("min", "low", n) for n in (14, 21)})
+    df = df.withColumns({f"willr_{n}": -100.0 * div_or_zero(F.col(f"_hh{n}") - F.col("close"),
+                                                            F.col(f"_hh{n}") - F.col(f"_ll{n}"))
+                         for n in (14, 21)}).drop(*[f"_hh{n}" for n in (14, 21)], *[f"_ll{n}" for n in (14, 21)])
+    return cci(df, spec)
 
 
 def true_range(spec: PanelSpec = DEFAULT) -> F.Column:
@@ -82,24 +79,22 @@ def aroon(df: DataFrame, n: int = 14, spec: PanelSpec = DEFAULT) -> DataFrame:
 
 def volume_indicators(df: DataFrame, spec: PanelSpec = DEFAULT) -> DataFrame:
     """T17-T20."""
-    out = {}
-    for n in (5, 10, 20):
-        vs = spec.mean("volume", n)
-        out[f"volume_sma_{n}"] = vs
-        out[f"volume_ratio_{n}"] = div("volume", vs)
+    out = add_rolling(df, spec, {f"volume_sma_{n}": ("avg", "volume", n) for n in (5, 10, 20)})
+    out = out.withColumns({f"volume_ratio_{n}": div("volume", f"volume_sma_{n}") for n in (5, 10, 20)})
     tp = (F.col("high") + F.col("low") + F.col("close")) / 3.0
     ptp = spec.lag(tp)
     flow = tp * F.col("volume")
-    pos = F.sum(F.when(tp > ptp, flow).otherwise(0.0)).over(spec.trailing(14))
-    neg = F.sum(F.when(tp < ptp, flow).otherwise(0.0)).over(spec.trailing(14))
-    enough = spec.row_number() > 14
-    out["mfi"] = F.when(enough, F.when(pos + neg < 1.0, F.lit(0.0)).otherwise(100.0 * pos / (pos + neg)))
+    out = out.withColumns({"_pos": F.sum(F.when(tp > ptp, flow).otherwise(0.0)).over(spec.trailing(14)),
+                           "_neg": F.sum(F.when(tp < ptp, flow).otherwise(0.0)).over(spec.trailing(14)),
+                           "_rn": spec.row_number()})
+    pos, neg = F.col("_pos"), F.col("_neg")
+    cols = {"mfi": F.when(F.col("_rn") > 14, F.when(pos + neg < 1.0, F.lit(0.0)).otherwise(100.0 * pos / (pos + neg)))}
     dc = spec.diff("close")
     signed = F.when(dc.isNull(), F.col("volume")).otherwise(F.signum(dc) * F.col("volume"))
-    out["obv"] = F.sum(signed).over(spec.cumulative())
-    out["vwap"] = div(F.sum(F.col("volume") * F.col("close")).over(spec.cumulative()),
-                      F.sum("volume").over(spec.cumulative()))
-    return df.withColumns(out)
+    cols["obv"] = F.sum(signed).over(spec.cumulative())
+    cols["vwap"] = div(F.sum(F.col("volume") * F.col("close")).over(spec.cumulative()),
+                       F.sum("volume").over(spec.cumulative()))
+    return out.withColumns(cols).drop("_pos", "_neg", "_rn")
 
 
 def price_transforms(df: DataFrame) -> DataFrame:
@@ -120,19 +115,19 @@ def candle_patterns(df: DataFrame, spec: PanelSpec = DEFAULT) -> DataFrame:
     o, h, lo, c = F.col("open"), F.col("high"), F.col("low"), F.col("close")
     body = F.abs(c - o)
     rng = h - lo
+    prior10 = spec.prior(10, 1)
+    d = df.withColumns({"_ar10": F.avg(rng).over(prior10), "_ab10": F.avg(body).over(prior10),
+                        "_n10": F.count(rng).over(prior10), "_near": 0.2 * F.avg(rng).over(spec.prior(5, 1)),
+                        "_rn": spec.row_number(), "_pl": spec.lag("low"), "_ph": spec.lag("high")})
     upper = h - F.greatest(o, c)
     lower = F.least(o, c) - lo
-    prior10 = spec.prior(10, 1)
-    avg_range10 = F.avg(rng).over(prior10)
-    avg_body10 = F.avg(body).over(prior10)
-    near = 0.2 * F.avg(rng).over(spec.prior(5, 1))
-    n10 = F.count(rng).over(prior10) == 10
-    rn = spec.row_number()
-    doji = F.when(n10, F.when(body <= 0.1 * avg_range10, 100).otherwise(0))
-    shape = (body < avg_body10) & (lower > body) & (upper < 0.1 * avg_range10)
-    hammer = F.when(rn > 11, F.when(shape & (F.least(o, c) <= spec.lag("low") + near), 100).otherwise(0))
-    hanging = F.when(rn > 11, F.when(shape & (F.least(o, c) >= spec.lag("high") - near), -100).otherwise(0))
-    return df.withColumns({"doji": doji, "hammer": hammer, "hanging_man": hanging})
+    ar10 = F.col("_ar10")
+    doji = F.when(F.col("_n10") == 10, F.when(body <= 0.1 * ar10, 100).otherwise(0))
+    shape = (body < F.col("_ab10")) & (lower > body) & (upper < 0.1 * ar10)
+    hammer = F.when(F.col("_rn") > 11, F.when(shape & (F.least(o, c) <= F.col("_pl") + F.col("_near")), 100).otherwise(0))
+    hanging = F.when(F.col("_rn") > 11, F.when(shape & (F.least(o, c) >= F.col("_ph") - F.col("_near")), -100).otherwise(0))
+    return (d.withColumns({"doji": doji, "hammer": hammer, "hanging_man": hanging})
+            .drop("_ar10", "_ab10", "_n10", "_near", "_rn", "_pl", "_ph"))
 
 
 def window_indicators(df: DataFrame, spec: PanelSpec = DEFAULT) -> DataFrame:
