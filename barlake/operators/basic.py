@@ -43,12 +43,18 @@ def technical_basic(df: DataFrame, spec: PanelSpec = DEFAULT) -> DataFrame:
     stats["_bbsd"] = ("stddev_samp", "close", 20)
     if "volume" in df.columns:
         stats["volume_ma_10"] = ("avg", "volume", 10)
-    out = add_rolling(df, spec, stats)
-    cols = {"rsi": simple_rsi("close", 14, spec), "bb_middle": F.col("ma_20"),
+    d = spec.diff("close")
+    gl = df.withColumns({"_gain": F.when(d > 0, d).otherwise(F.lit(0.0)),
+                         "_loss": F.when(d < 0, -d).otherwise(F.lit(0.0))})
+    stats.update({"_ag": ("avg", "_gain", 14), "_al": ("avg", "_loss", 14)})
+    out = add_rolling(gl, spec, stats)
+    g, lo = F.col("_ag"), F.col("_al")
+    rsi = F.when(lo == 0, F.when(g > 0, F.lit(100.0))).otherwise(100.0 - 100.0 / (1.0 + g / lo))
+    cols = {"rsi": rsi, "bb_middle": F.col("ma_20"),
             "bb_upper": F.col("ma_20") + 2 * F.col("_bbsd"), "bb_lower": F.col("ma_20") - 2 * F.col("_bbsd")}
     if "volume" in df.columns:
         cols["volume_ratio"] = div("volume", "volume_ma_10")
-    return out.withColumns(cols).drop("_bbsd")
+    return out.withColumns(cols).drop("_bbsd", "_gain", "_loss", "_ag", "_al")
 
 
 def calendar_features(df: DataFrame, c: str = TIME, cyclic: bool = True) -> DataFrame:
