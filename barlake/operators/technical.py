@@ -11,7 +11,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from barlake.functions.windows import DEFAULT, PanelSpec, add_rolling, col, div, div_or_zero
+from barlake.functions.windows import DEFAULT, PanelSpec, add_rolling, div, div_or_zero
 from barlake.operators.engineered import bollinger_pop
 
 

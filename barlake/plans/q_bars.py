@@ -2,13 +2,11 @@
 
 from __future__ import annotations
 
-from pyspark.sql import functions as F
-
 from barlake.functions.windows import DEFAULT as S
 from barlake.operators import ranking
 from barlake.operators.engineered import kdj
 from barlake.plans.catalog import register
-from barlake.plans.common import (BAR_SQL, W, clean_panel, div_sql, finalize, frame, lag_sql,
+from barlake.plans.common import (BAR_SQL, clean_panel, div_sql, finalize, frame, lag_sql,
                                   mean_sql, rnd, with_bars)
 from barlake.sources.panels import load_panel
 

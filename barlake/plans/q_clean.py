@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-from pyspark.sql import functions as F
-
 from barlake.operators import clean as C
 from barlake.plans.catalog import register
 from barlake.plans.common import VALID_SQL, finalize, rnd, rnd_expr, with_bars

@@ -2,12 +2,11 @@
 
 from __future__ import annotations
 
-from barlake.functions.windows import DEFAULT as S
 from barlake.operators import basic as B
 from barlake.operators import engineered as E
 from barlake.plans.catalog import register
-from barlake.plans.common import (W, clean_panel, div_sql, finalize, frame, full_sql, lag_sql,
-                                  mean_sql, rnd, rnd_expr, with_bars)
+from barlake.plans.common import (clean_panel, div_sql, finalize, frame, full_sql, lag_sql,
+                                  mean_sql, rnd_expr, with_bars)
 
 KEYS = ["stock_code", "date"]
 
@@ -317,5 +316,3 @@ SELECT stock_code, date, {", ".join(f"{rnd_expr(c)} AS {c}" for c in ["open", "h
 def q_preprocess(spark, d):
     return finalize(B.preprocess(clean_panel(spark, d)), overrides={"amount": 4})
 
-
-__all__ = ["W"]

@@ -5,7 +5,7 @@ from __future__ import annotations
 from barlake.operators import technical as T
 from barlake.plans.catalog import register
 from barlake.plans.common import (W, clean_panel, div_sql, finalize, frame, full_sql, lag_sql,
-                                  mean_sql, rnd_expr, with_bars)
+                                  mean_sql, with_bars)
 from barlake.plans.q_features import _bbp, _sql, max_sql, min_sql
 
 KEYS = ["stock_code", "date"]
@@ -197,8 +197,6 @@ def q_all_indicators(spark, d):
     return finalize(out.select(*KEYS, *T.indicator_names()), overrides={"obv": 4, "vwap": 4})
 
 
-__all__ = ["rnd_expr"]
-
 
 # -- skew-safe execution of the same library (plans.blocked) ----------------------
 @register("blocked_indicators", _sql({**_sma, **_wr, "obv": f"sum(sv) OVER {_CUM}"}, extra_cte=_OV_CTE,

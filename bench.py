@@ -18,7 +18,6 @@ sys.path.insert(0, os.path.dirname(os.path.abspath(__file__)))
 
 from pyspark.sql import functions as F  # noqa: E402
 
-from barlake.functions.windows import DEFAULT as S  # noqa: E402
 from barlake.operators import clean, engineered, evaluate, models, ranking, recursive, relational  # noqa: E402
 from barlake.operators import portfolio, splits, technical  # noqa: E402
 from barlake.plans.common import clean_panel  # noqa: E402
