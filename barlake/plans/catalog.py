@@ -43,4 +43,5 @@ def load_all() -> dict[str, Query]:
     # importing the families registers their queries
     from barlake.plans import (q_bars, q_clean, q_features, q_technical, q_recursive,  # noqa: F401
                                q_eval, q_select, q_relational, q_models, q_streaming)
+    from barlake.plans import q_composite  # noqa: F401  (needs the families above)
     return REGISTRY

@@ -234,3 +234,4 @@ def q_blocked_ema_rsi(spark, d):
     from barlake.plans.blocked import blocked_ema, blocked_rsi
     out = blocked_rsi(blocked_ema(clean_panel(spark, d), 20, block_rows=200), 12, block_rows=200)
     return finalize(out.select(*KEYS, "ema_20", "rsi_12"))
+
