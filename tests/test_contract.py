@@ -8,7 +8,8 @@ import __spark_entry__ as E
 from conftest import SF_SMALL
 
 CHEAP = ["bars_events", "flagship_top_bottom", "clean_bars", "returns", "kdj", "cci", "aroon",
-         "candles", "ema", "rsi_wilder", "adx", "regression_metrics", "asof_previous_bar", "time_split"]
+         "candles", "ema", "rsi_wilder", "adx", "sar", "regression_metrics", "asof_previous_bar", "time_split",
+         "stream_ema", "engineered_features", "evaluate_all", "indicator_library", "blocked_ema_rsi"]
 
 
 def test_entry_runs(spark):
