@@ -162,17 +162,21 @@ def fit(name: str, df: DataFrame, features: list[str], label: str = "target_retu
 
     data = training_frame(df, features, label).persist(StorageLevel.MEMORY_AND_DISK)
     try:
-        rows = data.count()
+        # one pass: row count, label spread and the population scaler statistics
+        stats = data.agg(F.count(F.lit(1)).alias("_n"), F.stddev_pop(LABEL).alias("_sy"),
+                         *[F.struct(F.avg(c).alias("m"), F.stddev_pop(c).alias("s")).alias(c)
+                           for c in features]).first()
+        rows = int(stats["_n"])
         # iterative learners launch one job per tree level / solver pass: size
         # partitions by rows (~250k each) so small sets do not pay for idle tasks
         target = max(1, -(-rows // ROWS_PER_PARTITION))
         fit_data = data.coalesce(target) if target < data.rdd.getNumPartitions() else data
-        return _fit(name, fit_data, features, seed, weight_col, validation_col, overrides)
+        return _fit(name, fit_data, features, seed, weight_col, validation_col, overrides, stats)
     finally:
         data.unpersist()
 
 
-def _fit(name, data, features, seed, weight_col, validation_col, overrides) -> FittedModel:
+def _fit(name, data, features, seed, weight_col, validation_col, overrides, stats) -> FittedModel:
     cfg = {**PRESETS[name], **overrides}
     kind = cfg.pop("kind")
     if kind == "gbt":
@@ -190,11 +194,10 @@ def _fit(name, data, features, seed, weight_col, validation_col, overrides) -> F
     if kind == "adaboost":
         return _ada_fit(name, data, features, cfg, seed)
     # linear family on population-standardised features
-    stats = fit_standard(data, features).first()
     scaler = {c: (float(stats[c]["m"]), float(stats[c]["s"] or 1.0) or 1.0) for c in features}
     model = FittedModel(name, features, None, scaler)
     scaled = model._scaled(data)
-    sy, n = _label_std(data)
+    sy, n = float(stats["_sy"] or 0.0), int(stats["_n"])
     if kind == "linear":
         lr = LinearRegression(regParam=0.0, solver="normal", standardization=False)
     elif kind == "ridge":
