@@ -19,8 +19,8 @@ def _shipped(fn):
 
 
 def _modules():
-    from barlake.llm import q_minhash, q_token_count
-    return q_minhash, q_token_count
+    from barlake.llm import q_minhash, q_packing, q_token_count
+    return q_minhash, q_packing, q_token_count
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
