@@ -136,9 +136,9 @@ def signatures(docs: DataFrame, id_col: str, text_col: str, p: MinHash) -> DataF
     return src.mapInArrow(_signing(p), f"id {kind}, n_shingles bigint, digest binary, sig binary, keys array<bigint>")
 
 
-def _forest(ids, sig, comp, p: MinHash):
+def _forest(sig, comp, keys, key, p: MinHash):
     """Maximum spanning forest (Prim) over pairs whose estimate passes; memory O(members)."""
-    n, least = len(ids), p.least_agreements
+    n, least = len(sig), p.least_agreements
     best, parent = np.full(n, -1, np.int64), np.full(n, -1, np.int64)
     out = np.zeros(n, bool)
     cur, edges = 0, []
@@ -153,13 +153,17 @@ def _forest(ids, sig, comp, p: MinHash):
     return edges
 
 
-def _cross(ids, sig, comp, p: MinHash):
-    """Every pair of different components whose estimate passes."""
+def _cross(sig, comp, keys, key, p: MinHash):
+    """Every pair of different components whose estimate passes, from the first bucket that
+    both are in: a pair that shares many bands is emitted once."""
+    band = int(np.flatnonzero((keys == key).any(axis=0))[0])
     edges = []
-    for i in range(len(ids) - 1):
+    for i in range(len(sig) - 1):
         other = np.flatnonzero(comp[i + 1:] != comp[i]) + i + 1
         if len(other):
             hit = other[agreements(sig[i], sig[other], p) >= p.least_agreements]
+            if band and len(hit):
+                hit = hit[~(keys[hit, :band] == keys[i, :band]).any(axis=1)]
             edges += [(i, j) for j in hit]
     return edges
 
@@ -197,18 +201,21 @@ def _split_last(table: pa.Table):
 
 
 def _pairs(batch: pa.RecordBatch, p: MinHash, pairs_of):
-    ids = batch.column(batch.schema.get_field_index("id"))
-    width = p.bits * p.k // 8
-    sig = np.frombuffer(b"".join(batch.column(batch.schema.get_field_index("sig")).to_pylist()), U64).reshape(-1, width // 8)
-    comp = batch.column(batch.schema.get_field_index("comp")).to_numpy(zero_copy_only=False)
+    column = {name: batch.column(i) for i, name in enumerate(batch.schema.names)}
+    ids, width = column["id"], p.bits * p.k // 8
+    sig = np.frombuffer(b"".join(column["sig"].to_pylist()), U64).reshape(-1, width // 8)
+    comp, key = (column[c].to_numpy(zero_copy_only=False) for c in ("comp", "key"))
+    keys = column["keys"].flatten().to_numpy().reshape(-1, p.bands) if "keys" in column else None
     starts = _group_starts(batch)
     sizes = np.diff(np.append(starts, batch.num_rows))
-    # pairs alone, the most frequent case, are compared all at once
-    two = starts[sizes == 2]
-    ok = (agreements(sig[two], sig[two + 1], p) >= p.least_agreements) & ((comp[two] != comp[two + 1]) | (comp[two] == -1))
-    left, right = list(two[ok]), list(two[ok] + 1)
-    for s, n in zip(starts[sizes > 2], sizes[sizes > 2]):
-        for i, j in pairs_of(ids[s:s + n], sig[s:s + n], comp[s:s + n], p):
+    left, right = [], []
+    if keys is None:  # pairs alone, the most frequent case, are compared all at once
+        two = starts[sizes == 2]
+        ok = agreements(sig[two], sig[two + 1], p) >= p.least_agreements
+        left, right = list(two[ok]), list(two[ok] + 1)
+        starts, sizes = starts[sizes > 2], sizes[sizes > 2]
+    for s, n in zip(starts, sizes):
+        for i, j in pairs_of(sig[s:s + n], comp[s:s + n], None if keys is None else keys[s:s + n], key[s], p):
             left.append(s + i)
             right.append(s + j)
     if left:
@@ -226,14 +233,15 @@ def bucket_members(sigs: DataFrame, p: MinHash) -> DataFrame:
 def candidate_pairs(members: DataFrame, p: MinHash, pairs_of) -> DataFrame:
     """Distinct (a, b) that pass the signature estimate within a bucket.
 
-    ``members``: key, size, id, sig, comp. A bucket beyond ``block`` members is cut into
+    ``members``: key, size, id, sig, comp and, for :func:`_cross`, keys. A bucket beyond ``block`` members is cut into
     blocks by id, and each pair of blocks is its own work unit, whatever the bucket's size.
     """
     kind = members.schema["id"].dataType.simpleString()
     blocks = F.greatest(F.lit(1), F.ceil(F.col("size") / p.block)).cast("int")
     dealt = (members.withColumn("blocks", blocks).withColumn("mine", F.pmod(F.xxhash64("id"), F.col("blocks")).cast("int"))
              .withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
-             .select("key", F.least("mine", "other").alias("lo"), F.greatest("mine", "other").alias("hi"), "id", "sig", "comp"))
+             .select("key", F.least("mine", "other").alias("lo"), F.greatest("mine", "other").alias("hi"),
+                     *[c for c in members.columns if c != "size"][1:]))
     pairs = (dealt.repartition("key", "lo", "hi").sortWithinPartitions("key", "lo", "hi")
              .mapInArrow(_comparing(p, pairs_of), f"a {kind}, b {kind}"))
     return (pairs.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))
@@ -298,7 +306,8 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     label = comp.select(F.col("node").alias("id"), F.col("component").alias("c"))
     labelled = members.join(label, "id", "left").withColumn("comp", F.xxhash64(F.coalesce("c", "id"))).drop("c")
     split = (labelled.groupBy("key").agg(F.min("comp").alias("x"), F.max("comp").alias("y")).where("x <> y").select("key"))
-    second = candidate_pairs(labelled.join(split, "key", "left_semi"), p, _cross).join(first, ["a", "b"], "left_anti")
+    crossed = labelled.join(split, "key", "left_semi").join(chosen.select("id", "sig", "keys").dropDuplicates(["id", "sig"]), ["id", "sig"])
+    second = candidate_pairs(crossed.select("key", "size", "id", "sig", "comp", "keys"), p, _cross).join(first, ["a", "b"], "left_anti")
     more = written(confirmed(second, texts, p), "minhash-links")
     if not more.isEmpty():
         stars = comp.select(F.col("node").alias("a"), F.col("component").alias("b"))
