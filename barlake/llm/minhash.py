@@ -298,7 +298,8 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     first = written(candidate_pairs(members.withColumn("comp", F.lit(-1).cast("bigint")), p, _forest), "minhash-pairs")
     texts = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"))
     ids = members.select("id").distinct()
-    texts = written(texts.join(ids, "id", "left_semi"), "minhash-texts")
+    # candidates grow with the corpus: shuffled at every size, never broadcast
+    texts = written(texts.join(ids.hint("merge"), "id", "left_semi"), "minhash-texts")
     links = written(confirmed(first, texts, p), "minhash-links")
     comp = written(components(links), "minhash-comp")
 
