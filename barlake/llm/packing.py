@@ -51,7 +51,7 @@ def cut(n: int, p: Packing) -> list[int]:
 class UnitIds(dict):
     """unit -> row of a ragged table of token ids; unknown units are encoded together."""
 
-    def __init__(self, vocabulary: str, limit: int = 300_000):
+    def __init__(self, vocabulary: str, limit: int = 600_000):
         super().__init__()
         read_vocabulary(vocabulary)  # refuses a vocabulary whose tokens depend on more than a unit
         self.lib = Tokenizer.from_file(vocabulary)
@@ -71,19 +71,33 @@ class UnitIds(dict):
         return row
 
     def _learn(self):
-        ids = [e.ids for e in self.lib.encode_batch_fast(self.unknown, add_special_tokens=False)]
-        size = np.fromiter(map(len, ids), np.int64, len(ids))
-        first, total = len(self) - len(ids), int(size.sum())
+        flat, size = self._encoded(self.unknown)
+        first, total = len(self) - len(size), len(flat)
         while len(self) > len(self.start):
             self.start, self.size = np.resize(self.start, 2 * len(self.start)), np.resize(self.size, 2 * len(self.size))
         while self.used + total > len(self.flat):
             self.flat = np.resize(self.flat, 2 * len(self.flat))
         self.size[first:len(self)] = size
         self.start[first:len(self)] = self.used + np.cumsum(size) - size
-        self.flat[self.used:self.used + total] = [x for one in ids for x in one]
+        self.flat[self.used:self.used + total] = flat
         self.used += total
         self.unknown = []
 
+    def _encoded(self, units: list[str], run: int = 512) -> tuple[np.ndarray, np.ndarray]:
+        """All ids of the units, one after another, and the number of each unit's.
+
+        The library treats what stands between special strings as texts of their own, so units
+        joined by one are encoded in runs, which spares an object for each.
+        """
+        if not self.special:
+            ids = [e.ids for e in self.lib.encode_batch_fast(units, add_special_tokens=False)]
+            return np.array([x for one in ids for x in one], np.int32), np.fromiter(map(len, ids), np.int64, len(ids))
+        mark = self.special[0]
+        runs = [mark.join(units[i:i + run]) + mark for i in range(0, len(units), run)]
+        ids = np.concatenate([np.array(e.ids, np.int32) for e in self.lib.encode_batch_fast(runs, add_special_tokens=False)])
+        ends = np.flatnonzero(ids == self.lib.token_to_id(mark))
+        return np.delete(ids, ends), np.diff(ends, prepend=-1) - 1
+
     def encode(self, texts: list[str]) -> list[np.ndarray]:
         """Token ids of each whole text, as the library gives them."""
         if len(self) > self.limit:
