@@ -19,8 +19,8 @@ def _shipped(fn):
 
 
 def _modules():
-    from barlake.llm import q_decontaminate, q_line_dedup, q_minhash, q_packing, q_quality, q_token_count, q_toxicity, q_url_filter
-    return q_decontaminate, q_line_dedup, q_minhash, q_packing, q_quality, q_token_count, q_toxicity, q_url_filter
+    from barlake.llm import q_decontaminate, q_line_dedup, q_minhash, q_packing, q_quality, q_token_count, q_toxicity, q_url_filter, q_warc
+    return q_decontaminate, q_line_dedup, q_minhash, q_packing, q_quality, q_token_count, q_toxicity, q_url_filter, q_warc
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
