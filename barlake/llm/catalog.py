@@ -7,6 +7,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
+import corpus_pipeline
 from barlake.session import ship_package
 
 
@@ -24,7 +25,7 @@ def _modules():
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {name: _shipped(fn) for m in _modules() for name, fn in m.QUERIES.items()}
+    return {name: _shipped(fn) for m in _modules() for name, fn in m.QUERIES.items()} | {"pipeline": _shipped(corpus_pipeline.run)}
 
 
 def oracle_sql() -> dict[str, str]:

@@ -77,7 +77,7 @@ def merged(spans: list[tuple[int, int]]) -> list[tuple[int, int]]:
     return [tuple(x) for x in out]
 
 
-def _scanning(shared, item_type):
+def _scanning(shared):
     def run(batches):
         windows, hashes = shared.value, WordHashes()
         for batch in slices(batches, "text"):
@@ -91,7 +91,7 @@ def _scanning(shared, item_type):
                 items.append(list({*old_items, *(i for _, _, found in hits for i in found)}))
             span = pa.list_(pa.struct([("a", pa.int32()), ("b", pa.int32())]))
             cols = {"n_words": pa.array(n, pa.int64()), "spans": pa.array(spans, span),
-                    "items": pa.array(items, pa.list_(item_type or batch.schema.field("items").type.value_type))}
+                    "items": pa.array(items, batch.schema.field("items").type)}
             yield pa.RecordBatch.from_arrays([cols.get(f.name, batch.column(i)) for i, f in enumerate(batch.schema)], names=batch.schema.names)
     return run
 
@@ -111,30 +111,31 @@ def _sliced(benchmark: DataFrame, item_col: str, text_col: str, p: Decontaminati
     return out
 
 
-def scan(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_col: str = "text",
-         item_col: str = "item_id", params: Decontamination = Decontamination()) -> DataFrame:
+def scan(docs: DataFrame, benchmark: DataFrame, text_col: str = "text", item_col: str = "item_id",
+         benchmark_text_col: str = "text", params: Decontamination = Decontamination()) -> DataFrame:
     """Hit word spans of every document.
 
-    Returns ``id_col, text_col, n_words, spans array<struct<a,b>> (words, end exclusive,
-    merged), items``, a row for each input row. No shuffle. Defined cases: a null or empty
+    Returns ``row`` (a struct of the other columns of ``docs``), ``text, n_words, spans
+    array<struct<a,b>>`` (words, end exclusive, merged), ``items``, a row for each input row. No shuffle. Defined cases: a null or empty
     text has no words; benchmark items that are null or have no words match nothing; equal
-    windows of several items name all of them; a null item id is carried as null; ids may be
-    null or repeat; other columns are ignored; empty tables give no rows or no hits.
+    windows of several items name all of them; a null item id is carried as null; other columns
+    are carried whatever their names; empty tables give no rows or no hits.
     """
     p, spark = params, docs.sparkSession
     tune(spark)
     item_type = benchmark.schema[item_col].dataType.simpleString()
-    src = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"), F.lit(0).cast("bigint").alias("n_words"),
+    others = [c for c in docs.columns if c != text_col]
+    src = docs.select(F.struct(*others).alias("row"), F.col(text_col).alias("text"), F.lit(0).cast("bigint").alias("n_words"),
                       F.expr("cast(array() as array<struct<a: int, b: int>>)").alias("spans"),
                       F.expr(f"cast(array() as array<{item_type}>)").alias("items"))
-    schema = f"id {src.schema['id'].dataType.simpleString()}, text string, n_words bigint, spans array<struct<a: int, b: int>>, items array<{item_type}>"
-    parts = _sliced(benchmark, item_col, "text", p)
+    schema = src.schema
+    parts = _sliced(benchmark, item_col, benchmark_text_col, p)
     for i, part in enumerate(parts):
         shared = spark.sparkContext.broadcast(WindowSet(part, p))
-        src = src.mapInArrow(_scanning(shared, None), schema)
+        src = src.mapInArrow(_scanning(shared), schema)
         if i + 1 < len(parts):
             src = written(src, "decontaminate")  # one window set in memory at a time
-    return src.select(F.col("id").alias(id_col), F.col("text").alias(text_col), "n_words", "spans", "items")
+    return src
 
 
 def _removing(batches):
@@ -158,16 +159,14 @@ def _without(text: bytes, spans: list[tuple[int, int]]) -> bytes:
     return b"".join(kept) + text[last:]
 
 
-def decontaminate(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_col: str = "text",
-                  drop_share: float = 0.5, params: Decontamination = Decontamination()) -> DataFrame:
+def decontaminate(docs: DataFrame, benchmark: DataFrame, text_col: str = "text", drop_share: float = 0.5,
+                  params: Decontamination = Decontamination()) -> DataFrame:
     """Documents without benchmark passages: hit spans are cut out of the text, and a document
     of which more than ``drop_share`` of the words are hit is dropped whole.
 
-    Returns ``id_col, text_col``; cases as for :func:`scan`.
+    Returns the columns of ``docs``; cases as for :func:`scan`. Texts without hits stay as they are.
     """
     hit = F.expr("aggregate(spans, 0L, (n, s) -> n + s.b - s.a)")
-    found = scan(docs, benchmark, id_col, text_col, params=params).where(hit <= F.col("n_words") * drop_share)
-    named = found.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"), "spans")
-    kind = named.schema["id"].dataType.simpleString()
-    out = named.mapInArrow(_removing, f"id {kind}, text string, spans array<struct<a: int, b: int>>")
-    return out.select(F.col("id").alias(id_col), F.col("text").alias(text_col))
+    found = scan(docs, benchmark, text_col, params=params).where(hit <= F.col("n_words") * drop_share).select("row", "text", "spans")
+    out = found.mapInArrow(_removing, found.schema)
+    return out.select(*[F.col("text").alias(c) if c == text_col else F.col(f"row.{c}").alias(c) for c in docs.columns])

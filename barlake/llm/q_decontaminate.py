@@ -11,10 +11,11 @@ PARAMS = Decontamination(window=10)
 
 
 def op5_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
-    found = scan(read_table(spark, sf_dir, "documents"), read_table(spark, sf_dir, "benchmark"), params=PARAMS)
+    docs = read_table(spark, sf_dir, "documents").select("doc_id", "text")
+    found = scan(docs, read_table(spark, sf_dir, "benchmark"), params=PARAMS)
     ids = F.array_join(F.array_sort(F.transform("items", lambda x: x.cast("string"))), ",")
     return found.select(
-        "doc_id", "n_words", F.expr("aggregate(spans, 0L, (n, s) -> n + s.b - s.a)").alias("n_hit"),
+        F.col("row.doc_id").alias("doc_id"), "n_words", F.expr("aggregate(spans, 0L, (n, s) -> n + s.b - s.a)").alias("n_hit"),
         F.size("items").cast("long").alias("n_items"), F.sha2(ids, 256).alias("items_sha256"),
         (F.size("spans") > 0).alias("contaminated"))
 

@@ -16,20 +16,28 @@ from barlake.llm.text import read_table
 PARAMS = Packing(capacity=2048, end_id=1)
 
 
-def _digested(batches):
-    for batch in batches:
-        ids = batch.column("input_ids")
-        offsets, values = ids.offsets.to_numpy(), ids.values.to_numpy().astype("<u4", copy=False)
-        crc = [zlib.crc32(values[a:b].data) for a, b in zip(offsets[:-1], offsets[1:])]
-        yield pa.RecordBatch.from_arrays(
-            [batch.column("doc_id"), batch.column("start"), pa.array(np.diff(offsets).astype(np.int64)), pa.array(crc, pa.int64()),
-             batch.column("doc_tokens"), batch.column("sequence_id"), batch.column("seq_offset")],
-            names=["doc_id", "start", "length", "ids_crc32", "doc_tokens", "sequence_id", "offset"])
-
-
-def digest(pieces: DataFrame) -> DataFrame:
-    return pieces.mapInArrow(_digested, "doc_id bigint, start bigint, length bigint, ids_crc32 bigint, doc_tokens bigint, "
-                                        "sequence_id bigint, offset bigint")
+SCHEMA = ("doc_id bigint, start bigint, length bigint, ids_crc32 bigint, doc_tokens bigint, sequence_id bigint, "
+          "offset bigint")
+
+
+def _digested(keep_ids: bool):
+    def run(batches):
+        for batch in batches:
+            ids = batch.column("input_ids")
+            offsets, values = ids.offsets.to_numpy(), ids.values.to_numpy().astype("<u4", copy=False)
+            crc = [zlib.crc32(values[a:b].data) for a, b in zip(offsets[:-1], offsets[1:])]
+            cols = {"doc_id": batch.column("doc_id"), "start": batch.column("start"), "length": pa.array(np.diff(offsets).astype(np.int64)),
+                    "ids_crc32": pa.array(crc, pa.int64()), "doc_tokens": batch.column("doc_tokens"),
+                    "sequence_id": batch.column("sequence_id"), "offset": batch.column("seq_offset")}
+            if keep_ids:
+                cols["input_ids"] = ids
+            yield pa.RecordBatch.from_arrays(list(cols.values()), names=list(cols))
+    return run
+
+
+def digest(pieces: DataFrame, keep_ids: bool = False) -> DataFrame:
+    """The columns of the query, and the ids themselves where they are wanted."""
+    return pieces.mapInArrow(_digested(keep_ids), SCHEMA + ", input_ids array<int>" * keep_ids)
 
 
 def op10_packing(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -47,7 +47,7 @@ def test_odd_rows_against_brute_force(spark):
     d = spark.createDataFrame(docs, "doc_id bigint, text string").withColumn("items", F.lit(1)).withColumn("item_id", F.lit(2))
     b = spark.createDataFrame(items, "item_id bigint, text string")
     for p in (Decontamination(), Decontamination(max_words=4)):
-        got = [(r.doc_id, r.n_words, sum(s.b - s.a for s in r.spans), len(r["items"]),
+        got = [(r.row.doc_id, r.n_words, sum(s.b - s.a for s in r.spans), len(r["items"]),
                 hashlib.sha256(",".join(sorted(map(str, r["items"]))).encode()).hexdigest(), bool(r.spans)) for r in scan(d, b, params=p).collect()]
         assert sorted(got, key=str) == brute(docs, items)
     assert scan(d.limit(0), b).count() == 0
@@ -58,6 +58,7 @@ def test_spans_leave_the_text(spark):
     ten = "a b c d e f g h i j"
     docs = [(1, "Before, it. " + ten + "! After it " + "w " * 30), (2, ten), (3, "clean  text\n"), (4, None)]
     d = spark.createDataFrame(docs, "doc_id bigint, text string")
+    assert decontaminate(d.withColumn("row", F.lit(1)), d.limit(0).withColumnRenamed("doc_id", "item_id")).columns == ["doc_id", "text", "row"]
     b = spark.createDataFrame([(1, ten)], "item_id bigint, text string")
     got = dict(map(tuple, decontaminate(d, b).collect()))
     assert got == {1: "Before, it. ! After it " + "w " * 30, 3: "clean  text\n", 4: None}
