@@ -149,43 +149,44 @@ def train(texts: list[np.ndarray], labels: np.ndarray, p: ToxicNet) -> Net:
 
     for _ in range(p.steps):
         chosen = np.concatenate([rng.choice(c, p.batch // 2) for c in classes])
+        flat = np.concatenate([rows[i] for i in chosen] + [np.zeros((pad, 3), np.int64)])
+        x = net.emb[flat[:, 0]] + net.emb[flat[:, 1]] + net.emb[flat[:, 2]]
+        y = net.responses(x)
+        ends = np.cumsum([len(rows[i]) for i in chosen])
+        best = np.zeros((len(chosen), y.shape[1]), np.int64)
+        top = np.zeros((len(chosen), y.shape[1]), np.float32)
+        for d, (end, i) in enumerate(zip(ends, chosen)):
+            start, stop = end - len(rows[i]), end - pad
+            if stop > start:
+                best[d] = y[start:stop].argmax(axis=0) + start
+                top[d] = np.maximum(y[best[d], np.arange(y.shape[1])], 0)
+        off = 1 / (1 + np.exp(-(top @ net.out + net.prior))) - labels[chosen]
+        g_out, g_prior = off @ top, float(off.sum())
+        g_top = (off[:, None] * net.out * (top > 0)).astype(np.float32)
+        g_bias = g_top.sum(axis=0)
         g_conv = [np.zeros_like(k) for k in net.conv]
-        g_bias, g_out, g_prior = np.zeros_like(net.bias), np.zeros_like(net.out), 0.0
         touched, grads = [], []
-        for i in chosen:
-            r = rows[i]
-            x = net.emb[r[:, 0]] + net.emb[r[:, 1]] + net.emb[r[:, 2]]
-            if len(r) == pad:
-                best, top = np.zeros(len(net.bias), np.int64), np.zeros(len(net.bias), np.float32)
-            else:
-                y = net.responses(x)
-                best = y.argmax(axis=0)
-                top = np.maximum(y[best, np.arange(y.shape[1])], 0)
-            d = 1 / (1 + np.exp(-float(top @ net.out + net.prior))) - labels[i]
-            g_out += d * top
-            g_prior += d
-            g_top = d * net.out * (top > 0)
-            g_bias += g_top
-            for f in np.flatnonzero(g_top):
-                w = width_of[f]
-                k, col, at = net.conv[w], f % p.filters, best[f]
-                span = slice(at, at + len(k))
-                g_conv[w][:, :, col] += g_top[f] * x[span]
-                touched.append(r[span])
-                grads.append(np.repeat((g_top[f] * k[:, :, col])[:, None, :], 3, axis=1))
+        doc, f = np.nonzero(g_top)
+        g, at, col = g_top[doc, f][:, None], best[doc, f], f % p.filters
+        for w, kernel in enumerate(net.conv):
+            own = width_of[f] == w
+            for j in range(len(kernel)):
+                np.add.at(g_conv[w][j].T, col[own], g[own] * x[at[own] + j])
+                back = g[own] * kernel[j][:, col[own]].T
+                for one in range(3):
+                    touched.append(flat[at[own] + j, one])
+                    grads.append(back)
         n = len(chosen)
-        if touched:
-            at = np.concatenate(touched).reshape(-1)
-            g = np.concatenate(grads).reshape(-1, p.dim)
-            one, back = np.unique(at, return_inverse=True)
+        if len(doc):
+            one, back = np.unique(np.concatenate(touched), return_inverse=True)
             total = np.zeros((len(one), p.dim), np.float32)
-            np.add.at(total, back, g)
+            np.add.at(total, back, np.concatenate(grads))
             total[one == 0] = 0
             step(net.emb, slots[0], total / n, one)
-        for k, s, g in zip(net.conv, slots[1:], g_conv):
-            step(k, s, g / n)
+        for k, s, change in zip(net.conv, slots[1:], g_conv):
+            step(k, s, change / n)
         step(net.bias, slots[-2], g_bias / n)
-        step(net.out, slots[-1], g_out / n)
+        step(net.out, slots[-1], (g_out / n).astype(np.float32))
         prior_slot += (g_prior / n) ** 2
         net.prior -= np.float32(p.rate * g_prior / n / (np.sqrt(prior_slot) + 1e-6))
     return net
