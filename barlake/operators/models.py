@@ -28,13 +28,12 @@ import numpy as np
 import pandas as pd
 from pyspark.ml import Pipeline, PipelineModel
 from pyspark.ml.feature import PolynomialExpansion, StandardScaler, VectorAssembler
-from pyspark.ml.functions import vector_to_array
 from pyspark.ml.regression import (DecisionTreeRegressor, GBTRegressor, LinearRegression,
                                    RandomForestRegressor)
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from barlake.operators.clean import apply_standard, fit_standard
+from barlake.operators.clean import fit_standard
 from barlake.session import cut_lineage
 
 SEED = 42
@@ -50,9 +49,10 @@ PRESETS = {
                      featureSubsetStrategy="all"),
     "catboost": dict(kind="gbt", maxIter=100, maxDepth=6, stepSize=0.1, subsamplingRate=1.0,
                      featureSubsetStrategy="all"),
-    "extra_trees": dict(kind="rf", numTrees=100, bootstrap=False, featureSubsetStrategy="onethird",
+    # depth is a parameter of every tree family: fit(..., maxDepth=d), up to Spark's ceiling of 30
+    "extra_trees": dict(kind="rf", numTrees=100, bootstrap=False, featureSubsetStrategy="all",
                         maxDepth=10),
-    "random_forest": dict(kind="rf", numTrees=100, bootstrap=True, featureSubsetStrategy="onethird",
+    "random_forest": dict(kind="rf", numTrees=100, bootstrap=True, featureSubsetStrategy="all",
                           maxDepth=10),
     "bagging": dict(kind="rf", numTrees=10, bootstrap=True, featureSubsetStrategy="all",
                     subsamplingRate=1.0, maxDepth=10),
@@ -97,7 +97,9 @@ class FittedModel:
 
     # -- persistence (G16) ------------------------------------------------------------
     def save(self, spark, path: str) -> None:
-        meta = {"name": self.name, "features": self.features, "scaler": self.scaler, "extra": self.extra}
+        extra = {k: v for k, v in self.extra.items() if k != "trees"}  # tree models are saved beside
+        meta = {"name": self.name, "features": self.features, "scaler": self.scaler, "extra": extra,
+                "pipeline": self.pipeline is not None}
         spark.createDataFrame([(json.dumps(meta),)], "meta string").coalesce(1) \
             .write.mode("overwrite").text(f"{path}/meta")
         if self.pipeline is not None:
@@ -110,11 +112,7 @@ class FittedModel:
     def load(spark, path: str) -> "FittedModel":
         meta = json.loads(spark.read.text(f"{path}/meta").first()[0])
         extra = meta.get("extra") or {}
-        pipe = None
-        try:
-            pipe = PipelineModel.load(f"{path}/pipeline")
-        except Exception:  # noqa: BLE001 - driver-side models have no pipeline
-            pipe = None
+        pipe = PipelineModel.load(f"{path}/pipeline") if meta["pipeline"] else None
         if extra.get("kind") == "adaboost":
             from pyspark.ml.regression import DecisionTreeRegressionModel
             extra["trees"] = [DecisionTreeRegressionModel.load(f"{path}/tree_{i}")
@@ -185,15 +183,24 @@ def _fit(name, data, features, seed, weight_col, validation_col, overrides) -> F
     if kind == "rf":
         est = RandomForestRegressor(featuresCol="features", labelCol=LABEL, seed=seed, **cfg)
         return FittedModel(name, features, Pipeline(stages=[_assembler(features), est]).fit(data))
-    if kind == "bayes":
-        return _bayes_fit(name, data, features, cfg)
     if kind == "adaboost":
         return _ada_fit(name, data, features, cfg, seed)
+    if kind == "polynomial":
+        # expand the raw features, standardise, ridge. The scaler divides by the sample deviation;
+        # (n - 1) / n in the penalty makes that the fit on population-standardised terms
+        sy, n = _label_std(data)
+        stages = [_assembler(features), PolynomialExpansion(degree=cfg["degree"], inputCol="features", outputCol="poly"),
+                  StandardScaler(inputCol="poly", outputCol="poly_s", withMean=True, withStd=True),
+                  LinearRegression(featuresCol="poly_s", labelCol=LABEL, solver="normal", standardization=False,
+                                   regParam=cfg["alpha"] * sy / max(n, 1) * max(n - 1, 1) / max(n, 1))]
+        return FittedModel(name, features, Pipeline(stages=stages).fit(data))
     # linear family on population-standardised features
     stats = fit_standard(data, features).first()
     scaler = {c: (float(stats[c]["m"]), float(stats[c]["s"] or 1.0) or 1.0) for c in features}
     model = FittedModel(name, features, None, scaler)
     scaled = model._scaled(data)
+    if kind == "bayes":  # one shared prior: only comparable on standardised features
+        return _bayes_fit(name, scaled, features, cfg, scaler)
     sy, n = _label_std(data)
     if kind == "linear":
         lr = LinearRegression(regParam=0.0, solver="normal", standardization=False)
@@ -208,14 +215,6 @@ def _fit(name, data, features, seed, weight_col, validation_col, overrides) -> F
         reg = a * l1 + a * (1 - l1) * sy
         lr = LinearRegression(regParam=reg, elasticNetParam=(a * l1 / reg) if reg else 0.0,
                               maxIter=cfg["maxIter"], standardization=False)
-    elif kind == "polynomial":
-        stages = [_assembler(features), PolynomialExpansion(degree=cfg["degree"], inputCol="features",
-                                                            outputCol="poly"),
-                  StandardScaler(inputCol="poly", outputCol="poly_s", withMean=True, withStd=True),
-                  LinearRegression(featuresCol="poly_s", labelCol=LABEL, regParam=cfg["alpha"] * sy / max(n, 1),
-                                   solver="normal", standardization=False)]
-        model.pipeline = Pipeline(stages=stages).fit(scaled)
-        return model
     else:
         raise ValueError(f"unknown model kind {kind}")
     lr = lr.setFeaturesCol("features").setLabelCol(LABEL)
@@ -271,43 +270,20 @@ def metrics(pred: DataFrame, label: str = "target_return_1d", p: str = "predicte
 # -- Bayesian ridge (G9, U4) ------------------------------------------------------------------
 
 def gram_stats(df: DataFrame, features: list[str], label: str = LABEL):
-    """n, means, centred XᵀX, Xᵀy, yᵀy.
+    """n, means, centred XᵀX, Xᵀy, yᵀy of complete rows: one pass, a row for each pair of
+    columns and partition, whatever the number of features."""
+    from barlake.functions.moments import cross_moments
 
-    Up to 60 features: one DataFrame aggregate of p(p+3)/2 + 3 sums. Wider:
-    ``RowMatrix.computeGramianMatrix`` (tree-aggregated packed outer products),
-    which keeps the plan small however many features there are."""
     p = len(features)
-    if p > 60:
-        from pyspark.mllib.linalg.distributed import RowMatrix
-        rows = df.select(F.array(*[F.col(c).cast("double") for c in [*features, label]]).alias("r")).rdd \
-            .map(lambda r: r[0])
-        rm = RowMatrix(rows)
-        g = rm.computeGramianMatrix().toArray()
-        summ = rm.computeColumnSummaryStatistics()
-        n = float(summ.count())
-        mean = np.asarray(summ.mean(), dtype=float)
-        mx, my = mean[:p], float(mean[p])
-        xx_c = g[:p, :p] - n * np.outer(mx, mx)
-        xy_c = g[:p, p] - n * mx * my
-        yy_c = float(g[p, p]) - n * my * my
-        return n, mx, my, xx_c, xy_c, yy_c
-    aggs = [F.count(F.lit(1)).alias("n"), F.sum(label).alias("sy"), F.sum(F.col(label) ** 2).alias("syy")]
-    aggs += [F.sum(c).alias(f"s_{i}") for i, c in enumerate(features)]
-    aggs += [F.sum(F.col(c) * F.col(label)).alias(f"xy_{i}") for i, c in enumerate(features)]
-    aggs += [F.sum(F.col(features[i]) * F.col(features[j])).alias(f"xx_{i}_{j}")
-             for i in range(p) for j in range(i, p)]
-    r = df.agg(*aggs).first()
-    n = float(r["n"])
-    mx = np.array([r[f"s_{i}"] for i in range(p)], dtype=float) / n
-    my = float(r["sy"]) / n
-    xx = np.zeros((p, p))
-    for i in range(p):
-        for j in range(i, p):
-            xx[i, j] = xx[j, i] = r[f"xx_{i}_{j}"]
-    xx_c = xx - n * np.outer(mx, mx)
-    xy_c = np.array([r[f"xy_{i}"] for i in range(p)], dtype=float) - n * mx * my
-    yy_c = float(r["syy"]) - n * my * my
-    return n, mx, my, xx_c, xy_c, yy_c
+    found, shift = cross_moments(df, [*features, label])
+    n, total, cross = 0.0, np.zeros(p + 1), np.zeros((p + 1, p + 1))
+    for r in found.collect():  # (p + 1)(p + 2) / 2 rows
+        cross[r.i, r.j] = cross[r.j, r.i] = r.sxy
+        if r.i == r.j:
+            n, total[r.i] = r.n, r.sx
+    centred = cross - np.outer(total, total) / max(n, 1.0)
+    mean = shift + total / max(n, 1.0)
+    return n, mean[:p], float(mean[p]), centred[:p, :p], centred[:p, p], float(centred[p, p])
 
 
 def bayes_evidence(n, xx, xy, yy, max_iter=300, tol=1e-3, alpha_1=1e-6, alpha_2=1e-6,
@@ -334,13 +310,13 @@ def bayes_evidence(n, xx, xy, yy, max_iter=300, tol=1e-3, alpha_1=1e-6, alpha_2=
     return coef, alpha, lam, sigma
 
 
-def _bayes_fit(name, data, features, cfg) -> FittedModel:
+def _bayes_fit(name, data, features, cfg, scaler) -> FittedModel:
     n, mx, my, xx, xy, yy = gram_stats(data, features)
     coef, alpha, lam, sigma = bayes_evidence(n, xx, xy, yy, **cfg)
     intercept = my - float(mx @ coef)
     extra = {"kind": "bayes", "coef": coef.tolist(), "intercept": intercept, "alpha": alpha,
              "lambda": lam, "sigma": sigma.tolist(), "x_mean": mx.tolist()}
-    return FittedModel(name, features, None, None, extra)
+    return FittedModel(name, features, None, scaler, extra)
 
 
 def _bayes_predict(model: FittedModel, df: DataFrame) -> DataFrame:
@@ -365,7 +341,11 @@ def _bayes_predict(model: FittedModel, df: DataFrame) -> DataFrame:
         quad = np.einsum("ij,jk,ik->i", c, sig, c)
         return pd.DataFrame({PRED: m @ w + b, "uncertainty": np.sqrt(np.clip(quad, 0.0, None) + inv_alpha)})
 
-    s = score(F.struct(*[F.col(c).cast("double").alias(f"x{i}") for i, c in enumerate(model.features)]))
+    def standard(c):
+        m, s = model.scaler[c]
+        return (F.col(c).cast("double") - F.lit(m)) / F.lit(s if s else 1.0)
+
+    s = score(F.struct(*[standard(c).alias(f"x{i}") for i, c in enumerate(model.features)]))
     return df.withColumn("_bayes", s).withColumns({PRED: F.col("_bayes")[PRED],
                                                    "uncertainty": F.col("_bayes")["uncertainty"]}).drop("_bayes")
 
@@ -449,11 +429,6 @@ def tree_spread(model: FittedModel, df: DataFrame, staged: bool = False, step: i
     return out.drop(*names, "features")
 
 
-def zero_uncertainty(df: DataFrame) -> DataFrame:
-    """U1."""
-    return df.withColumn("uncertainty", F.lit(0.0))
-
-
 # -- model-based selection (L4-L6) ---------------------------------------------------------------------
 
 def _score_table(names, vals, method, selected_names):
@@ -464,30 +439,40 @@ def _score_table(names, vals, method, selected_names):
     return df.withColumn("rank", F.row_number().over(w))
 
 
+def _selection_frame(df: DataFrame, features, label) -> DataFrame:
+    """Labelled rows, nulls of a feature replaced by its median: no row is lost to a missing feature."""
+    from barlake.operators.clean import median_impute
+    return median_impute(df.where(F.col(label).isNotNull()), list(features))
+
+
 def importance_scores(df: DataFrame, features, label, threshold: float = 0.001, numTrees: int = 100) -> DataFrame:
-    """Random-forest importance ≥ threshold."""
+    """Random-forest importance ≥ threshold, on median-imputed features."""
+    df = _selection_frame(df, features, label)
     m = fit("random_forest", df, features, label, numTrees=numTrees)
     vals = m.pipeline.stages[-1].featureImportances.toArray()
     return _score_table(features, vals, "importance", {f for f, v in zip(features, vals) if v >= threshold})
 
 
 def lasso_scores(df: DataFrame, features, label, alpha: float | None = None) -> DataFrame:
-    """Non-zero lasso coefficients; α from 5-fold CV over a grid when None."""
+    """Non-zero lasso coefficients on the unscaled, median-imputed features; α from
+    5-fold CV over a grid when None."""
+    df = _selection_frame(df, features, label)
     if alpha is None:
         from pyspark.ml.evaluation import RegressionEvaluator
         from pyspark.ml.tuning import CrossValidator, ParamGridBuilder
         data = training_frame(df, features, label)
-        stats = fit_standard(data, features)
-        scaled = apply_standard(data, stats, features)
         lr = LinearRegression(featuresCol="features", labelCol=LABEL, elasticNetParam=1.0, standardization=False)
         grid = ParamGridBuilder().addGrid(lr.regParam, [10 ** k for k in range(-6, 1)]).build()
         cv = CrossValidator(estimator=Pipeline(stages=[_assembler(features), lr]), estimatorParamMaps=grid,
                             evaluator=RegressionEvaluator(labelCol=LABEL, metricName="mse"),
                             numFolds=5, seed=SEED, parallelism=4)
-        best = cv.fit(scaled)
+        best = cv.fit(data)
         coefs = best.bestModel.stages[-1].coefficients.toArray()
     else:
-        coefs = fit("lasso", df, features, label, alpha=alpha).pipeline.stages[-1].coefficients.toArray()
+        lr = LinearRegression(featuresCol="features", labelCol=LABEL, regParam=alpha, elasticNetParam=1.0, maxIter=1000,
+                              standardization=False)
+        fitted = Pipeline(stages=[_assembler(features), lr]).fit(training_frame(df, features, label))
+        coefs = fitted.stages[-1].coefficients.toArray()
     vals = np.abs(coefs)
     return _score_table(features, vals, "lasso", {f for f, v in zip(features, vals) if v > 0})
 
@@ -498,7 +483,7 @@ def rfe_scores(df: DataFrame, features, label, n_features: int = 50, step: int =
 
     The feature frame is checkpointed once; each round is one forest fit.
     Score = elimination round (survivors rank best)."""
-    data = cut_lineage(training_frame(df, features, label).select(*features, LABEL))
+    data = cut_lineage(training_frame(_selection_frame(df, features, label), features, label).select(*features, LABEL))
     remaining = list(features)
     eliminated_at = {}
     rnd = 0
@@ -514,6 +499,3 @@ def rfe_scores(df: DataFrame, features, label, n_features: int = 50, step: int =
     vals = [eliminated_at.get(f, rnd) for f in features]
     return _score_table(features, vals, "rfe", set(remaining))
 
-
-def vector_column_to_array(df: DataFrame, c: str) -> DataFrame:
-    return df.withColumn(c, vector_to_array(c))

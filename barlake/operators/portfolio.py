@@ -11,11 +11,13 @@ from barlake.functions.windows import DEFAULT, KEY, TIME, PanelSpec
 
 def max_drawdown(df: DataFrame, ret: str, spec: PanelSpec = DEFAULT) -> DataFrame:
     """Per instrument, min of equity / running peak - 1 (peak includes the
-    starting capital), equity = Π(1 + r) in date order, via log sums."""
-    lg = F.sum(F.ln(1 + F.col(ret))).over(spec.cumulative())
-    out = df.withColumn("_lg", lg)
+    starting capital), equity = Π(1 + r) in date order, via log sums. A return of
+    -1 or less leaves nothing: equity is 0 from there on, a drawdown of -1."""
+    lg = F.sum(F.when(F.col(ret) > -1, F.ln(1 + F.col(ret)))).over(spec.cumulative())
+    lost = F.max(F.coalesce(F.col(ret) <= -1, F.lit(False))).over(spec.cumulative())
+    out = df.withColumns({"_lg": lg, "_lost": lost})
     peak = F.greatest(F.lit(0.0), F.max("_lg").over(spec.cumulative()))
-    out = out.withColumn("_dd", F.exp(F.col("_lg") - peak) - 1)
+    out = out.withColumn("_dd", F.when(F.col("_lost"), F.lit(-1.0)).otherwise(F.exp(F.col("_lg") - peak) - 1))
     return out.groupBy(*spec.keys).agg(F.min("_dd").alias("max_drawdown"))
 
 

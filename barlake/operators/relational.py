@@ -13,7 +13,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from barlake.functions.windows import DEFAULT, KEY, TIME, PanelSpec
-from barlake.sources.panels import gap_grid, hour_bucket
+from barlake.sources.panels import gap_grid
 
 
 def key_join(*frames: DataFrame, how: str = "inner", keys=(KEY, TIME)) -> DataFrame:
@@ -26,14 +26,19 @@ def key_join(*frames: DataFrame, how: str = "inner", keys=(KEY, TIME)) -> DataFr
 
 def asof_previous_bar(ticks: DataFrame, bars: DataFrame, key_col: str = "event_type",
                       ts_col: str = "ts", step: str = "1 hour") -> DataFrame:
-    """Each tick with the newest bar that closed at or before it."""
+    """Each tick with the newest bar that closed at or before it; a tick past the
+    grid's end takes the last bar of its instrument. ``step`` is the bars' length."""
     grid = gap_grid(bars.select(KEY, TIME, "close"), step)
     filled = grid.select(
         KEY, TIME,
         F.last(F.when(F.col("close").isNotNull(), F.col(TIME)), ignorenulls=True)
         .over(DEFAULT.cumulative()).alias("prev_bar_date"),
         F.last("close", ignorenulls=True).over(DEFAULT.cumulative()).alias("prev_close"))
-    probe = ticks.withColumn("_cell", hour_bucket(ts_col) - F.expr(f"INTERVAL {step}"))
+    # one row per instrument: where its grid ends
+    ends = bars.groupBy(F.col(KEY).alias("_key")).agg(F.max(TIME).alias("_end"))
+    bucket = F.window(F.col(ts_col), step)["start"] - F.expr(f"INTERVAL {step}")
+    probe = (ticks.withColumn("_cell", bucket).join(ends, F.col(key_col) == F.col("_key"), "left")
+             .withColumn("_cell", F.least("_cell", "_end")).drop("_key", "_end"))
     j = probe.join(filled, (probe[key_col] == filled[KEY]) & (probe["_cell"] == filled[TIME]), "left")
     return j.drop("_cell", KEY, TIME)
 

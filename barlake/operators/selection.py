@@ -87,41 +87,28 @@ def mutual_info_binned(df: DataFrame, features: list[str], label: str, k: int =
     return _ranked(mi, "score", k, None, "mutual_info")
 
 
-WIDE = 40
+def correlation_pairs(df: DataFrame, features: list[str]) -> DataFrame:
+    """All pairwise |Pearson| as ``(left, right, li, ri, corr)`` with left before right.
 
+    Over the rows where both are present, for any number of features; null where fewer than
+    two rows are or one of the two is constant there."""
+    from barlake.functions.moments import cross_moments
 
-def correlation_pairs(df: DataFrame, features: list[str], method: str | None = None) -> DataFrame:
-    """All pairwise |Pearson| as ``(left, right, li, ri, corr)`` with left before right.
+    found, _ = cross_moments(df, list(features))
+    names = F.array(*[F.lit(f) for f in features])
+    vx, vy = F.col("sxx") - F.col("sx") ** 2 / F.col("n"), F.col("syy") - F.col("sy") ** 2 / F.col("n")
+    corr = F.abs((F.col("sxy") - F.col("sx") * F.col("sy") / F.col("n")) / F.sqrt(vx * vy))
+    # a variance that is rounding noise of its own sum of squares counts as 0
+    spread = (vx > 1e-14 * F.col("sxx")) & (vy > 1e-14 * F.col("syy"))
+    return (found.where("i < j and n > 0")
+            .select(names[F.col("i")].alias("left"), names[F.col("j")].alias("right"), F.col("i").alias("li"), F.col("j").alias("ri"),
+                    F.when((F.col("n") > 1) & spread, F.least(corr, F.lit(1.0))).alias("corr")))
 
-    ``pairwise`` (default up to 40 features): one aggregate over complete
-    pairs, exactly the pandas ``DataFrame.corr`` semantics. ``matrix`` (wider
-    inputs): median-impute, assemble a vector and let ``ml.stat.Correlation``
-    tree-aggregate one Gram matrix (p² numbers return to the driver).
-    """
-    method = method or ("pairwise" if len(features) <= WIDE else "matrix")
-    if method == "matrix":
-        from pyspark.ml.feature import VectorAssembler
-        from pyspark.ml.stat import Correlation
-        from barlake.operators.clean import median_impute
-        vec = VectorAssembler(inputCols=list(features), outputCol="_v").transform(
-            median_impute(df.select(*features), list(features)))
-        m = Correlation.corr(vec, "_v").first()[0].toArray()
-        rows = [(features[i], features[j], i, j, float(abs(m[i, j])) if m[i, j] == m[i, j] else None)
-                for i, j in combinations(range(len(features)), 2)]
-        return df.sparkSession.createDataFrame(rows, "left string, right string, li int, ri int, corr double")
-    pairs = list(combinations(range(len(features)), 2))
-    wide = df.agg(*[F.abs(safe_corr(features[i], features[j])).alias(f"_{i}_{j}") for i, j in pairs])
-    stack = F.explode(F.array(*[F.struct(F.lit(features[i]).alias("left"), F.lit(features[j]).alias("right"),
-                                         F.lit(i).alias("li"), F.lit(j).alias("ri"),
-                                         F.col(f"_{i}_{j}").alias("corr")) for i, j in pairs]))
-    return wide.select(stack.alias("p")).select("p.*")
-
-
-def remove_correlated(df: DataFrame, features: list[str], threshold: float = 0.9,
-                      method: str | None = None) -> DataFrame:
+
+def remove_correlated(df: DataFrame, features: list[str], threshold: float = 0.9) -> DataFrame:
     """A feature is dropped when |corr| with any earlier feature exceeds the
     threshold (earlier features count even if they are dropped themselves)."""
-    pairs = correlation_pairs(df, features, method)
+    pairs = correlation_pairs(df, features)
     dropped = pairs.where(F.col("corr") > threshold).groupBy("right").agg(
         F.min("li").alias("because_of"))
     names = df.sparkSession.createDataFrame([(f, i) for i, f in enumerate(features)], "feature string, idx int")

@@ -79,15 +79,20 @@ def contiguous_folds(df: DataFrame, k: int = 5, time: str = TIME, key: str = KEY
 def expanding_folds(df: DataFrame, k: int = 5, time: str = TIME, key: str = KEY) -> DataFrame:
     """M4: expanding-window folds: test blocks of n // (k+1) rows at the end,
     train = every earlier row. Long form (fold, role, row...)."""
+    ex = expanding_blocks(df, k, time, key, "_block").withColumn("fold", F.explode(F.sequence(F.lit(0), F.lit(k - 1))))
+    role = F.when(F.col("_block") < F.col("fold"), "train").when(F.col("_block") == F.col("fold"), "test")
+    return ex.withColumn("role", role).where(F.col("role").isNotNull()).drop("_block")
+
+
+def expanding_blocks(df: DataFrame, k: int = 5, time: str = TIME, key: str = KEY, out: str = "block") -> DataFrame:
+    """M4 without copies: the test block 0..k-1 a row is in, -1 before the first. Fold f tests
+    ``block = f`` on a model of ``block < f``."""
     pos = with_position(df, time, key, "_pos")
     n = _n(df)
-    ts = F.floor(n / (k + 1))
+    ts = F.greatest(F.floor(n / (k + 1)), F.lit(1))
     first_test = n - ts * k
-    p = F.col("_pos")
-    ex = pos.withColumn("fold", F.explode(F.sequence(F.lit(0), F.lit(k - 1))))
-    start = first_test + F.col("fold") * ts
-    role = F.when(p < start, "train").when(p < start + ts, "test")
-    return ex.withColumn("role", role).where(F.col("role").isNotNull()).drop("_pos")
+    block = F.greatest(F.floor((F.col("_pos") - first_test) / ts), F.lit(-1)).cast("int")
+    return pos.withColumn(out, block).drop("_pos")
 
 
 def holdout_tail(df: DataFrame, frac: float = 0.8, time: str = TIME, key: str = KEY) -> DataFrame:

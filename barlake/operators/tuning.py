@@ -18,62 +18,63 @@ from pyspark.sql import functions as F
 
 from barlake.operators import models as M
 from barlake.operators import splits as S
-from barlake.session import cut_lineage
+from barlake.session import written
 
-# Search spaces per model family (ranges of the reference).
+# Search ranges per model family. Parameters that Spark ML has no counterpart
+# for (reg_alpha, reg_lambda, l2_leaf_reg, num_leaves) are left out; colsample_bytree is
+# featureSubsetStrategy, min_samples_leaf and min_samples_split bound minInstancesPerNode.
 SPACES = {
-    "xgboost": {"maxDepth": ("int", 3, 10), "stepSize": ("log", 0.01, 0.3), "maxIter": ("int", 50, 300),
-                "subsamplingRate": ("float", 0.6, 1.0)},
-    "lightgbm": {"maxDepth": ("int", 3, 10), "stepSize": ("log", 0.01, 0.3), "maxIter": ("int", 50, 300),
-                 "subsamplingRate": ("float", 0.6, 1.0)},
-    "catboost": {"maxDepth": ("int", 4, 10), "stepSize": ("log", 0.01, 0.3), "maxIter": ("int", 50, 300)},
-    "random_forest": {"numTrees": ("int", 50, 300), "maxDepth": ("int", 3, 20)},
-    "ridge": {"alpha": ("log", 1e-4, 10.0)},
-    "lasso": {"alpha": ("log", 1e-5, 1.0)},
+    "xgboost": {"maxIter": ("int", 50, 500), "maxDepth": ("int", 3, 10), "stepSize": ("float", 0.01, 0.3),
+                "subsamplingRate": ("float", 0.6, 1.0), "featureSubsetStrategy": ("share", 0.6, 1.0)},
+    "lightgbm": {"maxIter": ("int", 50, 500), "maxDepth": ("int", 3, 15), "stepSize": ("float", 0.01, 0.3),
+                 "subsamplingRate": ("float", 0.6, 1.0), "featureSubsetStrategy": ("share", 0.6, 1.0)},
+    "catboost": {"maxIter": ("int", 50, 500), "maxDepth": ("int", 3, 10), "stepSize": ("float", 0.01, 0.3)},
+    "ridge": {"alpha": ("float", 0.1, 100.0)},
+    "lasso": {"alpha": ("float", 0.001, 10.0), "maxIter": ("int", 500, 2000)},
+    "random_forest": {"numTrees": ("int", 50, 300), "maxDepth": ("int", 5, 20), "minInstancesPerNode": ("int", 1, 10),
+                      "featureSubsetStrategy": ("choice", ["all", "sqrt", "log2"])},
 }
 
 
 def sample(space: dict, rng: random.Random) -> dict:
     out = {}
-    for k, (kind, lo, hi) in space.items():
-        if kind == "int":
-            out[k] = rng.randint(lo, hi)
-        elif kind == "log":
-            out[k] = math.exp(rng.uniform(math.log(lo), math.log(hi)))
+    for k, (kind, *between) in space.items():
+        if kind == "choice":
+            out[k] = rng.choice(between[0])
+        elif kind == "int":
+            out[k] = rng.randint(*between)
         else:
-            out[k] = rng.uniform(lo, hi)
+            out[k] = rng.uniform(*between)
+            if kind == "share":  # Spark takes a share of the features as text
+                out[k] = f"{out[k]:.3f}"
     return out
 
 
-def cv_score(name: str, folded: DataFrame, features, label, params: dict, k: int) -> float:
-    """sqrt(mean fold MSE) over the fold column's test rows."""
+def cv_score(name: str, blocks: DataFrame, features, label, params: dict, k: int, time_series: bool) -> float:
+    """sqrt(mean fold MSE); folds are filters on the ``_block`` column, never copies of the rows."""
     mses = []
     for f in range(k):
-        tr = folded.where((F.col("fold") == f) & (F.col("role") == "train"))
-        te = folded.where((F.col("fold") == f) & (F.col("role") == "test"))
-        m = M.fit(name, tr, features, label, **params)
-        mses.append(M.metrics(M.predict(m, te, keep=[label]), label)["mse"])
+        past = F.col("_block") < f if time_series else F.col("_block") != f
+        m = M.fit(name, blocks.where(past), features, label, **params)
+        mses.append(M.metrics(M.predict(m, blocks.where(F.col("_block") == f)), label)["mse"])
     return math.sqrt(sum(mses) / len(mses))
 
 
 def random_search(name: str, df: DataFrame, features, label, n_trials: int = 100, k: int = 5,
-                  seed: int = 42, time_series: bool = True, workers: int = 8) -> DataFrame:
-    """E10 + E12: trial history ``(trial, params, score, best_so_far)`` (n_trials rows)."""
+                  seed: int = 42, time_series: bool = False, workers: int = 8) -> DataFrame:
+    """E10 + E12: trial history ``(trial, params, score, best_so_far)`` (n_trials rows).
+
+    Shuffled folds by default; ``time_series`` tests each of k blocks at the end on all rows before it."""
     data = M.training_frame(df, features, label).drop(M.LABEL)
-    if time_series:
-        folded = S.expanding_folds(data, k)
-    else:
-        folded = S.shuffled_folds(data, k).withColumn("_f", F.col("fold"))
-        folded = (folded.withColumn("fold", F.explode(F.sequence(F.lit(0), F.lit(k - 1))))
-                  .withColumn("role", F.when(F.col("_f") == F.col("fold"), "test").otherwise("train")).drop("_f"))
-    folded = cut_lineage(folded)
+    blocks = S.expanding_blocks(data, k, out="_block") if time_series else S.shuffled_folds(data, k, out="_block")
+    blocks = written(blocks, "search-folds")
     rng = random.Random(seed)
     trials = [sample(SPACES[name], rng) for _ in range(n_trials)]
 
     def run(i_params):
         i, params = i_params
         try:
-            return i, params, cv_score(name, folded, features, label, params, k)
+            return i, params, cv_score(name, blocks, features, label, params, k, time_series)
         except Exception:  # noqa: BLE001 - a failing trial scores null
             return i, params, None
 
@@ -81,8 +82,8 @@ def random_search(name: str, df: DataFrame, features, label, n_trials: int = 100
         rows = list(pool.map(run, enumerate(trials)))
     spark = df.sparkSession
     hist = spark.createDataFrame(
-        [(i, name, {k2: float(v) for k2, v in p.items()}, s) for i, p, s in rows],
-        "trial int, model string, params map<string,double>, score double")
+        [(i, name, {k2: str(v) for k2, v in p.items()}, s) for i, p, s in rows],
+        "trial int, model string, params map<string,string>, score double")
     from barlake.operators.ensemble import best_so_far
     return best_so_far(hist)
 

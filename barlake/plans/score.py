@@ -19,7 +19,7 @@ def score_latest(bars: DataFrame, model: M.FittedModel, n: int = 10, at=None) ->
     frame, _ = build_training_frame(bars)
     latest = ranking.latest_rows(frame.select("stock_code", "date", "close", *model.features))
     pred = M.predict(model, latest, keep=["stock_code", "date", "close"])
-    pred = ranking.predict_price(pred, "predicted_return", "close", at or dt.datetime(2000, 1, 1))
+    pred = ranking.predict_price(pred, "predicted_return", "close", at or dt.datetime.now(dt.timezone.utc).replace(tzinfo=None))
     return pred, ranking.submission(pred, n)
 
 

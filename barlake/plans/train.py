@@ -25,7 +25,8 @@ def train(bars: DataFrame, models=("linear", "ridge", "bayesian_ridge"), method:
     frame, feats = build_training_frame(bars)
     frame = frame.where("target_return_1d IS NOT NULL")
     chosen, _ = selection.select_features(frame, feats, "target_return_1d", method, **select_kw)
-    chosen = chosen or feats
+    if not chosen:
+        raise ValueError("the selection keeps no feature; loosen its threshold")
     split = splits.time_split(frame)
     fitted, hist = ensemble.train_many(split, chosen, "target_return_1d", list(models))
     best = ensemble.best_model(hist).first()

@@ -7,7 +7,6 @@ missing file raises (``AnalysisException``) instead of returning None.
 from __future__ import annotations
 
 import time
-from pathlib import Path
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -128,12 +127,14 @@ def load_bar_range(bars: DataFrame, universe: DataFrame | None, start, end,
                    fields: list[str] | None = None) -> DataFrame:
     """Range scan + universe semi join + field projection.
 
-    The date predicate is on the scan column, so Parquet pushes it down (and
-    prunes partitions of month-partitioned bar files). The universe is joined
+    The date predicate is on the scan column, so Parquet pushes it down; bars
+    partitioned by year are pruned to the years of the range. The universe is joined
     with ``left_semi``: AQE broadcasts it when small, otherwise shuffles.
     """
     d = F.to_date(F.col(TIME))
     out = bars.where(d.between(F.to_date(F.lit(start)), F.to_date(F.lit(end))))
+    if "year" in bars.columns:  # written by save_bars: prunes its partitions
+        out = out.where(F.col("year").between(F.year(F.to_date(F.lit(start))), F.year(F.to_date(F.lit(end)))))
     if universe is not None:
         out = out.join(universe.select(KEY).distinct(), KEY, "left_semi")
     if fields:
@@ -179,13 +180,12 @@ def cached_stage(spark: SparkSession, df: DataFrame, root: str, name: str,
     dir); the age comes from the files' own modification times.
     """
     path = f"{root.rstrip('/')}/{name}"
-    try:
+    hpath = spark._jvm.org.apache.hadoop.fs.Path(f"{path}/_SUCCESS")
+    if hpath.getFileSystem(spark._jsc.hadoopConfiguration()).exists(hpath):  # a stage that was written whole
         stamp = (spark.read.parquet(path).select(F.max("_metadata.file_modification_time"))
                  .first()[0])
         if stamp is not None and time.time() - stamp.timestamp() <= max_age_hours * 3600:
             return spark.read.parquet(path)
-    except Exception:  # noqa: BLE001 - absent or unreadable stage: rebuild it
-        pass
     df.write.mode("overwrite").parquet(path)
     return spark.read.parquet(path)
 
@@ -207,11 +207,9 @@ def save_bars(df: DataFrame, path: str, fmt: str = "parquet", partition_by: list
         w.option("header", True).csv(path)
         return
     if partition_by is None and TIME in df.columns:
-        df = df.withColumn("year", F.year(TIME))
+        # a year's rows meet in few tasks, so a year holds few files; a large year is split by key
+        df = df.withColumn("year", F.year(TIME)).repartition("year", F.pmod(F.xxhash64(KEY), F.lit(8)))
         w = df.write.mode(mode)
         partition_by = ["year"]
     w.partitionBy(*(partition_by or [])).parquet(path)
 
-
-def local_exists(path: str) -> bool:
-    return Path(path).exists()

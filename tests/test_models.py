@@ -42,7 +42,8 @@ def test_ridge_matches_closed_form(planted):
 def test_bayesian_ridge_close_to_ols(planted):
     pdf, w, df = planted
     m = M.fit("bayesian_ridge", df, FEATS, "target")
-    np.testing.assert_allclose(m.extra["coef"], w, atol=0.02)
+    spread = np.array([m.scaler[c][1] for c in FEATS])  # coefficients are of standardised features
+    np.testing.assert_allclose(np.array(m.extra["coef"]) / spread, w, atol=0.02)
     out = m.transform(df).select("prediction", "uncertainty").toPandas()
     assert (out.uncertainty > 0).all()
 
@@ -67,12 +68,84 @@ def test_forest_importances_find_planted_signal(spark):
     assert top.feature == "f2"
 
 
-def test_gram_paths_agree(spark):
+def test_gram_statistics_of_many_features(spark):
     rng = np.random.default_rng(9)
-    x = rng.normal(0, 1, (300, 62))
+    x = rng.normal(50, 1, (300, 62))
     cols = [f"c{i}" for i in range(62)]
-    df = spark.createDataFrame(pd.DataFrame(x, columns=cols).assign(label=x[:, 0] * 2 + 1))
-    wide = M.gram_stats(df, cols)            # 62 features: RowMatrix path
-    narrow = M.gram_stats(df, cols[:60])     # 60 features: aggregate path
-    np.testing.assert_allclose(wide[3][:60, :60], narrow[3], rtol=1e-9, atol=1e-8)
-    np.testing.assert_allclose(wide[4][:60], narrow[4], rtol=1e-9, atol=1e-8)
+    y = x[:, 0] * 2 + 1
+    df = spark.createDataFrame(pd.DataFrame(x, columns=cols).assign(label=y)).repartition(3)
+    n, mx, my, xx, xy, yy = M.gram_stats(df, cols)
+    c = x - x.mean(0)
+    assert n == 300 and my == pytest.approx(y.mean())
+    np.testing.assert_allclose(mx, x.mean(0))
+    np.testing.assert_allclose(xx, c.T @ c, atol=1e-8)
+    np.testing.assert_allclose(xy, c.T @ (y - y.mean()), atol=1e-8)
+    assert yy == pytest.approx(((y - y.mean()) ** 2).sum())
+
+
+def _scaled_sample(spark, scales):
+    rng = np.random.default_rng(2)
+    z = rng.normal(0, 1, (200, 3))
+    y = z @ [1.0, -2.0, 0.5] + rng.normal(0, 0.3, 200)
+    x = z * scales + np.array([5.0, -1.0, 3.0]) * scales
+    cols = ["a", "b", "c"]
+    return cols, x, y, spark.createDataFrame(pd.DataFrame(x, columns=cols).assign(t=y))
+
+
+def test_bayesian_ridge_does_not_depend_on_units(spark):
+    preds = []
+    for scales in ([1.0, 1.0, 1.0], [1e-3, 1e4, 30.0]):
+        cols, _, _, df = _scaled_sample(spark, np.array(scales))
+        m = M.fit("bayesian_ridge", df, cols, "t")
+        preds.append(M.predict(m, df, keep=["t"]).orderBy("t").toPandas()["predicted_return"].to_numpy())
+    np.testing.assert_allclose(preds[0], preds[1], rtol=1e-6)
+
+
+def test_polynomial_is_ridge_on_standardised_raw_terms(spark):
+    cols, x, y, df = _scaled_sample(spark, np.array([1e-1, 20.0, 3.0]))
+    m = M.fit("polynomial", df, cols, "t")
+    got = M.predict(m, df, keep=["t"]).orderBy("t").toPandas()["predicted_return"].to_numpy()
+    p = np.column_stack([*x.T, *[x[:, i] * x[:, j] for i in range(3) for j in range(i, 3)]])
+    z = (p - p.mean(0)) / p.std(0)
+    b = np.linalg.solve(z.T @ z + np.eye(z.shape[1]), z.T @ (y - y.mean()))
+    np.testing.assert_allclose(got, (z @ b + y.mean())[np.argsort(y)], atol=1e-6)
+
+
+def test_adaboost_survives_saving(spark, tmp_path):
+    cols, _, _, df = _scaled_sample(spark, np.ones(3))
+    m = M.fit("adaboost", df, cols, "t", n_estimators=3)
+    m.save(spark, str(tmp_path / "ada"))
+    back = M.FittedModel.load(spark, str(tmp_path / "ada"))
+    a, b = (M.predict(x, df, keep=["t"]).orderBy("t").toPandas()["predicted_return"] for x in (m, back))
+    np.testing.assert_allclose(a, b)
+
+
+def test_selection_keeps_rows_with_a_missing_feature(spark):
+    df = spark.createDataFrame([(1.0, None, 1.0), (2.0, 4.0, None), (None, 6.0, 3.0)], "a double, b double, t double")
+    got = sorted(tuple(r) for r in M._selection_frame(df, ["a", "b"], "t").collect())
+    assert got == [(1.0, 6.0, 1.0), (1.0, 6.0, 3.0)]
+
+
+def test_total_loss_is_a_drawdown_of_one(spark):
+    from barlake.operators.portfolio import max_drawdown
+    df = spark.createDataFrame([("x", i, r) for i, r in enumerate([0.1, -1.0, 0.1])], "stock_code string, date int, r double")
+    assert max_drawdown(df, "r").first().max_drawdown == -1.0
+
+
+def test_a_tick_past_the_last_bar_takes_it(spark):
+    from barlake.operators.relational import asof_previous_bar
+    bars = spark.sql("select 'k' as stock_code, timestamp_ntz'2024-01-01 00:00:00' as date, 1.0D as close "
+                     "union all select 'k', timestamp_ntz'2024-01-01 01:00:00', 2.0D")
+    ticks = spark.sql("select 'k' as event_type, timestamp_ntz'2024-01-01 05:30:00' as ts union all "
+                      "select 'k', timestamp_ntz'2024-01-01 00:30:00' union all select 'z', timestamp_ntz'2024-01-01 05:30:00'")
+    got = {(r.event_type, r.ts.hour): r.prev_close for r in asof_previous_bar(ticks, bars).collect()}
+    assert got == {("k", 5): 2.0, ("k", 0): None, ("z", 5): None}
+
+
+def test_search_ranges_give_parameters_spark_takes(spark):
+    import random
+    from barlake.operators.tuning import SPACES, sample
+    cols, _, _, df = _scaled_sample(spark, np.ones(3))
+    for name in SPACES:
+        params = sample(SPACES[name], random.Random(1)) | ({"maxIter": 2} if "stepSize" in SPACES[name] else {"numTrees": 2} if name == "random_forest" else {})
+        assert M.fit(name, df, cols, "t", **params).features == cols

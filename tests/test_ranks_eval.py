@@ -109,13 +109,23 @@ def test_distributed_quantiles_match_numpy(tied):
         assert val == pytest.approx(ref)
 
 
-def test_correlation_matrix_path_matches_pairwise(spark):
+@pytest.mark.parametrize("width", [10, 45])
+def test_correlations_are_pairwise_complete_at_any_width(spark, width):
     from barlake.operators.selection import correlation_pairs
     rng = np.random.default_rng(5)
-    x = rng.normal(0, 1, (400, 6))
+    x = rng.normal(0, 1, (400, width))
     x[:, 3] = x[:, 0] * 2 + rng.normal(0, 0.01, 400)
-    df = spark.createDataFrame(pd.DataFrame(x, columns=[f"f{i}" for i in range(6)]))
-    feats = [f"f{i}" for i in range(6)]
-    a = correlation_pairs(df, feats, "pairwise").toPandas().sort_values(["li", "ri"])
-    b = correlation_pairs(df, feats, "matrix").toPandas().sort_values(["li", "ri"])
-    np.testing.assert_allclose(a["corr"].to_numpy(), b["corr"].to_numpy(), atol=1e-9)
+    x[:, 4] = 7.1
+    x[rng.random((400, width)) < 0.3] = np.nan
+    feats = [f"f{i}" for i in range(width)]
+    pdf = pd.DataFrame(x * 1e3 + 1e5, columns=feats)
+    df = spark.createDataFrame([[None if np.isnan(v) else float(v) for v in r] for r in pdf.to_numpy()],
+                               ", ".join(f"{f} double" for f in feats)).repartition(3)
+    want = pdf.drop(columns="f4").corr().abs()
+    got = correlation_pairs(df, feats).toPandas()
+    assert len(got) == width * (width - 1) // 2
+    for r in got.itertuples():
+        if "f4" in (r.left, r.right):
+            assert pd.isna(r.corr)
+        else:
+            assert r.corr == pytest.approx(want.loc[r.left, r.right], abs=1e-9)
