@@ -109,6 +109,23 @@ def test_distributed_quantiles_match_numpy(tied):
         assert val == pytest.approx(ref)
 
 
+def test_bracketed_quantiles_of_tied_values_are_exact_and_lazy(spark):
+    from barlake.functions import quantiles as Q
+    rng = np.random.default_rng(3)
+    v = np.where(rng.random(240_000) < 0.9, 0.0, rng.normal(0, 1, 240_000))
+    g = np.where(np.arange(240_000) % 3 == 0, "a", "b")
+    df = spark.createDataFrame(pd.DataFrame({"g": g, "v": v})).repartition(4)
+    jobs = spark.sparkContext.statusTracker()
+    spark.sparkContext.setJobGroup("quantile-plan", "")
+    qs = [0.0, 0.02, 0.25, 0.5, 0.97, 1.0]
+    plan = Q.quantiles(df, ["v"], qs, ["g"])
+    assert not jobs.getJobIdsForGroup("quantile-plan")
+    got = {(r.g, r.q): r.value for r in plan.collect()}
+    for name in "ab":
+        for q in qs:
+            assert got[name, q] == pytest.approx(np.quantile(v[g == name], q), abs=1e-12)
+
+
 @pytest.mark.parametrize("width", [10, 45])
 def test_correlations_are_pairwise_complete_at_any_width(spark, width):
     from barlake.operators.selection import correlation_pairs
