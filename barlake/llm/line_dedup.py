@@ -61,50 +61,47 @@ def windows(docs: DataFrame, p: LineDedup) -> DataFrame:
                f"else transform(filter(sorted, (x, i) -> not ({again})), {place}) end").alias("firsts"))
 
 
-def later_occurrences(docs: DataFrame, p: LineDedup) -> DataFrame:
-    """``id, at``: the lines of each text at which a window begins that a text of smaller id has."""
+def covered_lines(docs: DataFrame, p: LineDedup) -> DataFrame:
+    """``id, at``: the lines of each text at which a window begins that an earlier place has:
+    a text of smaller id, or an earlier line of the text itself. Other texts are absent."""
     found = windows(docs, p)
     rows = found.select("id", F.inline(F.expr("transform(firsts, q -> named_struct('pos', q, 'w', hashes[q]))")))
     first = rows.groupBy("w").agg(F.min("id").alias("first"), F.max("id").alias("last")).where("first < last").select("w", "first")
-    later = rows.join(first, "w").where("id > first")
-    return later.groupBy("id").agg(F.collect_set("pos").alias("at"))
+    later = rows.join(first, "w").where("id > first").select("id", "pos")
+    # not explode(own): a filter on its size would be inferred and its expression evaluated per element
+    again = found.select("id", F.inline(F.expr("transform(own, q -> named_struct('pos', q))")))
+    return later.unionByName(again).groupBy("id").agg(F.collect_set("pos").alias("at"))
 
 
 def dedup_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", params: LineDedup = LineDedup()) -> DataFrame:
     """The documents with every repeated passage left in its first place only.
 
-    Returns the columns of ``docs`` with ``text_col`` shortened, and then ``n_lines, n_removed``
-    (columns of those names are replaced). All other bytes of a text stay as they are. Defined
-    cases: null stays null, an empty text empty, both with 0 lines; a text of fewer than three
-    lines is never changed; rows that share an id are one document's copies and do not remove
-    from each other; a row with a null id is only rid of its own repeats; an empty table gives
-    no rows; any length is handled, a text's lines being the largest thing held at once.
+    Returns the columns of ``docs`` with ``text_col`` shortened, and then ``n_removed``, the
+    number of lines that left (a column of that name is replaced). All other bytes of a text stay
+    as they are. Defined cases: null stays null, an empty text empty; a text of fewer than three
+    lines is never changed; rows that share an id are copies of one document and do not remove
+    from each other; a row with a null id is left as it is; an empty table gives no rows; any
+    length is handled, a text's lines being the largest thing held at once.
     """
     p = params
-    own = [c for c in docs.columns if c not in ("n_lines", "n_removed")]
-    src = docs.select(F.col(id_col).alias("id"), F.struct(*own).alias("row"))
-    slim = docs.select(F.col(id_col).alias("id"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
-    later = later_occurrences(slim, p)
-    joined = (src.join(later, "id", "left")
-              .select("row", "at", F.col(f"row.{text_col}").alias("text"))
-              .select("row", "at", lines_of(F.coalesce("text", F.lit("")), p).alias("lines"), F.coalesce("text", F.lit("")).alias("text")))
-    return _without(joined, own, text_col, p)
-
-
-def _without(joined: DataFrame, own: list[str], text_col: str, p: LineDedup) -> DataFrame:
-    """Cuts the covered spans out: spans are runs of covered lines, found from their ends."""
-    inner = windows(joined.select(F.struct("row", "at", "lines").alias("id"), "text"), p)
-    covered = inner.select("id.*", F.expr(
-        f"array_sort(array_distinct(flatten(transform(concat(own, coalesce(at, cast(array() as array<int>))), q -> sequence(q, q + {p.window - 1})))))").alias("c"))
+    own = [c for c in docs.columns if c != "n_removed"]
+    src = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"), F.struct(*own).alias("row"))
+    slim = docs.select(F.col(id_col).alias("id"), F.coalesce(F.col(text_col), F.lit("")).alias("text")).where("id is not null")
+    joined = src.join(covered_lines(slim, p), "id", "left")
+    # only texts with covered lines are cut into lines again
+    lines = joined.select("row", "at", F.when(F.col("at").isNotNull(), lines_of(F.col("text"), p)).otherwise(F.array().cast("array<string>")).alias("lines"))
+    covered = lines.select("row", "lines", F.expr(
+        f"array_sort(array_distinct(flatten(transform(coalesce(at, cast(array() as array<int>)), q -> sequence(q, q + {p.window - 1})))))").alias("c"))
+    # spans are runs of covered lines, found from their ends
     spans = covered.select("row", "lines", F.expr(
         "arrays_zip(filter(c, (q, i) -> i = 0 or c[i - 1] <> q - 1), filter(c, (q, i) -> i = size(c) - 1 or c[i + 1] <> q + 1))").alias("z"))
     words = F.expr("transform(z, s -> named_struct('a', s['0'], 'b', s['1'], 't', array_join(slice(lines, s['0'] + 1, s['1'] - s['0'] + 1), '')))")
     cut = spans.select("row", "lines", words.alias("z")).select("row", "lines", F.filter(
         "z", lambda s: F.regexp_count(s["t"], F.lit(f"[^{WHITE}]+")) >= p.min_words).alias("z"))
-    parts = cut.select("row", "lines", "z", F.expr(
+    parts = cut.select("row", "z", F.expr(
+        "case when size(z) = 0 then cast(array() as array<string>) else "
         "transform(sequence(0, size(z)), i -> array_join(slice(lines, if(i = 0, 1, z[i - 1].b + 2), "
-        "if(i = size(z), size(lines), z[i].a) - if(i = 0, 0, z[i - 1].b + 1)), ''))").alias("parts"))
+        "if(i = size(z), size(lines), z[i].a) - if(i = 0, 0, z[i - 1].b + 1)), '')) end").alias("parts"))
     text = F.when(F.size("z") == 0, F.col(f"row.{text_col}")).otherwise(F.array_join("parts", ""))
     removed = F.expr("aggregate(z, 0L, (n, s) -> n + s.b - s.a + 1)")
-    return parts.select(*[(text if c == text_col else F.col(f"row.{c}")).alias(c) for c in own],
-                        F.size("lines").cast("long").alias("n_lines"), removed.alias("n_removed"))
+    return parts.select(*[(text if c == text_col else F.col(f"row.{c}")).alias(c) for c in own], removed.alias("n_removed"))

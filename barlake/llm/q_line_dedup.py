@@ -12,7 +12,7 @@ PARAMS = LineDedup()
 
 def op1_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = read_table(spark, sf_dir, "documents").select("doc_id", "text")
-    return dedup_lines(docs, params=PARAMS).select("doc_id", "n_lines", "n_removed", "text")
+    return dedup_lines(docs, params=PARAMS).select("doc_id", "n_removed", "text")
 
 
 def sql(table: str) -> str:
@@ -28,7 +28,7 @@ z as (select doc_id, min(k) as a, max(k) as b from s group by doc_id, run),
 big as (select doc_id, a, b from z join d using (doc_id)
         where len(regexp_extract_all(list_aggregate(ls[a:b], 'string_agg', ''), '[^\x20\x09-\x0D]+')) >= {PARAMS.min_words}),
 gone as (select doc_id, list(k) as ks from big, unnest(range(a, b + 1)) as t(k) group by doc_id)
-select doc_id, len(ls)::bigint as n_lines, coalesce(len(ks), 0)::bigint as n_removed,
+select doc_id, coalesce(len(ks), 0)::bigint as n_removed,
        case when ks is null then text
             else coalesce(list_aggregate(list_filter(ls, lambda x, i: not list_contains(ks, i)), 'string_agg', ''), '') end as text
 from d left join gone using (doc_id)
