@@ -293,7 +293,9 @@ def toxicity(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_co
     scored = scored.select("id.id", "id.lang", "score")
     aside = seen.where("_part = 1").groupBy(F.col(id_col).alias("id")).agg(F.max(label_col).cast("long").alias("label"))
     cuts = thresholds(scored.join(aside, "id"), p)
-    out = scored.join(cuts, "lang", "left").withColumn("threshold", F.coalesce("threshold", F.lit(0.5)))
+    # a map of the languages that have labels enough: no row of a frequent language moves
+    limits = cuts.where("lang is not null").agg(F.map_from_entries(F.collect_list(F.struct("lang", "threshold")))).scalar()
+    out = scored.withColumn("limits", limits).withColumn("threshold", F.coalesce(F.expr("try_element_at(limits, lang)"), F.lit(0.5)))
     return out.select(F.col("id").alias(id_col), F.coalesce(F.pmod(F.crc32(F.col("id").cast("string").cast("binary")), F.lit(5)) == 0, F.lit(False)).alias("held_out"),
                       "score", (F.col("score") >= 0.5).cast("int").alias("predicted"), "threshold",
                       (F.col("score") >= F.col("threshold")).alias("rejected"))
