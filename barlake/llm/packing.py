@@ -22,7 +22,7 @@ from pyspark.sql import DataFrame, functions as F
 from tokenizers import Tokenizer
 
 from barlake.llm.pretokens import UNIT, read_vocabulary
-from barlake.llm.text import slices, tune
+from barlake.llm.text import held, slices, tune
 from barlake.session import written
 
 
@@ -51,7 +51,7 @@ def cut(n: int, p: Packing) -> list[int]:
 class UnitIds(dict):
     """unit -> row of a ragged table of token ids; unknown units are encoded together."""
 
-    def __init__(self, vocabulary: str, limit: int = 600_000):
+    def __init__(self, vocabulary: str, limit: int = 400_000):
         super().__init__()
         read_vocabulary(vocabulary)  # refuses a vocabulary whose tokens depend on more than a unit
         self.lib = Tokenizer.from_file(vocabulary)
@@ -119,17 +119,6 @@ class UnitIds(dict):
         return out
 
 
-_MEMO: dict = {}
-
-
-def _unit_ids(vocabulary: str) -> UnitIds:
-    """A worker process keeps the units it has met from task to task."""
-    if vocabulary not in _MEMO:
-        _MEMO.clear()
-        _MEMO[vocabulary] = UnitIds(vocabulary)
-    return _MEMO[vocabulary]
-
-
 class Bins:
     """Open bins, one for each class; a bin of class k leaves when it holds k pieces."""
 
@@ -159,16 +148,16 @@ class Bins:
         """First fit, longest first, over the few pieces that no class could complete."""
         rest = sorted((x for bin_ in self.open.values() for x in bin_), key=lambda x: -len(x[2]))
         self.worker |= 1 << 23
-        self.open, self.made, room, held = {}, {}, [], []
+        self.open, self.made, room, filled = {}, {}, [], []
         for one in rest:
             at = next((i for i, r in enumerate(room) if r >= len(one[2])), None)
             if at is None:
                 at = len(room)
                 room.append(self.p.capacity)
-                held.append([])
+                filled.append([])
             room[at] -= len(one[2])
-            held[at].append(one)
-        for pieces in held:
+            filled[at].append(one)
+        for pieces in filled:
             self.close(1, pieces)
 
 
@@ -192,14 +181,14 @@ def _drained(bins: Bins, id_type):
 
 
 def _opened(bins: Bins, id_type):
-    rows = [(*x, None, None) for held in bins.open.values() for x in held]
+    rows = [(*x, None, None) for bin_ in bins.open.values() for x in bin_]
     if rows:
         yield _batch(rows, id_type)
 
 
 def _first_round(vocabulary: str, p: Packing):
     def run(batches):
-        units = _unit_ids(vocabulary)
+        units = held(("packing", vocabulary), lambda: UnitIds(vocabulary))
         bins, id_type = Bins(TaskContext.get().partitionId(), p), pa.int64()
         for batch in slices(batches, "text", 2 << 20):
             id_type = batch.column(0).type

@@ -70,6 +70,18 @@ class WordHashes(dict):
         return np.fromiter(map(self.__getitem__, words), dtype=U64, count=len(words))
 
 
+_HELD: dict = {}
+
+
+def held(key, make):
+    """What a worker process keeps from task to task, for one operator at a time: a worker that
+    Spark reuses for another operator lets go of the former one's memory."""
+    if key not in _HELD:
+        _HELD.clear()
+        _HELD[key] = make()
+    return _HELD[key]
+
+
 def mix64(x: np.ndarray) -> np.ndarray:
     """A bijective 64-bit finaliser (the public splitmix64 constants)."""
     x = (x ^ (x >> U64(30))) * U64(0xBF58476D1CE4E5B9)

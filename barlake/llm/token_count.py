@@ -14,7 +14,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
 from barlake.llm.pretokens import PLAIN, PRETOKEN, UNIT, byte_alphabet, read_vocabulary
-from barlake.llm.text import offsets_of, slices, tune
+from barlake.llm.text import held, offsets_of, slices, tune
 
 NONE = np.int32(np.iinfo(np.int32).max)
 
@@ -119,7 +119,7 @@ class UnitCounts(dict):
     """unit -> number of tokens; begun anew beyond `limit` units. An unknown unit counts 0
     at first and is noted, so that all unknown units of a batch are merged together."""
 
-    def __init__(self, merges: Merges, limit: int = 600_000):
+    def __init__(self, merges: Merges, limit: int = 500_000):
         super().__init__()
         self.merges, self.limit, self.unknown = merges, limit, []
 
@@ -163,22 +163,11 @@ class UnitCounts(dict):
         return counts
 
 
-_MEMO: dict = {}
-
-
-def _memo(key: int, shared) -> UnitCounts:
-    """A worker process keeps the counts of one vocabulary from task to task."""
-    if key not in _MEMO:
-        _MEMO.clear()
-        _MEMO[key] = UnitCounts(shared.value)
-    return _MEMO[key]
-
-
 def _counting(shared):
     key = shared._jbroadcast.id()
 
     def run(batches):
-        memo = _memo(key, shared)
+        memo = held(("token count", key), lambda: UnitCounts(shared.value))
         for batch in slices(batches, "text", 2 << 20):
             text = batch.column(1)
             tokens = memo.count([t or "" for t in text.to_pylist()])

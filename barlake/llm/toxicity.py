@@ -21,7 +21,7 @@ import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame, functions as F
 
-from barlake.llm.text import slices, tune
+from barlake.llm.text import held, slices, tune
 from barlake.session import written
 
 EDGE = ".,;:!?\"'()[]{}<>*#-_|"
@@ -128,16 +128,16 @@ class Net:
 
 def train(texts: list[np.ndarray], labels: np.ndarray, p: ToxicNet) -> Net:
     """texts: for each training text the (words, 3) hashes of its words."""
-    held: dict[int, int] = {}
+    texts_with: dict[int, int] = {}
     for t in texts:
         for h in np.unique(t).tolist():
-            held[h] = held.get(h, 0) + 1
-    net = Net(np.array([h for h, n in held.items() if n >= p.least_texts and h], np.int64), p)
+            texts_with[h] = texts_with.get(h, 0) + 1
+    net = Net(np.array([h for h, n in texts_with.items() if n >= p.least_texts and h], np.int64), p)
     if not len(texts) or len(set(labels.tolist())) < 2:
         net.prior = np.float32(-4 if not labels.sum() else 4)
         return net
     rng, pad = np.random.default_rng(p.seed + 1), max(p.widths) - 1
-    rows = [np.concatenate([net.emb_rows(t), np.zeros((pad, 3), np.int64)]) for t in texts]
+    rows = [np.concatenate([net.emb_rows(t), np.zeros((pad, 3), np.int64)]).astype(np.int32) for t in texts]
     width_of = np.repeat(np.arange(len(p.widths)), p.filters)
     slots = [np.zeros_like(w) for w in (net.emb, *net.conv, net.bias, net.out)]
     prior_slot = 0.0
@@ -149,7 +149,7 @@ def train(texts: list[np.ndarray], labels: np.ndarray, p: ToxicNet) -> Net:
 
     for _ in range(p.steps):
         chosen = np.concatenate([rng.choice(c, p.batch // 2) for c in classes])
-        flat = np.concatenate([rows[i] for i in chosen] + [np.zeros((pad, 3), np.int64)])
+        flat = np.concatenate([rows[i] for i in chosen] + [np.zeros((pad, 3), np.int32)])
         x = net.emb[flat[:, 0]] + net.emb[flat[:, 1]] + net.emb[flat[:, 2]]
         y = net.responses(x)
         ends = np.cumsum([len(rows[i]) for i in chosen])
@@ -216,30 +216,25 @@ def fit(docs: DataFrame, labels: DataFrame, id_col: str, text_col: str, label_co
     kind = rows.schema["id"].dataType.simpleString()
     found = (rows.select("id", "label", "text").mapInArrow(_hashing(p.affix), f"id {kind}, label int, hashes binary").toArrow())
     found = found.take(pa.array(np.argsort(np.array([str(x) for x in found["id"].to_pylist()]), kind="stable")))
-    arrays = [np.frombuffer(b, np.uint32).astype(np.int64).reshape(-1, 3) for b in found["hashes"].to_pylist()]
+    arrays = [np.frombuffer(b, np.uint32).reshape(-1, 3) for b in found["hashes"].to_pylist()]
     return train(arrays, np.array(found["label"].to_pylist(), np.int64), p)
 
 
-_MEMO: dict = {}
-
-
 def _scoring(shared, key: int, p: ToxicNet):
     def run(batches):
-        if key not in _MEMO:
-            _MEMO.clear()
-            _MEMO[key] = Words(p.affix), [np.zeros((0, p.dim), np.float32)]
-        net, (words, held) = shared.value, _MEMO[key]
+        net = shared.value
+        words, known = held(("toxicity", key), lambda: (Words(p.affix), [np.zeros((0, p.dim), np.float32)]))
         pad = max(p.widths) - 1
         for batch in slices(batches, "text"):
             if len(words) > words.limit:
                 words.clear()
-                held[0] = held[0][:0]
+                known[0] = known[0][:0].copy()
             rows = [words.rows(t or "") for t in batch.column("text").to_pylist()]
             if words.fresh:
                 at = net.emb_rows(np.array(words.fresh, np.int64))
                 new = net.emb[at[:, 0]] + net.emb[at[:, 1]] + net.emb[at[:, 2]]
-                held[0], words.fresh = np.concatenate([held[0], new]), []
-            vectors = np.concatenate([held[0], np.zeros((1, p.dim), np.float32)])
+                known[0], words.fresh = np.concatenate([known[0], new]), []
+            vectors = np.concatenate([known[0], np.zeros((1, p.dim), np.float32)])
             sizes = np.array([len(r) for r in rows], np.int64)
             gap = np.full(pad, len(vectors) - 1, np.int64)
             flat = np.concatenate([x for r in rows for x in (r, gap)])
