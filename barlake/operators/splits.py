@@ -3,7 +3,7 @@
 Positions in time order come from :func:`barlake.functions.ranks.date_offsets`
 (per-time counts + running sum over distinct times), never from a global
 single-partition window. Random splits and shuffled folds use a seeded
-``xxhash64`` of the row key: deterministic, independent of partitioning and
+md5 of the row key: deterministic, independent of partitioning and
 of executor retries (``randomSplit`` is neither).
 """
 
@@ -44,9 +44,15 @@ def time_split(df: DataFrame, test_size: float = 0.2, val_size: float = 0.1,
     return pos.withColumn(SPLIT, label).drop("_pos")
 
 
+def hash_int(keys: list[str], seed: int = 42) -> F.Column:
+    """32 bits of the md5 of seed and row key: any engine computes the same."""
+    text = F.concat_ws("|", F.lit(str(seed)), *[F.col(k).cast("string") for k in keys])
+    return F.conv(F.substring(F.md5(text), 1, 8), 16, 10).cast("bigint")
+
+
 def hash_unit(keys: list[str], seed: int = 42) -> F.Column:
     """Deterministic pseudo-uniform in [0, 1) from the row key and a seed."""
-    return F.pmod(F.xxhash64(F.lit(seed), *[F.col(k) for k in keys]), F.lit(1_000_000)) / 1e6
+    return F.pmod(hash_int(keys, seed), F.lit(1_000_000)) / 1e6
 
 
 def random_split(df: DataFrame, test_size: float = 0.2, val_size: float = 0.1, seed: int = 42,
@@ -59,8 +65,7 @@ def random_split(df: DataFrame, test_size: float = 0.2, val_size: float = 0.1, s
 
 def shuffled_folds(df: DataFrame, k: int = 5, seed: int = 42, keys=(KEY, TIME), out: str = "fold") -> DataFrame:
     """M3: fold id in 0..k-1 from a seeded hash (for CrossValidator(foldCol=...))."""
-    return df.withColumn(out, F.pmod(F.xxhash64(F.lit(seed + 1), *[F.col(c) for c in keys]),
-                                     F.lit(k)).cast("int"))
+    return df.withColumn(out, F.pmod(hash_int(list(keys), seed + 1), F.lit(k)).cast("int"))
 
 
 def contiguous_folds(df: DataFrame, k: int = 5, time: str = TIME, key: str = KEY, out: str = "fold") -> DataFrame:

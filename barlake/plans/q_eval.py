@@ -265,10 +265,14 @@ def q_prediction_listing(spark, d):
     return Q.prediction_listing(ranked, "momentum")
 
 
-@register("submission_record", None, check="ROWS", ids="K3 K6")
+@register("submission_record", PRED_SQL + _LATEST + """
+SELECT list(stock_code ORDER BY rank) FILTER (category = 'top_gainers') AS top_gainers_codes,
+       list(round(momentum, 6) ORDER BY rank) FILTER (category = 'top_gainers') AS top_gainers_returns,
+       list(stock_code ORDER BY rank) FILTER (category = 'top_losers') AS top_losers_codes,
+       list(round(momentum, 6) ORDER BY rank) FILTER (category = 'top_losers') AS top_losers_returns FROM rk""", ids="K3 K6")
 def q_submission_record(spark, d):
     latest = Q.latest_rows(wide_predictions(spark, d))
-    ranked = Q.top_bottom(latest, 2, score="momentum")
+    ranked = Q.top_bottom(latest, 2, score="momentum").withColumn("momentum", F.round("momentum", 6))
     return Q.submission_record(ranked, "momentum")
 
 

@@ -153,7 +153,8 @@ def q_partitioned_sink(spark, d):
     return back.groupBy(F.col("year").cast("bigint").alias("year")).agg(F.count(F.lit(1)).alias("bars"))
 
 
-@register("cached_stage", None, check="ROWS", ids="S16")
+@register("cached_stage", with_bars() + """
+SELECT stock_code, count(*) AS bars, count(*) AS bars_first FROM clean GROUP BY 1""", ids="S16")
 def q_cached_stage(spark, d):
     root = scratch_path(spark, f"cache/{uuid.uuid4().hex}")
     first = IO.cached_stage(spark, clean_panel(spark, d), root, "bars_events")

@@ -185,13 +185,20 @@ def _fold_metrics(spark, d):
     return M.fold_metrics(allf)
 
 
-@register("random_split", None, check="ROWS", ids="M2")
+def _hash_sql(seed):
+    return f"('0x' || substr(md5(concat_ws('|', '{seed}', stock_code, CAST(date AS VARCHAR))), 1, 8))::BIGINT"
+
+
+@register("random_split", with_bars() + f"""
+SELECT CASE WHEN u < 0.2 THEN 'test' WHEN u < 0.2 + 0.1 THEN 'val' ELSE 'train' END AS split, count(*) AS n
+FROM (SELECT ({_hash_sql(42)} % 1000000) / 1e6 AS u FROM clean) GROUP BY 1""", ids="M2")
 def q_random_split(spark, d):
     out = M.random_split(clean_panel(spark, d).select("stock_code", "date"))
     return out.groupBy("split").agg(F.count(F.lit(1)).alias("n"))
 
 
-@register("shuffled_folds", None, check="ROWS", ids="M3")
+@register("shuffled_folds", with_bars() + f"""
+SELECT ({_hash_sql(43)} % 5)::INTEGER AS fold, count(*) AS n FROM clean GROUP BY 1""", ids="M3")
 def q_shuffled_folds(spark, d):
     out = M.shuffled_folds(clean_panel(spark, d).select("stock_code", "date"))
     return out.groupBy("fold").agg(F.count(F.lit(1)).alias("n"))
