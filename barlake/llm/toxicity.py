@@ -7,7 +7,7 @@ output. Only hashes met in several training texts have an embedding; others are
 words say nothing.
 
 Training reads a bounded sample of labelled rows (`sample` rows, half of each label where there
-are as many, none longer than `train_words`); scoring reads every word of every text, in blocks
+are as many, none longer than `train_chars` characters); scoring reads every word of every text, in blocks
 of bounded size. Thresholds are calibrated by language on labelled rows that training leaves
 aside, from histograms.
 """
@@ -33,7 +33,7 @@ class ToxicNet:
     widths: tuple[int, ...] = (1, 2, 3)
     filters: int = 16            # of each width
     sample: int = 6000           # labelled rows that training may take
-    train_words: int = 20_000    # longer texts are not taken into the sample (they are scored whole)
+    train_chars: int = 40_000    # longer texts are not taken into the sample (they are scored whole)
     least_texts: int = 3         # training texts that must hold a hash for it to get an embedding
     affix: int = 4
     steps: int = 1500
@@ -208,11 +208,12 @@ def fit(docs: DataFrame, labels: DataFrame, id_col: str, text_col: str, label_co
     """Network from at most `sample` labelled rows; `labels` holds the rows training may see."""
     marks = labels.where(F.col(label_col).isin(0, 1)).groupBy(F.col(id_col).alias("id")).agg(F.max(label_col).cast("int").alias("label"))
     texts = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"))
-    short = texts.select("id", F.length("text").alias("n")).where(F.col("n") <= 2 * p.train_words)
+    short = texts.select("id", F.length("text").alias("n")).where(F.col("n") <= p.train_chars)
     able = marks.join(short.select("id").distinct(), "id", "left_semi")
     half = [able.where(F.col("label") == c).orderBy(F.xxhash64("id"), "id").limit(p.sample // 2) for c in (0, 1)]
     chosen = written(half[0].unionByName(half[1]), "toxic-sample")
-    rows = texts.join(F.broadcast(chosen), "id").where(F.length("text") <= 2 * p.train_words)  # `sample` ids at most
+    rows = texts.join(F.broadcast(chosen), "id").where(F.length("text") <= p.train_chars)
+    rows = rows.dropDuplicates(["id"])  # `sample` ids at most, one text of each
     kind = rows.schema["id"].dataType.simpleString()
     found = (rows.select("id", "label", "text").mapInArrow(_hashing(p.affix), f"id {kind}, label int, hashes binary").toArrow())
     found = found.take(pa.array(np.argsort(np.array([str(x) for x in found["id"].to_pylist()]), kind="stable")))
