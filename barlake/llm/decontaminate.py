@@ -15,7 +15,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
-from barlake.llm.text import U64, WordHashes, as_bytes, rolled, slices, tune
+from barlake.llm.text import U64, WordHashes, as_bytes, release, rolled, slices, tune
 from barlake.session import written
 
 # Bytes of words: digits, letters (A-Z lower-cased) and everything beyond ASCII; the rest cuts.
@@ -79,7 +79,8 @@ def merged(spans: list[tuple[int, int]]) -> list[tuple[int, int]]:
 
 def _scanning(shared):
     def run(batches):
-        windows, hashes = shared.value, WordHashes()
+        release()
+        windows, hashes = shared.value, WordHashes(limit=200_000)
         for batch in slices(batches, "text"):
             n, spans, items = [], [], []
             for text, old_spans, old_items in zip(as_bytes(batch.column("text")), batch.column("spans").to_pylist(),
@@ -139,6 +140,7 @@ def scan(docs: DataFrame, benchmark: DataFrame, text_col: str = "text", item_col
 
 
 def _removing(batches):
+    release()
     for batch in batches:
         out = []
         for text, spans in zip(as_bytes(batch.column("text")), batch.column("spans").to_pylist()):

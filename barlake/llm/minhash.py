@@ -28,7 +28,7 @@ import xxhash
 from pyspark.sql import DataFrame, functions as F
 
 from barlake.llm.components import components
-from barlake.llm.text import U64, WordHashes, as_bytes, mix64, shingle_set, slices, tune
+from barlake.llm.text import U64, WordHashes, as_bytes, mix64, release, shingle_set, slices, tune
 from barlake.session import written
 
 
@@ -110,7 +110,8 @@ def agreements(one: np.ndarray, many: np.ndarray, p: MinHash) -> np.ndarray:
 
 def _signing(p: MinHash):
     def run(batches):
-        hashes = WordHashes(p.seed)
+        release()
+        hashes = WordHashes(p.seed, 200_000)
         for batch in slices(batches, "text"):
             sets = [shingle_set(hashes.of(t.lower().split()) if t else np.zeros(0, U64), p.shingle)
                     for t in as_bytes(batch.column(1))]
@@ -171,6 +172,7 @@ def _cross(sig, comp, keys, key, p: MinHash):
 def _comparing(p: MinHash, pairs_of):
     """Groups arrive sorted by (key, lo, hi); a group is at most two blocks of members."""
     def run(batches):
+        release()
         rest = None
         for batch in batches:
             table = pa.Table.from_batches([batch] if rest is None else [rest, batch]).combine_chunks()
@@ -250,7 +252,8 @@ def candidate_pairs(members: DataFrame, p: MinHash, pairs_of) -> DataFrame:
 
 def _confirming(p: MinHash):
     def run(batches):
-        hashes = WordHashes(p.seed)
+        release()
+        hashes = WordHashes(p.seed, 200_000)
         for batch in batches:
             keep, last = [], (None, None)
             for i, (ta, tb) in enumerate(zip(as_bytes(batch.column(2)), as_bytes(batch.column(3)))):

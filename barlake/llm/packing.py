@@ -51,7 +51,7 @@ def cut(n: int, p: Packing) -> list[int]:
 class UnitIds(dict):
     """unit -> row of a ragged table of token ids; unknown units are encoded together."""
 
-    def __init__(self, vocabulary: str, limit: int = 400_000):
+    def __init__(self, vocabulary: str, limit: int = 600_000):
         super().__init__()
         read_vocabulary(vocabulary)  # refuses a vocabulary whose tokens depend on more than a unit
         self.lib = Tokenizer.from_file(vocabulary)
@@ -190,7 +190,7 @@ def _first_round(vocabulary: str, p: Packing):
     def run(batches):
         units = held(("packing", vocabulary), lambda: UnitIds(vocabulary))
         bins, id_type = Bins(TaskContext.get().partitionId(), p), pa.int64()
-        for batch in slices(batches, "text", 2 << 20):
+        for batch in slices(batches, "text", 1 << 20):
             id_type = batch.column(0).type
             for doc, ids in zip(batch.column(0).to_pylist(), units.encode(batch.column(1).to_pylist())):
                 ids = np.append(ids, np.int32(p.end_id))

@@ -82,6 +82,11 @@ def held(key, make):
     return _HELD[key]
 
 
+def release() -> None:
+    """Lets go of what this worker process keeps; operators that keep nothing begin with it."""
+    _HELD.clear()
+
+
 def mix64(x: np.ndarray) -> np.ndarray:
     """A bijective 64-bit finaliser (the public splitmix64 constants)."""
     x = (x ^ (x >> U64(30))) * U64(0xBF58476D1CE4E5B9)

@@ -21,7 +21,7 @@ import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame, functions as F
 
-from barlake.llm.text import held, slices, tune
+from barlake.llm.text import held, release, slices, tune
 from barlake.session import written
 
 EDGE = ".,;:!?\"'()[]{}<>*#-_|"
@@ -56,7 +56,7 @@ def word_hashes(word: str, affix: int) -> tuple[int, int, int]:
 class Words(dict):
     """raw word -> row of a growing matrix; begun anew beyond `limit` words."""
 
-    def __init__(self, affix: int, limit: int = 400_000):
+    def __init__(self, affix: int, limit: int = 200_000):
         super().__init__()
         self.affix, self.limit, self.fresh = affix, limit, []
 
@@ -194,6 +194,7 @@ def train(texts: list[np.ndarray], labels: np.ndarray, p: ToxicNet) -> Net:
 
 def _hashing(affix: int):
     def run(batches):
+        release()
         words = Words(affix)
         for batch in slices(batches, "text"):
             rows = [words.rows(t or "") for t in batch.column("text").to_pylist()]
@@ -226,7 +227,7 @@ def _scoring(shared, key: int, p: ToxicNet):
         net = shared.value
         words, known = held(("toxicity", key), lambda: (Words(p.affix), [np.zeros((0, p.dim), np.float32)]))
         pad = max(p.widths) - 1
-        for batch in slices(batches, "text"):
+        for batch in slices(batches, "text", 1 << 20):
             if len(words) > words.limit:
                 words.clear()
                 known[0] = known[0][:0].copy()
