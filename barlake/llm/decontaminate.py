@@ -170,5 +170,6 @@ def decontaminate(docs: DataFrame, benchmark: DataFrame, text_col: str = "text",
     """
     hit = F.expr("aggregate(spans, 0L, (n, s) -> n + s.b - s.a)")
     found = scan(docs, benchmark, text_col, params=params).where(hit <= F.col("n_words") * drop_share).select("row", "text", "spans")
+    found = written(found, "decontaminate-scan")  # two passes one after another: half the Python workers at a time
     out = found.mapInArrow(_removing, found.schema)
     return out.select(*[F.col("text").alias(c) if c == text_col else F.col(f"row.{c}").alias(c) for c in docs.columns])
