@@ -1,4 +1,5 @@
 import duckdb
+import pytest
 from pyspark.sql import functions as F
 
 from barlake.llm.line_dedup import LineDedup, dedup_lines
@@ -25,6 +26,29 @@ def test_a_passage_stays_once_wherever_it_stands(spark):
     assert got[2].startswith("glued before The first") and "word3 " not in got[2] and "tail3" not in got[2]
 
 
+UNBROKEN = [
+    "the old harbour town had always lived from the boats that came in at dawn with herring and cod and went out again before "
+    "noon while the women on the quay mended nets for their brothers and told each other what the weather would do to the "
+    "fishing grounds north of the islands once the autumn storms began again in earnest",
+    "старый портовый город всегда жил за счёт лодок которые приходили на рассвете с рыбой и уходили снова до полудня пока "
+    "женщины на набережной чинили сети для своих братьев и рассказывали друг другу что погода сделает с местами лова к "
+    "северу от островов когда осенние штормы снова начнутся всерьёз и рыбаки вытащат свои лодки на берег до самой весны",
+]
+
+
+@pytest.mark.parametrize("passage", UNBROKEN)
+def test_a_passage_without_a_sentence_end_is_found_at_every_phase(spark, passage):
+    """Pasted after 0 to 9 words of a sentence, and with no sentence end in it: the counter alone cuts each copy elsewhere."""
+    words = passage.split()
+    assert len(words) > 50 and not any(c in passage for c in ".!?,;:")
+    rows = [(i, "An opening. " + "".join(f"Q{i}{'x' * j}k " for j in range(i)) + passage + f" tail{i}k and more. End of {i}.") for i in range(10)]
+    got = {r.doc_id: r.text for r in dedup_lines(spark.createDataFrame(rows, "doc_id bigint, text string")).collect()}
+    assert got[0] == rows[0][1]
+    for i in range(1, 10):
+        assert " ".join(words[20:30]) not in got[i] and len(set(words) - set(got[i].split())) > len(set(words)) / 2
+        assert got[i].startswith("An opening. ") and got[i].endswith(f"End of {i}.")
+
+
 def test_odd_rows(spark):
     junk = "x. " * 40_000
     rows = [(1, None), (2, ""), (3, " \n "), (4, junk), (5, "one line"), (6, "a. b. c."), (7, "a. b. c."), (8, PASSAGE), (8, PASSAGE), (None, PASSAGE), (None, None), (9, "y" * 100_000)]
