@@ -9,6 +9,7 @@ word by word before it counts.
 
 from __future__ import annotations
 
+from collections.abc import Iterator
 from dataclasses import dataclass
 
 import numpy as np
@@ -97,19 +98,18 @@ def _scanning(shared):
     return run
 
 
-def _sliced(benchmark: DataFrame, item_col: str, text_col: str, p: Decontamination) -> list[list[tuple]]:
-    """The benchmark's items, collected slice by slice; a slice is bounded by `max_words`."""
+def _sliced(benchmark: DataFrame, item_col: str, text_col: str, p: Decontamination) -> Iterator[tuple[list[tuple], bool]]:
+    """The benchmark's items slice by slice, each collected only when asked for, and whether it is the last."""
     items = benchmark.select(F.col(item_col).alias("item"), F.col(text_col).alias("text")).where("text is not null")
     size = items.select(F.sum(F.length("text")).alias("n"), F.count("*").alias("rows")).first()
     chars = 6 * p.max_words  # a word has one character at least; a window set costs about as much for longer words
     if (size["n"] or 0) <= chars:
-        return [[(r["item"], r["text"].encode()) for r in items.collect()]]
+        yield [(r["item"], r["text"].encode()) for r in items.collect()], True
+        return
     slices_ = -(-size["n"] // chars) * 2
-    out = []
     for i in range(slices_):
         part = items.where(F.pmod(F.xxhash64("item", "text"), F.lit(slices_)) == i)
-        out.append([(r["item"], r["text"].encode()) for r in part.collect()])
-    return out
+        yield [(r["item"], r["text"].encode()) for r in part.collect()], i + 1 == slices_
 
 
 def scan(docs: DataFrame, benchmark: DataFrame, text_col: str = "text", item_col: str = "item_id",
@@ -130,12 +130,13 @@ def scan(docs: DataFrame, benchmark: DataFrame, text_col: str = "text", item_col
                       F.expr("cast(array() as array<struct<a: int, b: int>>)").alias("spans"),
                       F.expr(f"cast(array() as array<{item_type}>)").alias("items"))
     schema = src.schema
-    parts = _sliced(benchmark, item_col, benchmark_text_col, p)
-    for i, part in enumerate(parts):
+    for part, last in _sliced(benchmark, item_col, benchmark_text_col, p):
         shared = spark.sparkContext.broadcast(WindowSet(part, p))
+        del part
         src = src.mapInArrow(_scanning(shared), schema)
-        if i + 1 < len(parts):
+        if not last:
             src = written(src, "decontaminate")  # one window set in memory at a time
+            shared.destroy()
     return src
 
 

@@ -4,6 +4,7 @@ import re
 import duckdb
 from pyspark.sql import functions as F
 
+import barlake.llm.decontaminate as module
 from barlake.llm.decontaminate import Decontamination, decontaminate, scan
 from barlake.llm.q_decontaminate import SQL, op5_decontamination
 
@@ -62,3 +63,15 @@ def test_spans_leave_the_text(spark):
     b = spark.createDataFrame([(1, ten)], "item_id bigint, text string")
     got = dict(map(tuple, decontaminate(d, b).collect()))
     assert got == {1: "Before, it. ! After it " + "w " * 30, 3: "clean  text\n", 4: None}
+
+
+def test_a_slice_is_scanned_before_the_next_is_read(spark, monkeypatch):
+    docs = spark.createDataFrame([(1, "one two three four"), (2, "nine eight seven six")], "doc_id bigint, text string")
+    items = spark.createDataFrame([(i, f"one two three four item{i}") for i in range(8)], "item_id bigint, text string")
+    events, kind = [], type(docs)
+    collect, writes = kind.collect, module.written
+    monkeypatch.setattr(kind, "collect", lambda self: events.append("read") or collect(self))
+    monkeypatch.setattr(module, "written", lambda df, name: events.append("scan") or writes(df, name))
+    scan(docs, items, params=Decontamination(max_words=4))
+    steps = events[1:]  # the first reads the benchmark's size
+    assert len(steps) > 4 and steps == ["read", "scan"] * (len(steps) // 2) + ["read"]
