@@ -106,7 +106,7 @@ def q_random_search(spark, d):
 
 @register("rfe_select", None, check="ROWS", ids="L4")
 def q_rfe(spark, d):
-    return finalize(M.rfe_scores(selection_frame(spark, d), FEATURES, LABEL, n_features=5, numTrees=20))
+    return finalize(M.rfe_scores(selection_frame(spark, d), FEATURES, LABEL, n_features=5))
 
 
 @register("lasso_select", None, check="ROWS", ids="L5")

@@ -149,3 +149,12 @@ def test_search_ranges_give_parameters_spark_takes(spark):
     for name in SPACES:
         params = sample(SPACES[name], random.Random(1)) | ({"maxIter": 2} if "stepSize" in SPACES[name] else {"numTrees": 2} if name == "random_forest" else {})
         assert M.fit(name, df, cols, "t", **params).features == cols
+
+
+def test_rfe_query_grows_100_trees(spark, monkeypatch):
+    from barlake.operators import models
+    from barlake.plans import q_models
+    trees, fit = [], models.fit
+    monkeypatch.setattr(models, "fit", lambda *a, **k: trees.append(k["numTrees"]) or fit(*a, **{**k, "numTrees": 2}))
+    q_models.q_rfe(spark, "/root/testdata/sf0.001")
+    assert trees and set(trees) == {100}
