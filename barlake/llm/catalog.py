@@ -20,8 +20,10 @@ def _shipped(fn):
 
 
 def _modules():
-    from barlake.llm import q_chat, q_decontaminate, q_line_dedup, q_minhash, q_packing, q_quality, q_token_count, q_toxicity, q_url_filter, q_warc
-    return q_chat, q_decontaminate, q_line_dedup, q_minhash, q_packing, q_quality, q_token_count, q_toxicity, q_url_filter, q_warc
+    from barlake.llm import (q_chat, q_decontaminate, q_line_dedup, q_minhash, q_packing, q_periodic, q_quality, q_spelling,
+                             q_token_count, q_topk, q_toxicity, q_url_filter, q_warc)
+    return (q_chat, q_decontaminate, q_line_dedup, q_minhash, q_packing, q_periodic, q_quality, q_spelling,
+            q_token_count, q_topk, q_toxicity, q_url_filter, q_warc)
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
