@@ -109,109 +109,3 @@ def blocked_window_indicators(df: DataFrame, block_rows: int = 100_000, lookback
     vwap = blocked_cumulative_sum(vc, "volume", "_cv", block_rows).select(
         KEY, TIME, F.try_divide(F.col("_cvc"), F.col("_cv")).alias("vwap"))
     return res.join(obv, [KEY, TIME]).join(vwap, [KEY, TIME])
-
-
-# -- block-parallel linear recursions (EMA, Wilder smoothing) ----------------------
-
-def blocked_linear_recursion(df: DataFrame, value: str, alpha: float, seed_n: int, out: str,
-                             block_rows: int = 100_000, first_pos: int = 0, key: str = KEY,
-                             time: str = TIME, bucket_seconds: int = 30 * 86400) -> DataFrame:
-    """``y = α·u + (1-α)·y₋₁`` per instrument, seeded at position
-    ``first_pos + seed_n - 1`` by the mean of the first ``seed_n`` values
-    (positions ≥ ``first_pos``); null before the seed.
-
-    Three passes, none of which holds a whole instrument: (1) per block, its
-    affine map ``y_out = A·y_in + B`` (plus the seed if it lies in the block),
-    (2) per instrument, the composition of its block maps — one small row per
-    block — giving every block's entering state, (3) per block, the sequential
-    recursion from that state. Exact up to floating-point rounding.
-    """
-    import numpy as np
-    import pandas as pd
-    from pyspark.sql import types as T
-
-    seed_at = first_pos + seed_n - 1
-    base = positions(df, bucket_seconds, key, time).withColumn(BLOCK, (F.col(POS) / block_rows).cast("long"))
-    q = 1.0 - alpha
-
-    def block_map(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values(POS)
-        pos = pdf[POS].to_numpy()
-        u = pdf[value].to_numpy(dtype=float)
-        a, b = 1.0, 0.0            # y_out = a*y_in + b over the recursive part of the block
-        seed_sum, seed_cnt, seeded_here = 0.0, 0, False
-        for p, x in zip(pos, u):
-            if first_pos <= p <= seed_at:
-                seed_sum += x
-                seed_cnt += 1
-                if p == seed_at:
-                    a, b, seeded_here = 1.0, 0.0, True   # map restarts from the seed value
-            elif p > seed_at:
-                a, b = q * a, q * b + alpha * x
-        return pd.DataFrame({key: [pdf[key].iloc[0]], BLOCK: [int(pdf[BLOCK].iloc[0])], "_a": [a], "_b": [b],
-                             "_ss": [seed_sum], "_sc": [seed_cnt], "_seeded": [seeded_here]})
-
-    map_schema = T.StructType([T.StructField(key, T.StringType()), T.StructField(BLOCK, T.LongType()),
-                               T.StructField("_a", T.DoubleType()), T.StructField("_b", T.DoubleType()),
-                               T.StructField("_ss", T.DoubleType()), T.StructField("_sc", T.LongType()),
-                               T.StructField("_seeded", T.BooleanType())])
-    maps = base.select(key, BLOCK, POS, value).groupBy(key, BLOCK).applyInPandas(block_map, map_schema)
-
-    def compose(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values(BLOCK)
-        state, ssum, sin = np.nan, 0.0, []
-        for a, b, ss, seeded in zip(pdf["_a"], pdf["_b"], pdf["_ss"], pdf["_seeded"]):
-            sin.append((state, ssum))
-            ssum += ss
-            if seeded:
-                state = a * (ssum / seed_n) + b
-            elif not np.isnan(state):
-                state = a * state + b
-        return pd.DataFrame({key: pdf[key], BLOCK: pdf[BLOCK], "_in": [s for s, _ in sin],
-                             "_sin": [x for _, x in sin]})
-
-    comp_schema = T.StructType([T.StructField(key, T.StringType()), T.StructField(BLOCK, T.LongType()),
-                                T.StructField("_in", T.DoubleType()), T.StructField("_sin", T.DoubleType())])
-    entering = maps.groupBy(key).applyInPandas(compose, comp_schema)
-
-    def replay(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values(POS)
-        y = float(pdf["_in"].iloc[0])
-        ssum = float(pdf["_sin"].iloc[0])
-        res = np.full(len(pdf), np.nan)
-        for i, (p, x) in enumerate(zip(pdf[POS].to_numpy(), pdf[value].to_numpy(dtype=float))):
-            if first_pos <= p <= seed_at:
-                ssum += x
-                if p == seed_at:
-                    y = ssum / seed_n
-                    res[i] = y
-            elif p > seed_at and not np.isnan(y):
-                y = alpha * x + q * y
-                res[i] = y
-        out_df = pdf.drop(columns=["_in", "_sin"])
-        out_df[out] = res
-        return out_df
-
-    j = base.join(entering, [key, BLOCK])
-    fields = [f for f in j.schema.fields if f.name not in ("_in", "_sin")] + [T.StructField(out, T.DoubleType())]
-    return j.groupBy(key, BLOCK).applyInPandas(replay, T.StructType(fields)).drop(BLOCK, POS)
-
-
-def blocked_ema(df: DataFrame, n: int, col: str = "close", out: str | None = None,
-                block_rows: int = 100_000) -> DataFrame:
-    """SMA-seeded EMA(n) (T2/F10) without holding a whole instrument."""
-    return blocked_linear_recursion(df, col, 2.0 / (n + 1), n, out or f"ema_{n}", block_rows)
-
-
-def blocked_rsi(df: DataFrame, n: int = 14, block_rows: int = 100_000) -> DataFrame:
-    """Wilder RSI(n) (F12/T5): Wilder-smoothed gains and losses (α = 1/n, seeded
-    by the mean of the first n changes), combined per row."""
-    from barlake.functions.windows import DEFAULT as S
-    d = df.withColumn("_d", S.diff("close"))
-    d = d.withColumns({"_g": F.when(F.col("_d") > 0, F.col("_d")).otherwise(F.lit(0.0)),
-                       "_l": F.when(F.col("_d") < 0, -F.col("_d")).otherwise(F.lit(0.0))})
-    g = blocked_linear_recursion(d, "_g", 1.0 / n, n, "_ag", block_rows, first_pos=1)
-    g = blocked_linear_recursion(g, "_l", 1.0 / n, n, "_al", block_rows, first_pos=1)
-    s = F.col("_ag") + F.col("_al")
-    rsi = F.when(s.isNull(), F.lit(None)).when(F.abs(s) < 1e-8, F.lit(0.0)).otherwise(100.0 * F.col("_ag") / s)
-    return g.withColumn(f"rsi_{n}", rsi).drop("_d", "_g", "_l", "_ag", "_al")

@@ -1,8 +1,8 @@
-"""Catalog: recursive indicators (grouped map) checked against DuckDB recursive CTEs.
+"""Catalog: recursive indicators checked against DuckDB recursive CTEs.
 
-The oracle walks each instrument's bars by row number with ``WITH RECURSIVE``;
-the Spark side runs the numpy kernels of :mod:`barlake.operators.recursive`
-inside ``applyInPandas``.
+The oracle walks each instrument's bars by row number with ``WITH RECURSIVE``; the Spark side
+runs :mod:`barlake.operators.scans` over blocks of 200 bars or so, so that each query composes
+block maps (or replays blocks) as a long instrument would at the default size.
 """
 
 from __future__ import annotations
@@ -12,11 +12,12 @@ from barlake.plans.catalog import register
 from barlake.plans.common import BAR_SQL, VALID_SQL, W, clean_panel, finalize, rnd_expr
 
 KEYS = ["stock_code", "date"]
+BLOCK_ROWS = 200
 
 
 def _spark(kinds, cols, panel="events"):
     def build(spark, d):
-        out = R.apply_recursive(clean_panel(spark, d, panel), kinds)
+        out = R.apply_recursive(clean_panel(spark, d, panel), kinds, block_rows=BLOCK_ROWS, bucket_seconds=86400)
         return finalize(out.select(*KEYS, *cols))
     return build
 
@@ -224,14 +225,7 @@ register("sar", _final({"sar": "sar"}, ["so"], _SAR_CTE), check="REC", ids="T16"
 register("ht_trend", None, check="ROWS", ids="T24 T25")(_spark(("ht",), ["ht_trendline", "ht_trendmode"]))
 
 
-# -- block-parallel form of the linear recursions (plans.blocked) -----------------
+# -- several kinds in one set of passes ---------------------------------------------
 _BLK_CTE = ema_cte("e20", "src", "close", 20) + ",\ne20_o AS (SELECT stock_code, rn, e AS ema_20 FROM e20)" + rsi_cte(12)
-
-
-@register("blocked_ema_rsi", _final({"ema_20": "ema_20", "rsi_12": "rsi_12"}, ["e20_o", "r12_o"], _BLK_CTE),
-          check="REC", ids="T2 T5 F10 F12 (block-parallel, hot-instrument safe)")
-def q_blocked_ema_rsi(spark, d):
-    from barlake.plans.blocked import blocked_ema, blocked_rsi
-    out = blocked_rsi(blocked_ema(clean_panel(spark, d), 20, block_rows=200), 12, block_rows=200)
-    return finalize(out.select(*KEYS, "ema_20", "rsi_12"))
-
+register("blocked_ema_rsi", _final({"ema_20": "ema_20", "rsi_12": "rsi_12"}, ["e20_o", "r12_o"], _BLK_CTE),
+         check="REC", ids="T2 T5 F10 F12 (together)")(_spark(("ema_technical", "rsi_multi"), ["ema_20", "rsi_12"]))
