@@ -146,9 +146,7 @@ r AS (SELECT stock_code, date, fold, CASE WHEN pos < start THEN 'train' WHEN pos
 SELECT fold, role, count(*) AS n, min(date) AS first_date, max(date) AS last_date FROM r
 WHERE role IS NOT NULL GROUP BY fold, role""", ids="M4")
 def q_ts_folds(spark, d):
-    f = M.expanding_folds(clean_panel(spark, d).select("stock_code", "date"))
-    return finalize(f.groupBy("fold", "role").agg(F.count(F.lit(1)).alias("n"), F.min("date").alias("first_date"),
-                                                   F.max("date").alias("last_date")))
+    return finalize(M.fold_roles(M.expanding_blocks(clean_panel(spark, d).select("stock_code", "date"))))
 
 
 _CV_SQL = PRED_SQL + """,
@@ -176,13 +174,8 @@ def q_cv_score(spark, d):
 
 
 def _fold_metrics(spark, d):
-    lp = long_predictions(spark, d)
-    parts = []
-    for m in ("momentum", "reversal", "ma_gap"):
-        f = M.expanding_folds(lp.where(F.col("model") == m)).where("role = 'test'")
-        parts.append(f)
-    allf = parts[0].unionByName(parts[1]).unionByName(parts[2])
-    return M.fold_metrics(allf)
+    blocks = M.expanding_blocks(long_predictions(spark, d), out="fold", by=("model",))
+    return M.fold_metrics(blocks.where("fold >= 0"))
 
 
 def _hash_sql(seed):
