@@ -3,10 +3,9 @@
 ``Window.orderBy(...)`` without ``partitionBy`` moves every row into one task.
 These helpers keep ordering work partitioned:
 
-* :func:`average_rank` — range-partition on (group, order keys), rank inside
-  each range partition, then add the row counts of the earlier partitions of
-  the same group (a table of partitions × groups). Equal keys always land in
-  one range partition, so ties get the mean of their positions.
+* :func:`value_counts` — rows below each distinct value: ties counted before they move, the
+  distinct values ordered in ranges between percentiles of a sketch, plus the totals of the earlier
+  ranges; :func:`average_rank` joins the mean positions of ties to the rows.
 * :func:`top_n_per_group` — the best n of each salted sub-group, then the
   best n of those candidates: exact (the group's top n is contained in the
   union of its buckets' top n) and no task sees more than one bucket.
@@ -20,54 +19,45 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 
-def _partitions(df: DataFrame, partitions: int | None) -> int:
-    if partitions:
-        return partitions
-    try:
-        return int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    except Exception:  # pragma: no cover
-        return 200
+RANGES = 64  # parts of a group whose values are ordered independently
 
 
-def average_rank(df: DataFrame, order: list[str], by: list[str] | None = None, out: str = "rank",
-                 partitions: int | None = None) -> DataFrame:
-    """1-based rank of ``order`` (ascending) inside each ``by`` group, ties averaged.
+def value_counts(df: DataFrame, col: str, by: list[str] | None = None, ranges: int = RANGES) -> DataFrame:
+    """``(*by, value, n, below)``: each distinct value of a group, its rows and the rows of smaller values.
 
-    Rows with a null in ``order`` or ``by`` get a null rank.
+    Lazy: no job runs while the plan is built. Ties are added up before they move. The distinct
+    values are cut into ranges at percentiles of a sketch (one array for each group, part of the
+    plan), each range is ordered by itself, and the ranges' totals are summed up. Rows with
+    a null value or group are left out.
     """
     by = list(by or [])
-    keys = by + list(order)
-    complete = F.lit(True)
-    for k in keys:
-        complete = complete & F.col(k).isNotNull()
-    valid = df.where(complete)
-    rest = df.where(~complete).withColumn(out, F.lit(None).cast("double"))
-    p = _partitions(df, partitions)
-    # The range bounds come from sampling; every consumer must see the same
-    # partition ids, so the range-partitioned rows are checkpointed once
-    # (reliable checkpoint in the shared checkpoint dir).
-    from barlake.session import cut_lineage
-    ranged = cut_lineage(valid.repartitionByRange(p, *[F.col(k) for k in keys])
-                         .withColumn("_pid", F.spark_partition_id()))
-    counts = ranged.groupBy("_pid", *keys).agg(F.count(F.lit(1)).alias("_n"))
-    w = Window.partitionBy("_pid", *by).orderBy(*order).rowsBetween(Window.unboundedPreceding, -1)
-    counts = counts.withColumn("_below", F.coalesce(F.sum("_n").over(w), F.lit(0)))
-    totals = counts.groupBy("_pid", *by).agg(F.sum("_n").alias("_t"))
-    wo = (Window.partitionBy(*by) if by else Window.partitionBy(F.lit(0))).orderBy("_pid") \
-        .rowsBetween(Window.unboundedPreceding, -1)
-    offsets = totals.withColumn("_off", F.coalesce(F.sum("_t").over(wo), F.lit(0))).drop("_t")
-    ranks = (counts.join(offsets, ["_pid", *by])
-             .withColumn(out, (F.col("_off") + F.col("_below")).cast("double") + (F.col("_n") + 1) / 2.0)
-             .select("_pid", *keys, out))
-    ranked = ranged.join(ranks, ["_pid", *keys]).drop("_pid")
-    return ranked.unionByName(rest)
-
-
-def row_position(df: DataFrame, order: list[str], by: list[str] | None = None, out: str = "pos",
-                 partitions: int | None = None) -> DataFrame:
-    """0-based position in ``order`` (which must be unique inside a group)."""
-    r = average_rank(df, order, by, "_r", partitions)
-    return r.withColumn(out, (F.col("_r") - 1).cast("long")).drop("_r")
+    there = F.col(col).isNotNull()
+    for k in by:
+        there = there & F.col(k).isNotNull()
+    counts = df.where(there).groupBy(*by, F.col(col).alias("value")).agg(F.count("*").alias("n"))
+    cuts = [i / ranges for i in range(1, ranges)]
+    splitters = counts.groupBy(*by).agg(F.percentile_approx(F.col("value").cast("double"), cuts, 50 * ranges).alias("_s"))
+    placed = counts.join(splitters, by) if by else counts.withColumn("_s", splitters.scalar())
+    placed = placed.withColumn("_range", F.size(F.filter("_s", lambda s: s < F.col("value").cast("double")))).drop("_s")
+    inside = Window.partitionBy(*by, "_range").orderBy("value").rowsBetween(Window.unboundedPreceding, -1)
+    placed = placed.withColumn("_in", F.coalesce(F.sum("n").over(inside), F.lit(0)))
+    before = Window.partitionBy(*(by or [F.lit(0)])).orderBy("_range").rowsBetween(Window.unboundedPreceding, -1)
+    totals = placed.groupBy(*by, "_range").agg(F.sum("n").alias("_t"))  # at most `ranges` rows for each group
+    totals = totals.select(*by, "_range", F.coalesce(F.sum("_t").over(before), F.lit(0)).alias("_off"))
+    return placed.join(totals, [*by, "_range"]).select(*by, "value", "n", (F.col("_off") + F.col("_in")).alias("below"))
+
+
+def average_rank(df: DataFrame, col: str, by: list[str] | None = None, out: str = "rank", ranges: int = RANGES) -> DataFrame:
+    """1-based rank of ``col`` (ascending) inside each ``by`` group, ties averaged, null for nulls.
+
+    Rows meet the ranks of the distinct values in an equi-join, in which adaptive execution
+    splits a value that many rows hold (each value is one row on the other side)."""
+    by = list(by or [])
+    ranks = value_counts(df, col, by, ranges).select(*[F.col(k).alias(f"_of_{k}") for k in by], "value", (F.col("below") + (F.col("n") + 1) / 2.0).alias(out))
+    same = F.col(col) == F.col("value")
+    for k in by:
+        same = same & (F.col(k) == F.col(f"_of_{k}"))
+    return df.join(ranks, same, "left").drop("value", *[f"_of_{k}" for k in by])
 
 
 def top_n_per_group(df: DataFrame, group: list[str], order: list, n: int, out: str = "rank",
@@ -86,8 +76,9 @@ def top_n_per_group(df: DataFrame, group: list[str], order: list, n: int, out: s
     return cand.withColumn(out, F.row_number().over(w2)).where(F.col(out) <= n)
 
 
-def date_offsets(df: DataFrame, time: str, key: str, out: str = "pos", by: list[str] | None = None) -> DataFrame:
-    """0-based position in (time, key) order, per ``by`` group.
+def date_offsets(df: DataFrame, time: str, key: str, out: str = "pos", by: list[str] | None = None,
+                 total: str | None = None) -> DataFrame:
+    """0-based position in (time, key) order, per ``by`` group, and the group's rows as ``total``.
 
     Offsets come from a running sum over the per-time row counts (one row per
     distinct (group, time), a small table); inside a time the position is the
@@ -97,6 +88,8 @@ def date_offsets(df: DataFrame, time: str, key: str, out: str = "pos", by: list[
     per = df.groupBy(*by, time).agg(F.count(F.lit(1)).alias("_c"))
     w = (Window.partitionBy(*by) if by else Window.partitionBy(F.lit(0))).orderBy(time) \
         .rowsBetween(Window.unboundedPreceding, -1)
+    if total:
+        per = per.withColumn(total, F.sum("_c").over(w.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)))
     per = per.withColumn("_o", F.coalesce(F.sum("_c").over(w), F.lit(0))).drop("_c")
     inner = Window.partitionBy(*by, time).orderBy(key)
     return (df.join(per, [*by, time]).withColumn(out, F.col("_o") + F.row_number().over(inner) - 1)

@@ -19,7 +19,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from barlake.functions.ranks import date_offsets, row_position, top_n_per_group
+from barlake.functions.ranks import average_rank, date_offsets, top_n_per_group, value_counts
 from barlake.functions.windows import KEY, TIME, safe_corr
 
 EPS64 = 2.220446049250313e-16
@@ -56,9 +56,8 @@ def regression_metrics(df: DataFrame, y: str = "y", p: str = "p", by=("model",),
 
 def spearman(df: DataFrame, y: str = "y", p: str = "p", by=("model",)) -> DataFrame:
     """V5: Pearson correlation of average ranks (ties averaged), per model."""
-    from barlake.functions.ranks import average_rank
-    r = average_rank(df, [y], list(by), "_ry")
-    r = average_rank(r, [p], list(by), "_rp")
+    r = average_rank(df, y, list(by), "_ry")
+    r = average_rank(r, p, list(by), "_rp")
     return r.groupBy(*by).agg(safe_corr("_ry", "_rp").alias("spearman_corr"))
 
 
@@ -78,32 +77,49 @@ def quintile_accuracy(df: DataFrame, y: str = "y", p: str = "p", by=("model",))
                  F.count(F.lit(1)).alias("n")))
 
 
-def information_ratio(df: DataFrame, y: str = "y", p: str = "p", by=("model",),
-                      order=(TIME, KEY), window: int = 20, stride: int = 5) -> DataFrame:
+def information_ratio(df: DataFrame, y: str = "y", p: str = "p", by=("model",), time: str = TIME, key: str = KEY,
+                      window: int = 20, stride: int = 5, strip: int = 4096) -> DataFrame:
     """IC over all rows / population std of ICs of 20-row windows (stride 5).
 
-    Windows start at 0, 5, ... while start < n - 20; a row belongs to at most
-    window/stride windows, so it is exploded to those starts and each window is
-    one group of a single aggregate. Windows with an undefined IC are skipped;
-    the ratio is 0 when the spread is 0 or undefined.
+    Windows start at 0, 5, ... while start < n - 20. Rows are gathered once, by (time, key)
+    position, into pieces of ``stride`` rows; a window is ``window / stride`` pieces in a row. Pieces
+    are joined up in strips of ``strip``, each of which also gets the first pieces of the next
+    (three in 4096), so no row is copied for every window it is in. Windows with an undefined
+    IC are skipped; the ratio is 0 when the spread is 0 or undefined.
     """
-    by = list(by)
-    if len(order) == 2:
-        # (time, key) order: per-time counts + running sum, no global sort
-        pos = date_offsets(df, order[0], order[1], "_pos", by)
-    else:
-        pos = row_position(df, list(order), by, "_pos")
-    n = df.groupBy(*by).agg(F.count(F.lit(1)).alias("_n"))
-    j = pos.join(n, by)
-    hi = F.least(F.col("_pos"), F.col("_n") - window - 1)
-    lo = F.greatest(F.lit(0), F.col("_pos") - (window - 1))
-    first = ((lo + (stride - 1)) / stride).cast("long") * stride
-    starts = F.when(hi >= first, F.sequence(first, hi - F.pmod(hi - first, F.lit(stride)), F.lit(stride)))
-    ex = j.withColumn("_s", F.explode_outer(starts)).where(F.col("_s").isNotNull())
-    ics = ex.groupBy(*by, "_s").agg(safe_corr(y, p).alias("_ic")).where(F.col("_ic").isNotNull())
-    spread = ics.groupBy(*by).agg(F.stddev_pop("_ic").alias("ic_std"), F.count("_ic").alias("n_windows"))
-    total = df.groupBy(*by).agg(safe_corr(y, p).alias("information_coefficient"))
-    out = total.join(spread, by, "left")
+    if window % stride:
+        raise ValueError("window must be a multiple of stride")
+    by, parts = list(by), window // stride
+    pos = date_offsets(df, time, key, "_pos", by, total="_n")
+    pieces = pos.groupBy(*by, "_n", F.floor(F.col("_pos") / stride).alias("_piece")).agg(
+        F.collect_list(F.struct(F.col(y).cast("double").alias("y"), F.col(p).cast("double").alias("p"))).alias("_rows"),
+        F.coalesce(F.min(F.col(y).cast("double")), F.lit(0.0)).alias("_y0"), F.coalesce(F.min(F.col(p).cast("double")), F.lit(0.0)).alias("_p0"))
+    own = F.floor(F.col("_piece") / strip)
+    into = F.when((F.col("_piece") % strip < parts - 1) & (own > 0), F.array(own, own - 1)).otherwise(F.array(own))
+    strips = pieces.withColumn("_strip", F.explode(into))
+    ahead = Window.partitionBy(*by, "_strip").orderBy("_piece").rowsBetween(0, parts - 1)
+    windows = strips.withColumn("_w", F.collect_list("_rows").over(ahead)).where(
+        (own == F.col("_strip")) & (F.col("_piece") * stride < F.col("_n") - window))
+
+    # one pass over a window's rows: moments of differences from a value of its first piece, so
+    # that a constant column has no spread at all, not a rounded one
+    names = ("n", "y", "p", "yy", "pp", "yp")
+
+    def add(m, r):
+        dy, dp = r["y"] - F.col("_y0"), r["p"] - F.col("_p0")
+        new = F.struct(*[(m[k] + v).alias(k) for k, v in zip(names, (F.lit(1.0), dy, dp, dy * dy, dp * dp, dy * dp))])
+        return F.when(r["y"].isNull() | r["p"].isNull(), m).otherwise(new)
+
+    def corr(m):
+        def about(ab, a, b):
+            return m[ab] - F.try_divide(m[a] * m[b], m["n"])
+        yy, pp = about("yy", "y", "y"), about("pp", "p", "p")
+        return F.when((yy > 0) & (pp > 0), about("yp", "y", "p") / F.sqrt(yy * pp))
+
+    zero = F.struct(*[F.lit(0.0).alias(k) for k in names])
+    ics = windows.select(*by, F.aggregate(F.flatten("_w"), zero, add, corr).alias("_ic")).where("_ic is not null")
+    spreads = ics.groupBy(*by).agg(F.stddev_pop("_ic").alias("ic_std"), F.count("_ic").alias("n_windows"))
+    out = df.groupBy(*by).agg(safe_corr(y, p).alias("information_coefficient")).join(spreads, by, "left")
     ir = F.when(F.col("ic_std") > 0, F.col("information_coefficient") / F.col("ic_std")).otherwise(F.lit(0.0))
     return out.withColumn("information_ratio", ir)
 
@@ -182,17 +198,22 @@ def residual_histogram(df: DataFrame, y: str = "y", p: str = "p", by=("model",),
                     F.try_divide(F.col("count"), F.col("_n") * (F.col("_hi") - F.col("_lo")) / bins).alias("density"))
 
 
-def residual_qq(df: DataFrame, y: str = "y", p: str = "p", by=("model",), order=(TIME, KEY)) -> DataFrame:
+def residual_qq(df: DataFrame, y: str = "y", p: str = "p", by=("model",), piece: int = 4096) -> DataFrame:
     """Ordered residuals with plotting positions (i - 0.5) / n and the
-    fitted normal's mean / population std."""
+    fitted normal's mean / population std.
+
+    A residual that c rows share is one row until its c positions are written out, ``piece`` at a
+    time; no row of the data is ranked."""
     by = list(by)
     e = df.withColumn("residual", _e(y, p))
-    r = row_position(e, ["residual", *order], by, "_pos")
-    st = e.groupBy(*by).agg(F.count(F.lit(1)).alias("_n"), F.avg("residual").alias("fit_mean"),
+    st = e.groupBy(*by).agg(F.count("residual").alias("_n"), F.avg("residual").alias("fit_mean"),
                             F.stddev_pop("residual").alias("fit_std"))
-    return (r.join(st, by).select(*by, (F.col("_pos") + 1).alias("i"), "residual",
-                                  ((F.col("_pos") + 0.5) / F.col("_n")).alias("plotting_position"),
-                                  "fit_mean", "fit_std"))
+    counts = value_counts(e, "residual", by).withColumnRenamed("value", "residual")
+    pieces = counts.withColumn("_from", F.explode(F.sequence(F.lit(0).cast("bigint"), F.col("n") - 1, F.lit(piece).cast("bigint"))))
+    upto = F.least(F.col("n"), F.col("_from") + piece)
+    rows = pieces.withColumn("i", F.explode(F.sequence(F.col("below") + F.col("_from") + 1, F.col("below") + upto)))
+    return (rows.join(st, by).select(*by, "i", "residual", ((F.col("i") - 0.5) / F.col("_n")).alias("plotting_position"),
+                                     "fit_mean", "fit_std"))
 
 
 def model_ranking(metrics: DataFrame, metric: str = "rmse", by: str = "model") -> DataFrame:

@@ -4,7 +4,7 @@ import pandas as pd
 import pytest
 from pyspark.sql import functions as F
 
-from barlake.functions.ranks import average_rank, date_offsets, row_position, top_n_per_group
+from barlake.functions.ranks import average_rank, date_offsets, top_n_per_group, value_counts
 from barlake.operators import evaluate as V
 
 
@@ -18,16 +18,38 @@ def tied(spark):
 
 def test_average_rank_matches_pandas(tied):
     pdf, df = tied
-    out = average_rank(df, ["v"], ["g"], "r", partitions=7).toPandas().sort_values("id")
+    out = average_rank(df, "v", ["g"], "r", ranges=7).toPandas().sort_values("id")
     ref = pdf.assign(r=pdf.groupby("g").v.rank(method="average")).sort_values("id")
     np.testing.assert_allclose(out.r.to_numpy(), ref.r.to_numpy())
 
 
-def test_row_position_is_dense(tied):
-    _, df = tied
-    out = row_position(df, ["v", "id"], ["g"], "pos", partitions=5).toPandas()
-    for _, g in out.groupby("g"):
-        assert sorted(g.pos) == list(range(len(g)))
+def test_value_counts_are_lazy_and_spread_ties(spark):
+    """90 % of the rows hold one value: it is one row after the map side, and no job runs before the action."""
+    rng = np.random.default_rng(4)
+    v = np.where(rng.random(20_000) < 0.9, 0.0, rng.normal(size=20_000))
+    pdf = pd.DataFrame({"g": rng.choice(["a", "b"], 20_000), "v": v})
+    pdf.loc[:9, "v"] = np.nan
+    df = spark.createDataFrame(pdf).selectExpr("g", "nullif(v, 'NaN') as v").repartition(6)
+    jobs = spark.sparkContext.statusTracker()
+    spark.sparkContext.setJobGroup("lazy", "value_counts")
+    counts = value_counts(df, "v", ["g"])
+    ranks = average_rank(df, "v", ["g"], "r")
+    assert not jobs.getJobIdsForGroup("lazy")
+    spark.sparkContext.setLocalProperty("spark.jobGroup.id", None)
+    got = counts.toPandas().sort_values(["g", "value"])
+    ref = pdf.dropna().groupby(["g", "v"]).size().reset_index(name="n")
+    ref["below"] = ref.groupby("g").n.cumsum() - ref.n
+    np.testing.assert_allclose(got[["value", "n", "below"]].to_numpy(float), ref[["v", "n", "below"]].to_numpy(float))
+    r = ranks.toPandas()
+    assert r.r.isna().sum() == 10
+    np.testing.assert_allclose(np.sort(r.r.dropna()), np.sort(pdf.dropna().groupby("g").v.rank(method="average")))
+
+
+def test_qq_points_of_tied_residuals(spark):
+    pdf = pd.DataFrame({"model": ["m"] * 30_000, "y": [0.0] * 27_000 + list(np.arange(3000) - 1500.0), "p": 0.0})
+    out = V.residual_qq(spark.createDataFrame(pdf)).toPandas().sort_values("i")
+    assert out.i.tolist() == list(range(1, 30_001))
+    np.testing.assert_array_equal(out.residual, np.sort(pdf.y))
 
 
 def test_top_n_per_group_exact(tied):
