@@ -2,7 +2,8 @@
 
 Base models are independent Spark jobs, so they are fit concurrently from a
 driver thread pool (each fit is itself distributed). Out-of-fold and hold-out
-predictions are DataFrames; only model parameters reach the driver.
+predictions are DataFrames; only model parameters reach the driver. The training rows, with
+their folds, are written once; every fit and every prediction reads a filter on that table.
 """
 
 from __future__ import annotations
@@ -16,14 +17,16 @@ from pyspark.sql import functions as F
 from barlake.operators import models as M
 from barlake.operators import splits as S
 from barlake.functions.windows import KEY, TIME
+from barlake.session import written
 
 DEFAULT_BASES = ("xgboost", "lightgbm", "ridge")
 
 
-def _fit_many(names, df, features, label, workers: int = 4, **kw):
-    with ThreadPoolExecutor(max_workers=max(1, min(workers, len(names)))) as pool:
-        futs = {n: pool.submit(M.fit, n, df, features, label, **kw) for n in names}
-        return {n: f.result() for n, f in futs.items()}
+def _fit_many(jobs: dict, features, label, workers: int = 8, **kw) -> dict:
+    """job -> (preset, stored training rows); the fits share nothing but the table they read."""
+    with ThreadPoolExecutor(max_workers=max(1, min(workers, len(jobs)))) as pool:
+        found = {job: pool.submit(M.fit, name, rows, features, label, stored=True, **kw) for job, (name, rows) in jobs.items()}
+        return {job: f.result() for job, f in found.items()}
 
 
 def _predict_cols(models: dict, df: DataFrame, keep) -> DataFrame:
@@ -50,68 +53,59 @@ class Ensemble:
         return cols.withColumn(out, num / float(sum(w))).select(*keep, out)
 
 
+def _rows(df, features, label) -> DataFrame:
+    return M.training_frame(df, features, label).select(*dict.fromkeys([KEY, TIME, *features, label]))
+
+
 def voting(df, features, label, bases=DEFAULT_BASES, weights=None) -> Ensemble:
     """Unweighted (or weighted) mean of refitted base models."""
-    return Ensemble("voting", _fit_many(bases, df, features, label), weights=weights)
+    data = written(_rows(df, features, label), "voting")
+    return Ensemble("voting", _fit_many({n: (n, data) for n in bases}, features, label), weights=weights)
 
 
 def stacking(df, features, label, bases=DEFAULT_BASES, k: int = 5, workers: int = 8) -> Ensemble:
     """E5: out-of-fold base predictions on k contiguous folds → ridge meta model;
     bases are then refit on all rows. All k·|bases| + |bases| fits are
     independent and run concurrently."""
-    data = M.training_frame(df, features, label).drop(M.LABEL)
-    folded = S.contiguous_folds(data, k)
-    jobs = [(f, n) for f in range(k) for n in bases] + [(None, n) for n in bases]
-
-    def one(job):
-        f, n = job
-        part = data if f is None else folded.where(F.col("fold") != f)
-        return job, M.fit(n, part, features, label)
-
-    with ThreadPoolExecutor(max_workers=workers) as pool:
-        fitted = dict(pool.map(one, jobs))
+    folded = written(S.contiguous_folds(written(_rows(df, features, label), "rows"), k), "folds")
+    jobs = {(f, n): (n, folded if f is None else folded.where(F.col("fold") != f)) for f in (*range(k), None) for n in bases}
+    fitted = _fit_many(jobs, features, label, workers)
     oof = None
     for f in range(k):
         te = folded.where(F.col("fold") == f)
         part = _predict_cols({n: fitted[(f, n)] for n in bases}, te, [KEY, TIME, label])
         oof = part if oof is None else oof.unionByName(part)
-    meta_feats = [f"m{i}_pred" for i in range(len(bases))]
-    meta = M.fit("ridge", oof, meta_feats, label)
+    meta = M.fit("ridge", oof, [f"m{i}_pred" for i in range(len(bases))], label)
     return Ensemble("stacking", {n: fitted[(None, n)] for n in bases}, meta=meta)
 
 
 def blending(df, features, label, bases=DEFAULT_BASES, holdout: float = 0.2, workers: int = 8) -> Ensemble:
     """Bases fit on the first 80 % (time order), ridge meta on the last 20 %,
     bases refit on everything (all base fits concurrent). Predicts like stacking."""
-    data = M.training_frame(df, features, label).drop(M.LABEL)
-    split = S.holdout_tail(data, 1 - holdout)
-    base_part = split.where("split = 'base'")
-    meta_part = split.where("split = 'meta'")
-    jobs = [("base", n) for n in bases] + [("all", n) for n in bases]
-
-    def one(job):
-        return job, M.fit(job[1], base_part if job[0] == "base" else data, features, label)
-
-    with ThreadPoolExecutor(max_workers=workers) as pool:
-        fitted = dict(pool.map(one, jobs))
-    hold = _predict_cols({n: fitted[("base", n)] for n in bases}, meta_part, [KEY, TIME, label])
+    split = written(S.holdout_tail(written(_rows(df, features, label), "rows"), 1 - holdout), "blending")
+    jobs = {(part, n): (n, rows) for part, rows in (("base", split.where("split = 'base'")), ("all", split)) for n in bases}
+    fitted = _fit_many(jobs, features, label, workers)
+    hold = _predict_cols({n: fitted[("base", n)] for n in bases}, split.where("split = 'meta'"), [KEY, TIME, label])
     meta = M.fit("ridge", hold, [f"m{i}_pred" for i in range(len(bases))], label)
     return Ensemble("blending", {n: fitted[("all", n)] for n in bases}, meta=meta)
 
 
-def train_many(df, features, label, names, split_col: str = "split", workers: int = 4):
+def train_many(df, features, label, names, split_col: str = "split", workers: int = 4, **kw):
     """Fit every named model on 'train' rows, score 'train' and 'val';
-    failures are recorded and skipped. Returns (models, history DataFrame)."""
-    train = df.where(F.col(split_col) == "train")
-    val = df.where(F.col(split_col) == "val")
+    failures are recorded with their text and skipped. Boosters stop early on the 'val' rows and
+    record their rounds. Returns (models, history DataFrame)."""
+    data = written(df.select(*dict.fromkeys([*features, label, split_col])), "train-many")
+    train = data.where(F.col(split_col) == "train")
+    val = data.where(F.col(split_col) == "val")
 
     def one(name):
         t0 = time.time()
         try:
-            m = M.fit(name, train, features, label)
+            m = M.fit(name, train, features, label, stored=True, validation=val, **kw)
         except Exception as e:  # noqa: BLE001 - failing models are skipped
-            return name, None, {"model": name, "status": f"failed: {type(e).__name__}"}
-        row = {"model": name, "status": "ok", "training_time": time.time() - t0, "n_features": len(features)}
+            return name, None, {"model": name, "status": f"failed: {type(e).__name__}: {str(e)[:200]}"}
+        row = {"model": name, "status": "ok", "training_time": time.time() - t0, "n_features": len(features),
+               "rounds": m.extra.get("rounds")}
         for part, frame in (("train", train), ("val", val)):
             for k, v in M.metrics(M.predict(m, frame, keep=[label]), label).items():
                 row[f"{part}_{k}"] = v
@@ -121,10 +115,10 @@ def train_many(df, features, label, names, split_col: str = "split", workers: in
         results = list(pool.map(one, names))
     models = {n: m for n, m, _ in results if m is not None}
     spark = df.sparkSession
-    keys = ["model", "status", "training_time", "n_features"] + [f"{p}_{k}" for p in ("train", "val")
-                                                               for k in ("mse", "rmse", "mae", "r2")]
+    keys = ["model", "status", "training_time", "n_features", "rounds"] + [f"{p}_{k}" for p in ("train", "val")
+                                                                         for k in ("mse", "rmse", "mae", "r2")]
     rows = [tuple(r.get(k) for k in keys) for _, _, r in results]
-    schema = ("model string, status string, training_time double, n_features int, "
+    schema = ("model string, status string, training_time double, n_features int, rounds int, "
               + ", ".join(f"{p}_{k} double" for p in ("train", "val") for k in ("mse", "rmse", "mae", "r2")))
     return models, spark.createDataFrame(rows, schema)
 

@@ -10,7 +10,7 @@ from the reference library the preset says so:
 * booster variants (level-wise, leaf-wise, symmetric) all map to ``GBTRegressor``;
   leaf-wise growth with 31 leaves is approximated by depth 5;
 * extremely randomised trees map to a non-bootstrapped random forest with a
-  one-third feature subset (split points are optimal, not random);
+  feature subset of all (split points are optimal, not random);
 * linear models standardise features with the *population* deviation (the
   reference's scaler), then solve with the normal equations; ridge / elastic
   net penalties are converted to Spark's parametrisation (label-scaled);
@@ -28,16 +28,15 @@ import numpy as np
 import pandas as pd
 from pyspark.ml import Pipeline, PipelineModel
 from pyspark.ml.feature import PolynomialExpansion, StandardScaler, VectorAssembler
-from pyspark.ml.regression import (DecisionTreeRegressor, GBTRegressor, LinearRegression,
-                                   RandomForestRegressor)
+from pyspark.ml.regression import (DecisionTreeRegressor, GBTRegressionModel, GBTRegressor,
+                                   LinearRegression, RandomForestRegressor)
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from barlake.operators.clean import fit_standard
-from barlake.session import cut_lineage
+from barlake.session import discard, written
 
 SEED = 42
-ROWS_PER_PARTITION = 250_000
 LABEL = "label"
 PRED = "prediction"
 
@@ -149,34 +148,65 @@ def _label_std(df: DataFrame) -> tuple[float, int]:
 
 
 def fit(name: str, df: DataFrame, features: list[str], label: str = "target_return_1d",
-        seed: int = SEED, weight_col: str | None = None, validation_col: str | None = None,
-        **overrides) -> FittedModel:
+        seed: int = SEED, weight_col: str | None = None, validation: DataFrame | None = None, patience: int = 50,
+        stored: bool = False, rows_per_partition: int = 250_000, **overrides) -> FittedModel:
     """Fit preset ``name`` (G1-G12) on ``df``; ``overrides`` patch the preset.
 
-    The training frame is persisted for the duration of the fit (statistics,
-    label spread and the solver's passes read it several times) and released
-    afterwards."""
-    from pyspark import StorageLevel
+    The training rows are written once for the passes of the fit and deleted after it;
+    ``stored=True`` says that ``df`` already is a filter on such a table, which several fits may
+    read at once. ``rows_per_partition`` sizes the tasks of the learners' many small jobs (forests
+    draw their samples by partition, so their trees depend on it).
 
-    data = training_frame(df, features, label).persist(StorageLevel.MEMORY_AND_DISK)
+    With ``validation`` rows a booster keeps only the rounds up to its least validation error, the
+    search ending ``patience`` rounds after it (G1, G2): see ``extra["rounds"]``."""
+    more = [weight_col] if weight_col else []
+    data = training_frame(df, features, label).select(*dict.fromkeys([*features, LABEL, *more]))
+    table = None if stored else written(data, "training")
     try:
-        rows = data.count()
-        # iterative learners launch one job per tree level / solver pass: size
-        # partitions by rows (~250k each) so small sets do not pay for idle tasks
-        target = max(1, -(-rows // ROWS_PER_PARTITION))
+        data = data if stored else table
+        target = max(1, -(-data.count() // rows_per_partition))
         fit_data = data.coalesce(target) if target < data.rdd.getNumPartitions() else data
-        return _fit(name, fit_data, features, seed, weight_col, validation_col, overrides)
+        model = _fit(name, fit_data, features, seed, weight_col, overrides)
     finally:
-        data.unpersist()
+        discard(table)
+    if validation is not None and PRESETS[name]["kind"] == "gbt":
+        _stop_early(model, training_frame(validation, features, label), patience)
+    return model
 
 
-def _fit(name, data, features, seed, weight_col, validation_col, overrides) -> FittedModel:
+def stopping_round(errors: list[float], patience: int) -> int:
+    """Rounds kept: up to the least error seen before `patience` rounds pass without a lesser one."""
+    best = 0
+    for i, e in enumerate(errors):
+        if e < errors[best]:
+            best = i
+        elif i - best >= patience:
+            break
+    return best + 1
+
+
+def _stop_early(model: FittedModel, validation: DataFrame, patience: int) -> None:
+    """One pass over the validation rows gives the error after every round."""
+    assembler, trees = model.pipeline.stages
+    errors = trees.evaluateEachIteration(assembler.transform(validation), "squared")
+    rounds = stopping_round(errors, patience)
+    model.extra |= {"rounds": rounds, "validation_errors": [float(e) for e in errors]}
+    if rounds < trees.getNumTrees:
+        sc = _spark().sparkContext
+        package = sc._jvm.org.apache.spark.ml.regression
+        kept = sc._gateway.new_array(package.DecisionTreeRegressionModel, rounds)
+        weights = sc._gateway.new_array(sc._jvm.double, rounds)
+        for i in range(rounds):
+            kept[i], weights[i] = trees._java_obj.trees()[i], float(trees.treeWeights[i])
+        short = GBTRegressionModel(package.GBTRegressionModel(trees.uid, kept, weights, trees.numFeatures))
+        model.pipeline = PipelineModel([assembler, short.setFeaturesCol("features")])
+
+
+def _fit(name, data, features, seed, weight_col, overrides) -> FittedModel:
     cfg = {**PRESETS[name], **overrides}
     kind = cfg.pop("kind")
     if kind == "gbt":
         est = GBTRegressor(featuresCol="features", labelCol=LABEL, seed=seed, **cfg)
-        if validation_col:
-            est = est.setValidationIndicatorCol(validation_col)
         if weight_col:
             est = est.setWeightCol(weight_col)
         return FittedModel(name, features, Pipeline(stages=[_assembler(features), est]).fit(data))
@@ -353,34 +383,38 @@ def _bayes_predict(model: FittedModel, df: DataFrame) -> DataFrame:
 # -- AdaBoost.R2 (G12) --------------------------------------------------------------------------
 
 def _ada_fit(name, data, features, cfg, seed) -> FittedModel:
+    """Each round is one tree, one aggregate and one table of new weights, the former one deleted.
+
+    Weights need not sum to one: errors are divided by their sum, and a round's weights by the
+    sum of the round before."""
     n_est, lr_rate, depth = cfg["n_estimators"], cfg["learning_rate"], cfg["maxDepth"]
-    assembled = _assembler(features).transform(data).select("features", LABEL)
-    n = assembled.count()
-    cur = cut_lineage(assembled.withColumn("_w", F.lit(1.0 / n)))
+    cur = written(_assembler(features).transform(data).select("features", LABEL, F.lit(1.0).alias("_w")), "boosting")
     trees, weights = [], []
-    for it in range(n_est):
-        tree = DecisionTreeRegressor(featuresCol="features", labelCol=LABEL, weightCol="_w",
-                                     maxDepth=depth, seed=seed + it).fit(cur)
-        scored = tree.transform(cur).withColumn("_err", F.abs(F.col(LABEL) - F.col(PRED)))
-        mx = scored.agg(F.max("_err")).first()[0] or 0.0
-        if mx <= 0:
-            trees.append(tree)
-            weights.append(1.0)
-            break
-        scored = scored.withColumn("_loss", F.col("_err") / mx)
-        est_err = scored.agg(F.sum(F.col("_w") * F.col("_loss")) / F.sum("_w")).first()[0]
-        if est_err >= 0.5:
-            if not trees:
+    try:
+        for it in range(n_est):
+            tree = DecisionTreeRegressor(featuresCol="features", labelCol=LABEL, weightCol="_w",
+                                         maxDepth=depth, seed=seed + it).fit(cur)
+            scored = tree.transform(cur).withColumn("_err", F.abs(F.col(LABEL) - F.col(PRED)))
+            mx, lost, total = scored.agg(F.max("_err"), F.sum(F.col("_w") * F.col("_err")), F.sum("_w")).first()
+            if not mx:
                 trees.append(tree)
                 weights.append(1.0)
-            break
-        beta = est_err / (1.0 - est_err)
-        w_est = lr_rate * math.log(1.0 / beta) if beta > 0 else 1.0
-        trees.append(tree)
-        weights.append(w_est)
-        upd = scored.withColumn("_w", F.col("_w") * F.pow(F.lit(beta), (1.0 - F.col("_loss")) * lr_rate))
-        total = upd.agg(F.sum("_w")).first()[0]
-        cur = cut_lineage(upd.withColumn("_w", F.col("_w") / total).select("features", LABEL, "_w"))
+                break
+            est_err = lost / mx / total
+            if est_err >= 0.5:
+                if not trees:
+                    trees.append(tree)
+                    weights.append(1.0)
+                break
+            beta = est_err / (1.0 - est_err)
+            trees.append(tree)
+            weights.append(lr_rate * math.log(1.0 / beta) if beta > 0 else 1.0)
+            new = F.col("_w") / total * F.pow(F.lit(beta), (1.0 - F.col("_err") / mx) * lr_rate)
+            nxt = written(scored.select("features", LABEL, new.alias("_w")), "boosting")
+            discard(cur)
+            cur = nxt
+    finally:
+        discard(cur)
     imp = np.zeros(len(features))
     for t, w in zip(trees, weights):
         imp += w * t.featureImportances.toArray()
@@ -481,14 +515,14 @@ def rfe_scores(df: DataFrame, features, label, n_features: int = 50, step: int =
                numTrees: int = 100) -> DataFrame:
     """L4: refit a forest and drop the least important feature(s) until n remain.
 
-    The feature frame is checkpointed once; each round is one forest fit.
+    The feature frame is written once; each round is one forest fit.
     Score = elimination round (survivors rank best)."""
-    data = cut_lineage(training_frame(_selection_frame(df, features, label), features, label).select(*features, LABEL))
+    data = written(training_frame(_selection_frame(df, features, label), features, label).select(*features, LABEL), "rfe")
     remaining = list(features)
     eliminated_at = {}
     rnd = 0
     while len(remaining) > max(n_features, 1):
-        m = fit("random_forest", data.withColumnRenamed(LABEL, "_y"), remaining, "_y", numTrees=numTrees)
+        m = fit("random_forest", data, remaining, LABEL, numTrees=numTrees, stored=True)
         imp = m.pipeline.stages[-1].featureImportances.toArray()
         order = sorted(zip(imp, remaining))
         k = min(step, len(remaining) - max(n_features, 1))
@@ -496,6 +530,7 @@ def rfe_scores(df: DataFrame, features, label, n_features: int = 50, step: int =
             eliminated_at[f] = rnd
             remaining.remove(f)
         rnd += 1
+    discard(data)
     vals = [eliminated_at.get(f, rnd) for f in features]
     return _score_table(features, vals, "rfe", set(remaining))
 

@@ -13,7 +13,7 @@ import math
 import random
 from concurrent.futures import ThreadPoolExecutor
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from barlake.operators import models as M
@@ -55,17 +55,17 @@ def cv_score(name: str, blocks: DataFrame, features, label, params: dict, k: int
     mses = []
     for f in range(k):
         past = F.col("_block") < f if time_series else F.col("_block") != f
-        m = M.fit(name, blocks.where(past), features, label, **params)
+        m = M.fit(name, blocks.where(past), features, label, stored=True, **params)
         mses.append(M.metrics(M.predict(m, blocks.where(F.col("_block") == f)), label)["mse"])
     return math.sqrt(sum(mses) / len(mses))
 
 
 def random_search(name: str, df: DataFrame, features, label, n_trials: int = 100, k: int = 5,
                   seed: int = 42, time_series: bool = False, workers: int = 8) -> DataFrame:
-    """E10 + E12: trial history ``(trial, params, score, best_so_far)`` (n_trials rows).
+    """E10 + E12: trial history ``(trial, model, params, score, error, best_so_far)`` (n_trials rows).
 
     Shuffled folds by default; ``time_series`` tests each of k blocks at the end on all rows before it."""
-    data = M.training_frame(df, features, label).drop(M.LABEL)
+    data = written(M.training_frame(df, features, label).drop(M.LABEL), "search-rows")
     blocks = S.expanding_blocks(data, k, out="_block") if time_series else S.shuffled_folds(data, k, out="_block")
     blocks = written(blocks, "search-folds")
     rng = random.Random(seed)
@@ -74,32 +74,42 @@ def random_search(name: str, df: DataFrame, features, label, n_trials: int = 100
     def run(i_params):
         i, params = i_params
         try:
-            return i, params, cv_score(name, blocks, features, label, params, k, time_series)
-        except Exception:  # noqa: BLE001 - a failing trial scores null
-            return i, params, None
+            return i, params, cv_score(name, blocks, features, label, params, k, time_series), None
+        except Exception as e:  # noqa: BLE001 - a failing trial scores null and keeps its error
+            return i, params, None, f"{type(e).__name__}: {str(e)[:200]}"
 
     with ThreadPoolExecutor(max_workers=workers) as pool:
         rows = list(pool.map(run, enumerate(trials)))
     spark = df.sparkSession
     hist = spark.createDataFrame(
-        [(i, name, {k2: str(v) for k2, v in p.items()}, s) for i, p, s in rows],
-        "trial int, model string, params map<string,string>, score double")
+        [(i, name, {k2: str(v) for k2, v in p.items()}, s, e) for i, p, s, e in rows],
+        "trial int, model string, params map<string,string>, score double, error string")
     from barlake.operators.ensemble import best_so_far
     return best_so_far(hist)
 
 
 def search_many(names, df, features, label, **kw) -> DataFrame:
-    """Search several families; a failing family is skipped."""
+    """Search several families; one that cannot be searched is a row with its error."""
     out = None
     for n in names:
         try:
             h = random_search(n, df, features, label, **kw)
-        except Exception:  # noqa: BLE001
-            continue
+        except Exception as e:  # noqa: BLE001 - the other families are still searched
+            h = df.sparkSession.createDataFrame(
+                [(-1, n, {}, None, f"{type(e).__name__}: {str(e)[:200]}", None)],
+                "trial int, model string, params map<string,string>, score double, error string, best_so_far double")
         out = h if out is None else out.unionByName(h)
     return out
 
 
+def best_of_families(history: DataFrame) -> DataFrame:
+    """Each family's best trial, ranked by its score (ties: smaller trial; families without a score last)."""
+    best = Window.partitionBy("model").orderBy(F.col("score").asc_nulls_last(), "trial")
+    ranked = history.withColumn("_r", F.row_number().over(best)).where("_r = 1")
+    order = Window.partitionBy(F.lit(0)).orderBy(F.col("score").asc_nulls_last(), "model")  # one row a family
+    return ranked.select("model", "trial", "params", "score", "error", F.row_number().over(order).alias("rank"))
+
+
 def flatten_params(history: DataFrame) -> DataFrame:
     """One column per parameter (``params.<name>``)."""
     keys = sorted({k for r in history.select(F.map_keys("params")).collect() for k in (r[0] or [])})

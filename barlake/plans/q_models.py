@@ -29,7 +29,7 @@ def split_frame(spark, d):
 def _model_query(name):
     def build(spark, d):
         sp = split_frame(spark, d)
-        m = M.fit(name, sp.where("split = 'train'"), FEATURES, LABEL)
+        m = M.fit(name, sp.where("split = 'train'"), FEATURES, LABEL, validation=sp.where("split = 'val'"))
         return finalize(M.predict(m, sp.where("split = 'test'"), keep=KEEP), overrides={LABEL: 4, "predicted_return": 4})
     return build
 
@@ -91,19 +91,26 @@ register("ensemble_blending", None, check="ROWS", ids="E6")(_ens("blending"))
 @register("training_history", None, check="ROWS", ids="E7 E8 E9")
 def q_training(spark, d):
     sp = split_frame(spark, d)
-    _, hist = E.train_many(sp, FEATURES, LABEL, ["linear", "ridge", "lasso", "bayesian_ridge", "extra_trees"])
+    _, hist = E.train_many(sp, FEATURES, LABEL, ["linear", "ridge", "lasso", "bayesian_ridge", "extra_trees", "lightgbm"])
     best = E.best_model(hist).select("model").withColumnRenamed("model", "best")
     summary = E.training_summary(hist)
     return finalize(summary.join(best, summary.model == best.best, "left")
                     .withColumn("is_best", F.col("best").isNotNull()).drop("best"))
 
 
-@register("random_search", None, check="ROWS", ids="E10 E11 E12")
+@register("random_search", None, check="ROWS", ids="E10 E12")
 def q_random_search(spark, d):
     sp = split_frame(spark, d).where("split != 'test'")
     return finalize(TU.flatten_params(TU.random_search("ridge", sp, FEATURES, LABEL)))
 
 
+@register("search_families", None, check="ROWS", ids="E11")
+def q_search_families(spark, d):
+    sp = split_frame(spark, d).where("split != 'test'")
+    found = TU.search_many(["ridge", "lasso"], sp, FEATURES, LABEL, n_trials=8, time_series=True)
+    return finalize(TU.best_of_families(found).withColumn("params", F.to_json("params")))
+
+
 @register("rfe_select", None, check="ROWS", ids="L4")
 def q_rfe(spark, d):
     return finalize(M.rfe_scores(selection_frame(spark, d), FEATURES, LABEL, n_features=5))

@@ -97,14 +97,32 @@ def written(df: DataFrame, name: str) -> DataFrame:
     path = scratch_path(spark, f"{name}-{uuid.uuid4().hex[:12]}")
     df.write.parquet(path)
     _remove_at_exit(spark, path)
-    return spark.read.schema(df.schema).parquet(path)
+    out = spark.read.schema(df.schema).parquet(path)
+    out._scratch = path
+    return out
+
+
+def discard(*tables: DataFrame | None) -> None:
+    """Deletes the folders of tables that :func:`written` made and that nothing reads any more."""
+    for table in tables:
+        path = getattr(table, "__dict__", {}).get("_scratch")
+        if path in _SCRATCH:
+            _delete(table.sparkSession, path)
+            _SCRATCH.remove(path)
 
 
 _SCRATCH: list[str] = []
 
 
+def _delete(spark: SparkSession, path: str) -> None:
+    sc = spark.sparkContext
+    hpath = sc._jvm.org.apache.hadoop.fs.Path(path)
+    hpath.getFileSystem(sc._jsc.hadoopConfiguration()).delete(hpath, True)
+
+
 def _remove_at_exit(spark: SparkSession, path: str) -> None:
     if not _SCRATCH:
+        atexit.unregister(_remove_scratch)
         atexit.register(_remove_scratch, spark)
     _SCRATCH.append(path)
 
@@ -114,8 +132,7 @@ def _remove_scratch(spark: SparkSession) -> None:
     if sc._jsc is None:  # the session was stopped first: nothing can reach the folder any more
         return
     for path in _SCRATCH:
-        hpath = sc._jvm.org.apache.hadoop.fs.Path(path)
-        hpath.getFileSystem(sc._jsc.hadoopConfiguration()).delete(hpath, True)
+        _delete(spark, path)
 
 
 def default_parallelism(spark: SparkSession) -> int:
