@@ -14,10 +14,12 @@ from barlake.functions.windows import KEY, TIME
 
 
 def latest_rows(df: DataFrame, key: str = KEY, time: str = TIME) -> DataFrame:
-    """Newest row per instrument as one partial-capable aggregate."""
-    cols = df.columns
-    return (df.groupBy(key).agg(F.max_by(F.struct(*cols), F.col(time)).alias("_r"))
-            .select("_r.*"))
+    """Newest row per instrument. A hash aggregate finds each instrument's newest time (one row
+    for each task and instrument is shuffled); the rows of that time come back by join, which needs no
+    sort of the panel. One row stays of rows that are equal in key and time."""
+    ends = df.groupBy(key).agg(F.max(time).alias("_newest")).withColumnRenamed(key, "_of")
+    newest = df.join(ends, F.col(key).eqNullSafe(F.col("_of")) & F.col(time).eqNullSafe(F.col("_newest"))).drop("_of", "_newest")
+    return newest.dropDuplicates([key])
 
 
 def predict_price(df: DataFrame, ret: str = "predicted_return", price: str = "close",
@@ -93,6 +95,11 @@ def prediction_listing(ranked: DataFrame, score: str = "predicted_return") -> Da
                          F.concat(F.format_number(F.col(score) * 100, 2), F.lit("%")).alias("percent_text"))
 
 
+def zero_uncertainty(df: DataFrame, out: str = "uncertainty") -> DataFrame:
+    """The default of models that cannot tell: no uncertainty, on every row."""
+    return df.withColumn(out, F.lit(0.0))
+
+
 def confidence(df: DataFrame, u: str = "uncertainty", threshold: float | None = None) -> DataFrame:
     """``confidence = 1 - u / (max u + 1e-8)``, ``high_confidence = u < 0.05``."""
     mx = df.agg(F.max(u)).scalar()

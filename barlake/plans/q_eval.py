@@ -8,6 +8,8 @@ next-bar return ``target_return_1d`` (M9).
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -18,6 +20,8 @@ from barlake.operators import portfolio as N
 from barlake.operators import ranking as Q
 from barlake.plans.catalog import register
 from barlake.plans.common import W, clean_panel, finalize, rnd, rnd_expr, with_bars
+from barlake.session import scratch_path
+from barlake.sources import runs
 
 MODELS = ("momentum", "reversal", "ma_gap")
 
@@ -302,13 +306,64 @@ def q_ensembles(spark, d):
 u AS (SELECT stock_code, date, abs(momentum - ma_gap) AS uncertainty FROM wide WHERE momentum IS NOT NULL AND ma_gap IS NOT NULL),
 mx AS (SELECT max(uncertainty) AS m FROM u)
 SELECT stock_code, date, {rnd(['uncertainty'])}, {rnd_expr('1 - uncertainty / (m + 1e-8)')} AS confidence,
-       uncertainty < 0.05 AS high_confidence FROM u, mx""", ids="U5 U1")
+       uncertainty < 0.05 AS high_confidence FROM u, mx""", ids="U5")
 def q_confidence(spark, d):
     w = wide_predictions(spark, d).where(F.col("momentum").isNotNull() & F.col("ma_gap").isNotNull())
     u = w.select("stock_code", "date", F.abs(F.col("momentum") - F.col("ma_gap")).alias("uncertainty"))
     return finalize(Q.confidence(u))
 
 
+@register("confidence_default", PRED_SQL + """
+SELECT stock_code, date, 0.0::double AS uncertainty, 1.0::double AS confidence, true AS high_confidence FROM wide""", ids="U1")
+def q_confidence_default(spark, d):
+    return finalize(Q.confidence(Q.zero_uncertainty(wide_predictions(spark, d).select("stock_code", "date"))))
+
+
+@register("predicted_price", PRED_SQL + f"""
+SELECT stock_code, date, {rnd_expr('close')} AS current_price, {rnd_expr('close * (1 + momentum)')} AS predicted_price
+FROM (SELECT stock_code, date, momentum FROM wide) JOIN (SELECT stock_code, date, close FROM clean) USING (stock_code, date)""", ids="Q1")
+def q_predicted_price(spark, d):
+    both = wide_predictions(spark, d).select("stock_code", "date", "momentum").join(
+        clean_panel(spark, d).select("stock_code", "date", "close"), ["stock_code", "date"])
+    return finalize(Q.predict_price(both, "momentum").select("stock_code", "date", "current_price", "predicted_price"))
+
+
+# -- K3-K7: outputs of a committed run, read back -----------------------------------------
+def _evaluated_run(spark, d) -> str:
+    root = scratch_path(spark, f"runs/{uuid.uuid4().hex}")
+    metrics = V.regression_metrics(long_predictions(spark, d)).select("model", "n", *_REG)
+    ranking = V.model_ranking(metrics.select("model", "rmse", "mae", "r2"))
+    runs.write_evaluation(metrics, metrics.select("model", "n", "rmse"), ranking, root)
+    return root
+
+
+@register("run_metrics", _REG_SQL, ids="K7 (metrics, read back from the committed run)")
+def q_run_metrics(spark, d):
+    return finalize(runs.read_run(spark, _evaluated_run(spark, d), "metrics_json"))
+
+
+@register("run_ranking", _REG_SQL.replace(f"SELECT model, n, {rnd(_REG)} FROM m3",
+                                          f"SELECT model, n, {rnd(['rmse', 'mae', 'r2'])}, "
+                                          "row_number() OVER (ORDER BY rmse, model) AS rank FROM m3"),
+          ids="K7 V19 (summary and ranking, read back)")
+def q_run_ranking(spark, d):
+    root = _evaluated_run(spark, d)
+    summary = runs.read_run(spark, root, "summary").select("model", "n")
+    return finalize(runs.read_run(spark, root, "ranking").join(summary, "model"))
+
+
+@register("run_predictions", PRED_SQL + _LATEST + f"""
+SELECT stock_code, {rnd(['momentum'])}, rank, category, (SELECT count(*) FROM lt) AS n_detailed FROM rk""",
+          ids="K3 K4 K5 (submission and detailed predictions, read back)")
+def q_run_predictions(spark, d):
+    from barlake.plans.score import save_predictions
+    root = scratch_path(spark, f"runs/{uuid.uuid4().hex}")
+    latest = Q.latest_rows(wide_predictions(spark, d)).select("stock_code", "date", "momentum")
+    run = save_predictions(latest, Q.submission(latest, 2, "momentum"), root, score="momentum")
+    n = runs.read_run(spark, root, "detailed", run).agg(F.count("*")).scalar()
+    return finalize(runs.read_run(spark, root, "submission", run).withColumn("n_detailed", n))
+
+
 # -- N1 / N7 ------------------------------------------------------------------------------
 @register("max_drawdown", PRED_SQL + f""",
 eq AS (SELECT stock_code, date, sum(ln(1 + momentum)) OVER ({W} ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS lg

@@ -13,6 +13,7 @@ from barlake.plans.q_eval import PRED_SQL, wide_predictions
 from barlake.session import scratch_path
 from barlake.sources import files as IO
 from barlake.sources.panels import load_panel, table
+from barlake.sources.runs import read_run
 
 
 @register("key_join", PRED_SQL + f"""
@@ -145,7 +146,7 @@ def q_save_reload(spark, d):
 
 
 @register("partitioned_sink", with_bars("nations") + """
-SELECT year(date) AS year, count(*) AS bars FROM clean GROUP BY 1""", ids="K1 K7")
+SELECT year(date) AS year, count(*) AS bars FROM clean GROUP BY 1""", ids="K1")
 def q_partitioned_sink(spark, d):
     path = scratch_path(spark, f"panel/{uuid.uuid4().hex}")
     IO.save_bars(clean_panel(spark, d, "nations"), path)
@@ -153,6 +154,17 @@ def q_partitioned_sink(spark, d):
     return back.groupBy(F.col("year").cast("bigint").alias("year")).agg(F.count(F.lit(1)).alias("bars"))
 
 
+@register("csv_sink", with_bars("nations") + f"""
+SELECT stock_code, date, {rnd(["open", "close"])} FROM clean""", ids="K8 K4 S1")
+def q_csv_sink(spark, d):
+    """The CSV arm of the sink: bars written as text and read back through the readers."""
+    path = scratch_path(spark, f"csv/{uuid.uuid4().hex}")
+    inv = {v: k for k, v in IO.COLUMN_MAP.items()}
+    bars = clean_panel(spark, d, "nations")
+    IO.save_bars(bars.select(*[F.col(c).alias(inv.get(c, c)) for c in bars.columns]), path, fmt="csv")
+    return finalize(IO.read_bars(spark, path, fmt="csv").select("stock_code", "date", "open", "close"))
+
+
 @register("cached_stage", with_bars() + """
 SELECT stock_code, count(*) AS bars, count(*) AS bars_first FROM clean GROUP BY 1""", ids="S16")
 def q_cached_stage(spark, d):
@@ -176,6 +188,46 @@ def q_sequences(spark, d):
                              F.element_at("sequence", -1)[0].alias("last_close"), "target"))
 
 
+@register("sequences_scaled", with_bars("suppliers") + f""",
+mm AS (SELECT min(close) AS c0, max(close) AS c1, min(volume) AS v0, max(volume) AS v1 FROM clean),
+z AS (SELECT stock_code, date, (close - c0) / (c1 - c0) AS c, (volume - v0) / (v1 - v0) AS v FROM clean, mm),
+s AS (SELECT stock_code, date, list(c) OVER ({W} ROWS BETWEEN 59 PRECEDING AND CURRENT ROW) AS cs, v, lead(c) OVER ({W}) AS target FROM z)
+SELECT stock_code, date, {rnd_expr('cs[1]')} AS first_close, {rnd_expr('cs[60]')} AS last_close, {rnd_expr('v')} AS last_volume,
+       {rnd_expr('target')} AS target FROM s WHERE len(cs) = 60 AND target IS NOT NULL""", ids="G13 P18")
+def q_sequences_scaled(spark, d):
+    """Sequences of 60 bars of many instruments, features and label scaled to [0, 1]."""
+    bars = clean_panel(spark, d, "suppliers")
+    s = J.sequence_windows(bars, ["close", "volume"], "close", 60, scale=J.sequence_scale(bars, ["close", "volume"], "close"))
+    return finalize(s.select("stock_code", "date", F.col("sequence")[0][0].alias("first_close"),
+                             F.element_at("sequence", -1)[0].alias("last_close"),
+                             F.element_at("sequence", -1)[1].alias("last_volume"), "target"))
+
+
+@register("sequences_latest", with_bars("suppliers") + f""",
+mm AS (SELECT min(close) AS c0, max(close) AS c1 FROM clean),
+z AS (SELECT stock_code, date, (close - c0) / (c1 - c0) AS c, row_number() OVER (PARTITION BY stock_code ORDER BY date DESC) AS rn,
+             count(*) OVER (PARTITION BY stock_code) AS n FROM clean, mm)
+SELECT stock_code, max(date) AS date, least(max(n), 80) AS n_rows, {rnd_expr('max(CASE WHEN rn = 1 THEN c END)')} AS last_close,
+       {rnd_expr('CASE WHEN max(n) >= 80 THEN max(CASE WHEN rn = 80 THEN c END) ELSE max(CASE WHEN rn = 1 THEN c END) END')} AS first_close,
+       {rnd_expr('CASE WHEN max(n) >= 80 THEN sum(c) ELSE 80 * max(CASE WHEN rn = 1 THEN c END) END', 4)} AS total
+FROM z WHERE rn <= 80 GROUP BY stock_code""", ids="G13 (scoring: short series repeat their last row)")
+def q_sequences_latest(spark, d):
+    bars = clean_panel(spark, d, "suppliers")
+    s = J.latest_sequences(bars, ["close"], 80, scale=J.sequence_scale(bars, ["close"], "close"))
+    total = F.aggregate("sequence", F.lit(0.0), lambda a, r: a + r[0])
+    return finalize(s.select("stock_code", "date", "n_rows", F.element_at("sequence", -1)[0].alias("last_close"),
+                             F.col("sequence")[0][0].alias("first_close"), total.alias("total")), overrides={"total": 4})
+
+
+@register("column_concat", with_bars() + f""",
+a AS (SELECT stock_code, date, close FROM clean), b AS (SELECT stock_code, date, volume FROM clean WHERE volume > 2)
+SELECT stock_code, date, {rnd(['close', 'volume'])} FROM a FULL JOIN b USING (stock_code, date)""", ids="C2")
+def q_column_concat(spark, d):
+    bars = clean_panel(spark, d)
+    return finalize(J.column_concat(bars.select("stock_code", "date", "close"),
+                                    bars.where("volume > 2").select("stock_code", "date", "close", "volume")))
+
+
 @register("feature_registry", None, check="ROWS", ids="X1 X2 F18")
 def q_feature_registry(spark, d):
     """Registered feature stages chained with DataFrame.transform, plus a
@@ -215,5 +267,5 @@ def q_score_plan(spark, d):
     bars = clean_panel(spark, d)
     name, fitted, _, _ = train(bars, models=("ridge",), method="correlation", threshold=0.05)
     pred, ranked = score_latest(bars, fitted[name], n=2)
-    base = save_predictions(pred, ranked, scratch_path(spark, "predictions"), uuid.uuid4().hex)
-    return spark.read.option("header", True).csv(f"{base}/submission")
+    root = scratch_path(spark, f"predictions/{uuid.uuid4().hex}")
+    return read_run(spark, root, "submission", save_predictions(pred, ranked, root))

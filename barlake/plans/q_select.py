@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from barlake.operators import engineered as E
@@ -173,6 +174,44 @@ def q_cv_score(spark, d):
     return finalize(M.cv_score(_fold_metrics(spark, d)))
 
 
+@register("best_so_far", _CV_SQL + f""",
+t AS (SELECT row_number() OVER (ORDER BY model, fold) - 1 AS trial, mse FROM fm)
+SELECT trial, {rnd_expr('mse')} AS score, {rnd_expr('min(mse) OVER (ORDER BY trial)')} AS best_so_far FROM t""", ids="E12")
+def q_best_so_far(spark, d):
+    """Fold scores as trials, in the order of model and fold."""
+    from barlake.operators.ensemble import best_so_far
+    order = Window.partitionBy(F.lit(0)).orderBy("model", "fold")  # models x folds rows
+    trials = _fold_metrics(spark, d).select((F.row_number().over(order) - 1).alias("trial"), F.col("mse").alias("score"))
+    return finalize(best_so_far(trials))
+
+
+_HISTORY_SQL = PRED_SQL + """,
+h AS (SELECT model, CASE WHEN date < TIMESTAMP '2024-01-20' THEN 'train' ELSE 'val' END AS part,
+             avg((y - p) * (y - p)) AS mse, avg(abs(y - p)) AS mae FROM preds GROUP BY 1, 2)"""
+
+
+def _rule_history(spark, d):
+    part = F.when(F.col("date") < F.lit("2024-01-20").cast("timestamp_ntz"), "train").otherwise("val")
+    long = M.fold_metrics(long_predictions(spark, d).withColumn("part", part), by=("model", "part"))
+    wide = long.groupBy("model").pivot("part", ["train", "val"]).agg(F.first("mse").alias("mse"), F.first("mae").alias("mae"))
+    return wide.withColumn("status", F.lit("ok"))
+
+
+@register("training_summary", _HISTORY_SQL + f"""
+SELECT model, {", ".join(f"{rnd_expr(f'max(CASE WHEN part = {chr(39)}{q}{chr(39)} THEN {m} END)')} AS {q}_{m}" for q in ("train", "val") for m in ("mse", "mae"))}
+FROM h GROUP BY model""", ids="E9")
+def q_training_summary(spark, d):
+    from barlake.operators.ensemble import training_summary
+    return finalize(training_summary(_rule_history(spark, d)))
+
+
+@register("best_model", _HISTORY_SQL + f"""
+SELECT model, {rnd_expr('mae')} AS val_mae FROM h WHERE part = 'val' ORDER BY mae, model LIMIT 1""", ids="E8")
+def q_best_model(spark, d):
+    from barlake.operators.ensemble import best_model
+    return finalize(best_model(_rule_history(spark, d), "mae").select("model", "val_mae"))
+
+
 def _fold_metrics(spark, d):
     blocks = M.expanding_blocks(long_predictions(spark, d), out="fold", by=("model",))
     return M.fold_metrics(blocks.where("fold >= 0"))

@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 from barlake.operators import models as M
 from barlake.operators import ranking
 from barlake.plans.train import build_training_frame
+from barlake.sources import runs
 
 
 def score_latest(bars: DataFrame, model: M.FittedModel, n: int = 10, at=None) -> tuple[DataFrame, DataFrame]:
@@ -23,15 +24,14 @@ def score_latest(bars: DataFrame, model: M.FittedModel, n: int = 10, at=None) ->
     return pred, ranking.submission(pred, n)
 
 
-def save_predictions(pred: DataFrame, ranked: DataFrame, root: str, run_id: str | None = None) -> str:
-    """K3-K5: submission CSV (one file), detailed predictions, nested record JSON,
-    under ``root/predictions_<run_id>``."""
-    run_id = run_id or dt.datetime.now(dt.timezone.utc).strftime("%Y%m%d_%H%M%S")
-    base = f"{root.rstrip('/')}/predictions_{run_id}"
-    ranked.coalesce(1).write.mode("overwrite").option("header", True).csv(f"{base}/submission")
-    pred.write.mode("overwrite").parquet(f"{base}/detailed")
-    ranking.submission_record(ranked).coalesce(1).write.mode("overwrite").json(f"{base}/record")
-    return base
+def save_predictions(pred: DataFrame, ranked: DataFrame, root: str, run_id: str | None = None,
+                     score: str = "predicted_return") -> str:
+    """K3-K6: submission CSV (one file), detailed predictions, nested record, as one committed run
+    of ``root`` (see :mod:`barlake.sources.runs`); returns its id, by default the time of the run."""
+    with runs.RunWriter(pred.sparkSession, root, run_id) as run:
+        run.write("submission", ranked.coalesce(1), "csv").write("detailed", pred)
+        run.write("record", ranking.submission_record(ranked, score).coalesce(1), "json")
+    return run.run_id
 
 
 def lookback_start(end, longest_window: int = 60, bar: str = "day") -> F.Column:

@@ -207,8 +207,9 @@ def save_bars(df: DataFrame, path: str, fmt: str = "parquet", partition_by: list
         w.option("header", True).csv(path)
         return
     if partition_by is None and TIME in df.columns:
-        # a year's rows meet in few tasks, so a year holds few files; a large year is split by key
-        df = df.withColumn("year", F.year(TIME)).repartition("year", F.pmod(F.xxhash64(KEY), F.lit(8)))
+        # a year's rows meet in few tasks, so a year holds few files; adaptive execution splits the
+        # tasks of a large year by size and joins up those of small ones
+        df = df.withColumn("year", F.year(TIME)).hint("rebalance", F.col("year"))
         w = df.write.mode(mode)
         partition_by = ["year"]
     w.partitionBy(*(partition_by or [])).parquet(path)

@@ -158,3 +158,109 @@ def test_rfe_query_grows_100_trees(spark, monkeypatch):
     monkeypatch.setattr(models, "fit", lambda *a, **k: trees.append(k["numTrees"]) or fit(*a, **{**k, "numTrees": 2}))
     q_models.q_rfe(spark, "/root/testdata/sf0.001")
     assert trees and set(trees) == {100}
+
+
+def test_rounds_kept_by_patience():
+    assert M.stopping_round([3.0, 2.0, 2.5, 2.6, 1.0], patience=2) == 2
+    assert M.stopping_round([3.0, 2.0, 2.5, 2.6, 1.0], patience=3) == 5
+    assert M.stopping_round([1.0, 1.0, 1.0], patience=50) == 1
+
+
+def test_booster_stops_early_on_noise_and_goes_on_with_a_signal(spark, tmp_path):
+    rng = np.random.default_rng(8)
+    x = rng.normal(0, 1, (800, 3))
+    cols = ["a", "b", "c"]
+    noise, signal = rng.normal(0, 1, 800), np.sin(3 * x[:, 0]) + 0.05 * rng.normal(0, 1, 800)
+    rounds = []
+    for y in (noise, signal):
+        df = spark.createDataFrame(pd.DataFrame(x, columns=cols).assign(t=y, i=np.arange(800)))
+        train, val = df.where("i < 600"), df.where("i >= 600")
+        m = M.fit("xgboost", train, cols, "t", validation=val, maxIter=30, maxDepth=3)
+        errors = m.extra["validation_errors"]
+        rounds.append(m.extra["rounds"])
+        assert len(errors) == 30 and m.extra["rounds"] == int(np.argmin(errors)) + 1
+        assert m.pipeline.stages[-1].getNumTrees == m.extra["rounds"]
+        got = M.metrics(M.predict(m, val, keep=["t"]), "t")["mse"]
+        assert got == pytest.approx(min(errors))
+    assert rounds[0] < 10 < rounds[1]
+    m.save(spark, str(tmp_path / "x"))
+    assert M.FittedModel.load(spark, str(tmp_path / "x")).extra["rounds"] == rounds[1]
+
+
+def test_training_records_rounds_and_failures(spark):
+    from barlake.operators.ensemble import train_many
+    rng = np.random.default_rng(1)
+    pdf = pd.DataFrame(rng.normal(0, 1, (200, 2)), columns=["a", "b"]).assign(t=rng.normal(0, 1, 200), split=["train"] * 150 + ["val"] * 50)
+    fitted, hist = train_many(spark.createDataFrame(pdf), ["a", "b"], "t", ["ridge", "no such model"])
+    rows = {r.model: r for r in hist.collect()}
+    assert rows["ridge"].status == "ok" and "KeyError" in rows["no such model"].status and list(fitted) == ["ridge"]
+
+
+def test_stacking_equals_out_of_fold_ridge(spark):
+    """Closed-form bases: the meta model sees the predictions of fits on the other folds."""
+    from barlake.operators import ensemble as E
+    rng = np.random.default_rng(6)
+    n, k = 120, 5
+    x = rng.normal(0, 1, (n, 2))
+    y = x @ [1.0, -0.5] + rng.normal(0, 0.5, n)
+    pdf = pd.DataFrame(x, columns=["a", "b"]).assign(t=y, stock_code="s", date=pd.date_range("2020-01-01", periods=n).date)
+
+    def ridge(x, y, alpha, at):
+        m, s = x.mean(0), x.std(0)
+        z = (x - m) / s
+        w = np.linalg.solve(z.T @ z + alpha * np.eye(x.shape[1]), z.T @ (y - y.mean()))
+        return (at - m) / s @ w + y.mean()
+    fold = np.repeat(np.arange(k), n // k)
+    oof = np.column_stack([np.concatenate([ridge(x[fold != f], y[fold != f], a, x[fold == f]) for f in range(k)]) for a in (0.0, 1.0)])
+    full = np.column_stack([ridge(x, y, a, x) for a in (0.0, 1.0)])
+    want = ridge(oof, y, 1.0, full)
+    ens = E.stacking(spark.createDataFrame(pdf), ["a", "b"], "t", bases=("linear", "ridge"), k=k)
+    got = ens.predict(spark.createDataFrame(pdf)).toPandas().sort_values("date").predicted_return
+    np.testing.assert_allclose(got, want, atol=1e-6)
+
+
+def test_a_family_that_fails_stays_in_the_history(spark):
+    from barlake.operators.tuning import best_of_families, search_many
+    cols, _, _, df = _scaled_sample(spark, np.ones(3))
+    hist = search_many(["ridge", "unknown"], df.withColumn("stock_code", df.a.cast("string")).selectExpr("*", "date'2020-01-01' as date"), cols, "t", n_trials=2, k=2)
+    rows = {r.model: r for r in best_of_families(hist).collect()}
+    assert rows["ridge"].rank == 1 and rows["ridge"].score > 0 and rows["unknown"].rank == 2 and "KeyError" in rows["unknown"].error
+
+
+def test_asof_join_over_irregular_bars(spark):
+    import datetime as dt
+    import random as rnd
+
+    from barlake.operators.relational import asof_join, asof_previous_bar
+    rng = rnd.Random(4)
+    t0 = dt.datetime(2024, 1, 1)
+    bars = sorted({(k, t0 + dt.timedelta(minutes=rng.randrange(60 * 24 * 20))) for k in "ab" for _ in range(40)})
+    ticks = [(rng.choice(["a", "b", "c", None]), t0 + dt.timedelta(minutes=rng.randrange(60 * 24 * 25)) if rng.random() < 0.95 else None, i) for i in range(400)]
+    left = spark.createDataFrame(ticks, "k string, ts timestamp_ntz, i int")
+    right = spark.createDataFrame([(k, t, float(j)) for j, (k, t) in enumerate(bars)], "k string, at timestamp_ntz, v double")
+    got = {r.i: r.found for r in asof_join(left, right, "k", "ts", "k", "at", {"v": "found"}).collect()}
+    want = {}
+    for k, t, i in ticks:
+        before = [j for j, (b, at) in enumerate(bars) if t is not None and b == k and at <= t]
+        want[i] = float(before[-1]) if before else None
+    assert got == want
+    months = spark.sql("select 'k' as stock_code, timestamp_ntz'2024-01-01 00:00:00' as date, 1.0D as close union all select 'k', timestamp_ntz'2024-03-01 00:00:00', 3.0D")
+    probe = spark.sql("select 'k' as event_type, timestamp_ntz'2024-02-10 00:00:00' as ts union all select 'k', timestamp_ntz'2024-03-31 23:00:00' union all select 'k', timestamp_ntz'2024-04-01 00:00:00'")
+    assert {r.ts.month: r.prev_close for r in asof_previous_bar(probe, months, step="1 month").collect()} == {2: 1.0, 3: 1.0, 4: 3.0}
+
+
+def test_sequences_of_short_series_and_scaling(spark):
+    from barlake.operators.relational import latest_sequences, sequence_scale, sequence_windows
+    rows = [("long", i, float(i), 5.0) for i in range(10)] + [("short", i, 20.0 + i, 5.0) for i in range(3)]
+    df = spark.createDataFrame(rows, "stock_code string, date int, x double, flat double")
+    scale = sequence_scale(df, ["x", "flat"], "x")
+    got = {r.stock_code: (r.n_rows, [v[0] for v in r.sequence], r.date) for r in latest_sequences(df, ["x", "flat"], 5, scale=scale).collect()}
+    assert got == {"long": (5, pytest.approx([v / 22 for v in (5, 6, 7, 8, 9)]), 9), "short": (3, [1.0] * 5, 2)}
+    one = sequence_windows(df, ["x"], "x", 9, scale=scale).collect()
+    assert len(one) == 1 and one[0].target == pytest.approx(9 / 22) and [v[0] for v in one[0].sequence] == pytest.approx([v / 22 for v in range(9)])
+
+
+def test_newest_rows_with_repeats_and_null_instruments(spark):
+    from barlake.operators.ranking import latest_rows
+    df = spark.createDataFrame([("a", 1, 1.0), ("a", 2, 2.0), ("a", 2, 2.0), (None, 5, 3.0), ("b", None, 4.0)], "stock_code string, date int, v double")
+    assert sorted(map(tuple, latest_rows(df).collect()), key=str) == sorted([("a", 2, 2.0), (None, 5, 3.0), ("b", None, 4.0)], key=str)
