@@ -13,14 +13,14 @@ import uuid
 from pyspark.sql import functions as F
 
 from barlake.functions.windows import DEFAULT as S
-from barlake.functions.windows import div
 from barlake.operators import models as M
+from barlake.operators.splits import next_return_label
 from barlake.plans.catalog import register
-from barlake.plans.common import BAR_SQL, finalize, rnd, rnd_expr
-from barlake.plans.q_recursive import ema_cte
+from barlake.plans.common import BAR_SQL, W, clean_panel, finalize, rnd, rnd_expr, with_bars
+from barlake.plans.q_recursive import ema_cte, rsi_cte
 from barlake.session import scratch_path
 from barlake.streaming import bars as ZB
-from barlake.streaming import state as ZS
+from barlake.streaming import ordered as ZO
 
 CLOSED = "date + INTERVAL 1 HOUR <= (SELECT max(ts) FROM events WHERE value IS NOT NULL) - INTERVAL 10 MINUTE"
 
@@ -79,45 +79,81 @@ def q_stream_rolling(spark, d):
     return finalize(spark.read.parquet(f"{root}/out"))
 
 
-_EMA_SQL = (f"WITH RECURSIVE b AS ({BAR_SQL['events']}),\n"
-            f"closed AS (SELECT * FROM b WHERE {CLOSED}),\n"
-            "src AS (SELECT stock_code, date, close, row_number() OVER (PARTITION BY stock_code ORDER BY date) AS rn "
-            "FROM closed)" + ema_cte("e", "src", "close", 10) +
-            f"\nSELECT src.stock_code, src.date, {rnd(['src.close'])[:-len(' AS src.close')]} AS close, "
-            f"{rnd_expr('e.e')} AS ema_10 FROM src LEFT JOIN e USING (stock_code, rn)")
+# -- Z3, Z4, N6: bars applied in time order, however they arrive ---------------------------
+DELAY = "1 day"
+LATE = "2024-01-05 00:00:00"     # bars of this time come once more, far behind the watermark
+TURN = "2024-01-15 00:00:00"     # the first batch ends here, without some bars of its last 12 hours
 
 
-@register("stream_ema", _EMA_SQL, check="REC", ids="Z3")
-def q_stream_ema(spark, d):
-    root = _scratch(spark, "ema")
-    folder = _bars_to_folder(spark, d, root)
-    schema = spark.read.parquet(folder).schema
-    out = ZS.stream_ema(ZS.bar_stream(spark, folder, schema), 10)
-    ZB.run_to_folder(out, f"{root}/ema", f"{root}/ck_ema")
-    return finalize(spark.read.parquet(f"{root}/ema"))
+def _shuffled_stream(spark, d, root):
+    """Clean hourly bars as a stream of three batches: the second brings bars that are out of order
+    within the delay, the third bars that are behind the watermark."""
+    bars = clean_panel(spark, d)
+    turn = F.lit(TURN).cast("timestamp_ntz")
+    missing = (F.col("date") >= turn - F.expr("INTERVAL 12 HOURS")) & (F.hour("date") % 5 == 0)
+    first = (F.col("date") < turn) & ~missing
+    for part in (bars.where(first), bars.where(~first), bars.where(F.col("date") == F.lit(LATE).cast("timestamp_ntz"))):
+        part.coalesce(1).write.mode("append").parquet(f"{root}/in")
+    return spark.readStream.schema(bars.schema).option("maxFilesPerTrigger", 1).parquet(f"{root}/in")
+
 
+_APPLIED = f"date <= (SELECT max(date) FROM src) - INTERVAL {DELAY.upper()}"
+_SRC = f"""WITH RECURSIVE bars AS ({BAR_SQL['events']}),
+clean AS (SELECT * FROM bars WHERE {{valid}}),
+src AS (SELECT stock_code, date, open, high, low, close, volume, row_number() OVER ({W}) AS rn FROM clean)"""
 
-def _score_features(df):
-    return df.withColumns({"return_1d": S.pct_change("close", 1),
-                           "ma_gap": div("close", S.mean("close", 5)) - 1,
-                           "range_ratio": div(F.col("high") - F.col("low"), "close")})
 
+def _in_order_sql(ctes: str, table: str, column: str) -> str:
+    from barlake.plans.common import VALID_SQL
+    return (_SRC.format(valid=VALID_SQL) + ctes + f"""
+SELECT src.stock_code, src.date, {rnd_expr('src.close')} AS close, false AS late, {rnd_expr(column)} AS {column}
+FROM src LEFT JOIN {table} USING (stock_code, rn) WHERE {_APPLIED}
+UNION ALL SELECT stock_code, date, {rnd_expr('close')}, true, NULL FROM src WHERE date = TIMESTAMP '{LATE}'""")
 
-@register("stream_scores", None, check="ROWS", ids="Z4 N6")
+
+def _drained(spark, stream, root):
+    ZB.run_to_folder(stream, f"{root}/out", f"{root}/ck")
+    return finalize(spark.read.parquet(f"{root}/out"))
+
+
+@register("stream_ema", _in_order_sql(ema_cte("e", "src", "close", 10) + ",\ne_o AS (SELECT stock_code, rn, e AS ema_10 FROM e)",
+                                      "e_o", "ema_10"), check="REC", ids="Z3")
+def q_stream_ema(spark, d):
+    root = _scratch(spark, "ema")
+    return _drained(spark, ZO.stream_ema(_shuffled_stream(spark, d, root), 10, DELAY), root)
+
+
+@register("stream_rsi", _in_order_sql(rsi_cte(14), "r14_o", "rsi_14"), check="REC", ids="Z3")
+def q_stream_rsi(spark, d):
+    root = _scratch(spark, "rsi")
+    return _drained(spark, ZO.stream_rsi(_shuffled_stream(spark, d, root), 14, DELAY), root)
+
+
+@register("stream_windows", with_bars() + f""",
+src AS (SELECT *, count(*) OVER ({W} ROWS BETWEEN 9 PRECEDING AND CURRENT ROW) AS n_bars,
+               avg(close) OVER ({W} ROWS BETWEEN 4 PRECEDING AND CURRENT ROW) AS mean5,
+               max(high) OVER ({W} ROWS BETWEEN 9 PRECEDING AND CURRENT ROW) AS top FROM clean)
+SELECT stock_code, date, n_bars, {rnd_expr('CASE WHEN n_bars >= 5 THEN mean5 END')} AS mean_close_5, {rnd_expr('top')} AS high_10
+FROM src WHERE {_APPLIED}""", ids="Z4 (look-back state)")
+def q_stream_windows(spark, d):
+    root = _scratch(spark, "windows")
+    rows = ZO.stream_windows(_shuffled_stream(spark, d, root), 10, DELAY).where("not late")
+    high = F.array_max(F.transform("window", lambda r: r[ZO.BAR.index("high")]))
+    return _drained(spark, rows.select("stock_code", "date", F.size("window").alias("n_bars"),
+                                       ZO.back_mean("close", 5).alias("mean_close_5"), high.alias("high_10")), root)
+
+
+@register("stream_scores", with_bars() + f""",
+src AS (SELECT stock_code, date, close, close / lag(close) OVER ({W}) - 1 AS r, lead(close) OVER ({W}) / close - 1 AS y FROM clean),
+fit AS (SELECT regr_slope(y, r) AS b, regr_intercept(y, r) AS a FROM src WHERE r IS NOT NULL AND y IS NOT NULL)
+SELECT stock_code, date, {rnd_expr('close')} AS close, {rnd_expr('a + b * coalesce(r, 0)', 4)} AS predicted_return
+FROM src, fit WHERE {_APPLIED}""", ids="Z4 N6")
 def q_stream_scores(spark, d):
-    """Real-time scoring: a ridge model fit on batch bars scores each streamed
-    micro-batch of bars with a 10-bar look-back buffer."""
-    from barlake.plans.common import clean_panel
-    from barlake.operators.splits import next_return_label
-    feats = ["return_1d", "ma_gap", "range_ratio"]
-    hist = next_return_label(_score_features(clean_panel(spark, d)))
-    model = M.fit("ridge", hist, feats, "target_return_1d")
+    """Real-time scoring: a linear model of the last return, fit on batch bars, scores streamed bars
+    from the look-back state of their instrument."""
+    hist = next_return_label(clean_panel(spark, d).withColumn("return_1d", S.pct_change("close", 1)))
+    model = M.fit("linear", hist, ["return_1d"], "target_return_1d")
     root = _scratch(spark, "scores")
-    folder = _bars_to_folder(spark, d, root)
-    schema = spark.read.parquet(folder).schema
-    stream = spark.readStream.schema(schema).option("maxFilesPerTrigger", 4).parquet(folder)
-    body = ZS.scoring_batch_fn(model, _score_features, f"{root}/pred", f"{root}/buffer", lookback=10)
-    q = (stream.writeStream.foreachBatch(body).option("checkpointLocation", f"{root}/ck_score")
-         .trigger(availableNow=True).start())
-    q.awaitTermination()
-    return finalize(spark.read.parquet(f"{root}/pred"))
+    feats = {"return_1d": F.try_divide(ZO.back("close"), ZO.back("close", 1)) - 1}
+    ZB.run_to_folder(ZO.score_stream(_shuffled_stream(spark, d, root), model, feats, 10, DELAY), f"{root}/out", f"{root}/ck")
+    return finalize(spark.read.parquet(f"{root}/out"), overrides={"predicted_return": 4})
