@@ -255,11 +255,11 @@ def _fit(name, data, features, seed, weight_col, overrides) -> FittedModel:
 
 
 def predict(model: FittedModel, df: DataFrame, out: str = "predicted_return", keep=None) -> DataFrame:
-    """Score rows; rows with a missing feature are scored with nulls → 0."""
-    data = df.na.fill(0.0, subset=model.features)
-    scored = model.transform(data).withColumn(out, F.col(PRED))
-    cols = list(keep) if keep is not None else df.columns
-    return scored.select(*cols, out)
+    """Score rows; rows with a missing feature are scored with nulls → 0 (P12). The columns that are
+    kept (by default all) keep their values: scaled features are the model's own business."""
+    cols = [c for c in (keep if keep is not None else df.columns) if c != out]
+    data = df.withColumn("_kept", F.struct(*cols)).na.fill(0.0, subset=model.features)
+    return model.transform(data).select("_kept.*", F.col(PRED).alias(out))
 
 
 def importances(model: FittedModel) -> DataFrame:
