@@ -292,6 +292,11 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     sigs = written(signatures(docs, id_col, text_col, p), "minhash-sig")
     reps = (sigs.where("id is not null and digest is not null").groupBy("digest").agg(F.min("id").alias("rep")))
     reps = written(reps, "minhash-rep")
+    # an id with several texts is one node: it is linked with the representative of each
+    several = sigs.where("id is not null").groupBy("id").agg(F.min("digest").alias("x"), F.max("digest").alias("y"), F.count("digest").alias("c"), F.count("*").alias("n"))
+    several = several.where("x <> y or (c > 0 and c < n)").select("id")
+    shared = sigs.select("id", "digest").join(several, "id", "left_semi").join(reps, "digest").select(F.col("id").alias("a"), F.col("rep").alias("b")).distinct()
+    shared = written(shared, "minhash-shared")
     chosen = sigs.join(reps.select(F.col("rep").alias("id"), "digest"), ["id", "digest"])
     members = bucket_members(chosen.select("id", "keys"), p)
     members = (members.join(chosen.select("id", "sig").dropDuplicates(["id", "sig"]), "id")
@@ -304,6 +309,7 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     # candidates grow with the corpus: shuffled at every size, never broadcast
     texts = written(texts.join(ids.hint("merge"), "id", "left_semi"), "minhash-texts")
     links = written(confirmed(first, texts, p), "minhash-links")
+    links = links.unionByName(shared)
     comp = written(components(links), "minhash-comp")
 
     # second wave: buckets that still span several components
@@ -319,6 +325,8 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
 
     found = reps.join(comp, reps["rep"] == comp["node"], "left").select("digest", F.coalesce("component", "rep").alias("component"))
     out = sigs.select("id", "n_shingles", "digest").join(found, "digest", "left")
-    return out.select(F.col("id").alias(id_col), "n_shingles",
-                      F.coalesce("component", "id").alias("component_id"),
-                      (F.col("id").isNull() | (F.coalesce("component", "id") == F.col("id"))).alias("kept"))
+    # an empty text is in the component of the other texts of its id
+    empty = shared.join(comp, shared["a"] == comp["node"]).select(F.col("a").alias("id"), F.col("component").alias("of_id")).distinct()
+    out = out.join(empty.hint("merge"), "id", "left").select("id", "n_shingles", F.coalesce("component", "of_id", "id").alias("component"))
+    return out.select(F.col("id").alias(id_col), "n_shingles", F.col("component").alias("component_id"),
+                      (F.col("id").isNull() | (F.col("component") == F.col("id"))).alias("kept"))

@@ -69,3 +69,11 @@ def test_a_group_over_several_blocks_and_a_chain(spark):
     p = MinHash(shingle=4, block=16)
     got = {r.doc_id: r.component_id for r in near_duplicates(spark.createDataFrame(rows, "doc_id bigint, text string"), params=p).collect()}
     assert got == {i: c for i, (_, c) in brute(rows).items()}
+
+
+def test_one_id_with_several_texts_is_one_node(spark):
+    a, b, c = (" ".join(f"{x}{i}" for i in range(30)) for x in "abc")
+    rows = [(5, a), (5, b), (1, a), (9, b), (7, ""), (7, c), (3, c + " more"), (8, None), (8, ""), (9, b + " end")]
+    df = spark.createDataFrame(rows, "doc_id bigint, text string")
+    got = {(r.doc_id, r.component_id, r.kept) for r in near_duplicates(df, params=PARAMS).collect()}
+    assert got == {(1, 1, True), (5, 1, False), (9, 1, False), (3, 3, True), (7, 3, False), (8, 8, True)}
