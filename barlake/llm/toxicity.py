@@ -214,7 +214,8 @@ def fit(docs: DataFrame, labels: DataFrame, id_col: str, text_col: str, label_co
     half = [able.where(F.col("label") == c).orderBy(F.xxhash64("id"), "id").limit(p.sample // 2) for c in (0, 1)]
     chosen = written(half[0].unionByName(half[1]), "toxic-sample")
     rows = texts.join(F.broadcast(chosen), "id").where(F.length("text") <= p.train_chars)
-    rows = rows.dropDuplicates(["id"])  # `sample` ids at most, one text of each
+    # `sample` ids at most, of each the text of least hash: the same one in every run
+    rows = rows.groupBy("id", "label").agg(F.min_by("text", F.struct(F.xxhash64("text"), "text")).alias("text"))
     kind = rows.schema["id"].dataType.simpleString()
     found = (rows.select("id", "label", "text").mapInArrow(_hashing(p.affix), f"id {kind}, label int, hashes binary").toArrow())
     found = found.take(pa.array(np.argsort(np.array([str(x) for x in found["id"].to_pylist()]), kind="stable")))
@@ -225,18 +226,25 @@ def fit(docs: DataFrame, labels: DataFrame, id_col: str, text_col: str, label_co
 def _scoring(shared, key: int, p: ToxicNet):
     def run(batches):
         net = shared.value
-        words, known = held(("toxicity", key), lambda: (Words(p.affix), [np.zeros((0, p.dim), np.float32)]))
+        # rows of the known words; behind the last one a row of zeros, which pads the texts
+        words, known = held(("toxicity", key), lambda: (Words(p.affix), [np.zeros((1 << 14, p.dim), np.float32), 0]))
         pad = max(p.widths) - 1
         for batch in slices(batches, "text", 1 << 20):
             if len(words) > words.limit:
                 words.clear()
-                known[0] = known[0][:0].copy()
+                known[1] = 0
             rows = [words.rows(t or "") for t in batch.column("text").to_pylist()]
             if words.fresh:
                 at = net.emb_rows(np.array(words.fresh, np.int64))
                 new = net.emb[at[:, 0]] + net.emb[at[:, 1]] + net.emb[at[:, 2]]
-                known[0], words.fresh = np.concatenate([known[0], new]), []
-            vectors = np.concatenate([known[0], np.zeros((1, p.dim), np.float32)])
+                n, known[1], words.fresh = known[1], known[1] + len(new), []
+                if known[1] >= len(known[0]):
+                    grown = np.zeros((max(known[1] + 1, 2 * len(known[0])), p.dim), np.float32)
+                    grown[:n] = known[0][:n]
+                    known[0] = grown
+                known[0][n:known[1]] = new
+            known[0][known[1]] = 0
+            vectors = known[0][:known[1] + 1]
             sizes = np.array([len(r) for r in rows], np.int64)
             gap = np.full(pad, len(vectors) - 1, np.int64)
             flat = np.concatenate([x for r in rows for x in (r, gap)])
