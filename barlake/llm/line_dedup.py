@@ -9,9 +9,11 @@ than once keeps its first occurrence (smallest id, then first in the text); all
 covered. Covered lines are merged into spans, and spans of `min_words` words or more leave.
 
 Repeats inside a text are found within its row, so only the first occurrence per text takes
-part in the shuffles: one aggregation (a frequent window is reduced before it moves) and one
-equi-join with the windows of several texts, which adaptive execution splits where skewed.
-Built-in SQL expressions only.
+part in the shuffles. Every text is cut once and its window hashes are written. One aggregation
+(a frequent window is reduced before it moves) finds the windows of several texts; a bit filter of
+these, of bounded size, spares the other windows the shuffle of the equi-join that leads
+back to the texts, which adaptive execution splits where skewed. Only texts with covered lines are
+cut again. Built-in SQL expressions only.
 """
 
 from __future__ import annotations
@@ -21,11 +23,15 @@ from functools import reduce
 
 from pyspark.sql import Column, DataFrame, functions as F
 
+from barlake.session import discard, written
+
 WHITE = r"\x20\x09-\x0D"
 #: Last characters of the words that end a line inside a sentence: comma, colons, two letters and two digits; and
 #: beyond Latin-1 the Arabic comma and semicolon and letters of the Cyrillic, Greek, Hebrew, Arabic and Devanagari scripts.
 ENDS = ",;:ro05"
 MORE_ENDS = "،؛аиςהةنे"
+HASHES_PER_BLOCK = 16    # of the filter: blocks of 256 bits, one bit of a hash in each of four words
+MAX_BLOCKS = 1 << 19     # 16 MB; more hashes only let more windows pass to the exact join
 
 
 @dataclass(frozen=True)
@@ -78,13 +84,43 @@ def windows(docs: DataFrame, p: LineDedup) -> DataFrame:
                f"else transform(filter(sorted, (x, i) -> not ({again})), {place}) end").alias("firsts"))
 
 
-def later_occurrences(docs: DataFrame, p: LineDedup) -> DataFrame:
-    """``id, at``: the lines of each text at which a window begins that a text of smaller id has."""
-    found = windows(docs.select("id", lines_of(F.col("text"), p).alias("lines")), p)
-    rows = found.select("id", F.inline(F.expr("transform(firsts, q -> named_struct('pos', q, 'w', hashes[q]))")))
+def _bit(word: int) -> Column:
+    return F.expr(f"shiftleft(1L, cast(shiftrightunsigned(w, {6 * word}) & 63 as int))")
+
+
+def maybe_among(rows: DataFrame, hashes: DataFrame) -> DataFrame:
+    """The ``rows`` whose 64-bit hash ``w`` may be among ``hashes`` (column ``w``): all that are, and of
+    the others about one in 400 while the filter is not full.
+
+    The filter's blocks are a table of at most MAX_BLOCKS rows of five numbers, which is what is
+    broadcast, however many the hashes are."""
+    n = max(1, min(MAX_BLOCKS, -(-hashes.count() // HASHES_PER_BLOCK)))
+    block = F.pmod(F.expr("shiftrightunsigned(w, 24)"), F.lit(n))
+    bits = hashes.groupBy(block.alias("b")).agg(*[F.bit_or(_bit(i)).alias(f"x{i}") for i in range(4)])
+    near = rows.join(F.broadcast(bits), block == F.col("b"))
+    for i in range(4):
+        near = near.where(F.col(f"x{i}").bitwiseAND(_bit(i)) != 0)
+    return near.select(*rows.columns)
+
+
+def covered_texts(docs: DataFrame, p: LineDedup) -> DataFrame:
+    """``id, rows, lines, again, at``: for each id its rows, their most lines, whether a window occurs
+    again within one of them, and the lines at which a window begins that a text of smaller
+    id has (null: none). Written; what led to it is deleted."""
+    cut = docs.select("id", lines_of(F.col("text"), p).alias("lines"))
+    found = windows(cut.select(F.struct("id", F.size("lines").alias("n")).alias("id"), "lines"), p)
+    everywhere = F.size("firsts") == F.size("hashes")
+    found = written(found.select("id.id", F.col("id.n").alias("n"), "hashes", F.when(~everywhere, F.col("firsts")).alias("firsts")), "line-windows")
+    rows = found.select("id", F.inline(F.expr(
+        "transform(coalesce(firsts, if(size(hashes) = 0, cast(array() as array<int>), sequence(0, size(hashes) - 1))), "
+        "q -> named_struct('pos', q, 'w', hashes[q]))")))
     first = rows.groupBy("w").agg(F.min("id").alias("first"), F.max("id").alias("last")).where("first < last").select("w", "first")
-    later = rows.join(first, "w").where("id > first")
-    return later.groupBy("id").agg(F.collect_set("pos").alias("at"))
+    first = written(first, "line-firsts")
+    later = maybe_among(rows, first).join(first, "w").where("id > first").groupBy("id").agg(F.collect_set("pos").alias("at"))
+    per_id = found.groupBy("id").agg(F.count("*").alias("rows"), F.max("n").alias("lines"), F.max(F.col("firsts").isNotNull()).alias("again"))
+    marks = written(per_id.where("id is not null").join(later, "id", "left"), "line-marks")
+    discard(found, first)
+    return marks
 
 
 def dedup_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", params: LineDedup = LineDedup()) -> DataFrame:
@@ -101,27 +137,30 @@ def dedup_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     own = [c for c in docs.columns if c not in ("n_lines", "n_removed")]
     src = docs.select(F.col(id_col).alias("id"), F.struct(*own).alias("row"))
     slim = docs.select(F.col(id_col).alias("id"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
-    later = later_occurrences(slim, p)
-    joined = (src.join(later, "id", "left")
-              .select("row", "at", F.col(f"row.{text_col}").alias("text"))
-              .select("row", "at", lines_of(F.coalesce("text", F.lit("")), p).alias("lines")))
+    marks = covered_texts(slim, p).withColumnRenamed("lines", "known")
+    joined = src.join(marks, "id", "left")
+    # rows without an id are known only by what they repeat themselves, rows that share one not one by one
+    touched = F.col("at").isNotNull() | F.coalesce("again", F.lit(True)) | (F.col("rows") > 1)
+    text = F.coalesce(F.col(f"row.{text_col}"), F.lit(""))
+    joined = joined.select("row", "at", F.when(~touched, F.col("known")).alias("known"),
+                           F.when(touched, lines_of(text, p)).otherwise(F.array().cast("array<string>")).alias("lines"))
     return _without(joined, own, text_col, p)
 
 
 def _without(joined: DataFrame, own: list[str], text_col: str, p: LineDedup) -> DataFrame:
     """Cuts the covered spans out: spans are runs of covered lines, found from their ends."""
-    inner = windows(joined.select(F.struct("row", "at", "lines").alias("id"), "lines"), p)
+    inner = windows(joined.select(F.struct("row", "at", "known", "lines").alias("id"), "lines"), p)
     covered = inner.select("id.*", F.expr(
         f"array_sort(array_distinct(flatten(transform(concat(own, coalesce(at, cast(array() as array<int>))), q -> sequence(q, q + {p.window - 1})))))").alias("c"))
-    spans = covered.select("row", "lines", F.expr(
+    spans = covered.select("row", "known", "lines", F.expr(
         "arrays_zip(filter(c, (q, i) -> i = 0 or c[i - 1] <> q - 1), filter(c, (q, i) -> i = size(c) - 1 or c[i + 1] <> q + 1))").alias("z"))
     words = F.expr("transform(z, s -> named_struct('a', s['0'], 'b', s['1'], 't', array_join(slice(lines, s['0'] + 1, s['1'] - s['0'] + 1), '')))")
-    cut = spans.select("row", "lines", words.alias("z")).select("row", "lines", F.filter(
+    cut = spans.select("row", "known", "lines", words.alias("z")).select("row", "known", "lines", F.filter(
         "z", lambda s: F.regexp_count(s["t"], F.lit(f"[^{WHITE}]+")) >= p.min_words).alias("z"))
-    parts = cut.select("row", "lines", "z", F.expr(
+    parts = cut.select("row", "known", "lines", "z", F.expr(
         "transform(sequence(0, size(z)), i -> array_join(slice(lines, if(i = 0, 1, z[i - 1].b + 2), "
         "if(i = size(z), size(lines), z[i].a) - if(i = 0, 0, z[i - 1].b + 1)), ''))").alias("parts"))
     text = F.when(F.size("z") == 0, F.col(f"row.{text_col}")).otherwise(F.array_join("parts", ""))
     removed = F.expr("aggregate(z, 0L, (n, s) -> n + s.b - s.a + 1)")
     return parts.select(*[(text if c == text_col else F.col(f"row.{c}")).alias(c) for c in own],
-                        F.size("lines").cast("long").alias("n_lines"), removed.alias("n_removed"))
+                        F.coalesce("known", F.size("lines")).cast("long").alias("n_lines"), removed.alias("n_removed"))
