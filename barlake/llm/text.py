@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import ctypes
+import gc
 from collections.abc import Iterator
 
 import numpy as np
@@ -77,14 +79,28 @@ def held(key, make):
     """What a worker process keeps from task to task, for one operator at a time: a worker that
     Spark reuses for another operator lets go of the former one's memory."""
     if key not in _HELD:
-        _HELD.clear()
+        _let_go()
         _HELD[key] = make()
     return _HELD[key]
 
 
 def release() -> None:
     """Lets go of what this worker process keeps; operators that keep nothing begin with it."""
+    if _HELD:
+        _let_go()
+
+
+_TRIM = getattr(ctypes.CDLL(None), "malloc_trim", None)  # where the C library has it
+
+
+def _let_go() -> None:
+    """Freed memory goes back to the system: a worker's next operator finds it there, and so do the
+    other processes of its executor."""
     _HELD.clear()
+    gc.collect()
+    pa.default_memory_pool().release_unused()
+    if _TRIM:
+        _TRIM(0)
 
 
 def mix64(x: np.ndarray) -> np.ndarray:
