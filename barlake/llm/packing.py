@@ -5,6 +5,8 @@ a bin of class k is closed by counting, never by searching. Documents are cut so
 piece nearly fills its share: whole sequences first, then the longest reciprocal of the
 capacity that the rest reaches, until what is left wastes at most `slack` tokens a sequence.
 
+Between the rounds a piece's ids are one binary value (little-endian 32-bit numbers).
+
 Workers fill bins on their own in one pass over the texts. A worker's open bins (fewer than
 k pieces in each class) are handed on, `fan_in` workers to one, until one task holds a few
 pieces of each class; those last ones are packed first-fit. Nothing but these open bins ever
@@ -22,7 +24,7 @@ from pyspark.sql import DataFrame, functions as F
 from tokenizers import Tokenizer
 
 from barlake.llm.pretokens import UNIT, read_vocabulary
-from barlake.llm.text import held, slices, tune
+from barlake.llm.text import held, offsets_of, slices, tune
 from barlake.session import written
 
 
@@ -51,7 +53,7 @@ def cut(n: int, p: Packing) -> list[int]:
 class UnitIds(dict):
     """unit -> row of a ragged table of token ids; unknown units are encoded together."""
 
-    def __init__(self, vocabulary: str, limit: int = 600_000):
+    def __init__(self, vocabulary: str, limit: int = 500_000):
         super().__init__()
         read_vocabulary(vocabulary)  # refuses a vocabulary whose tokens depend on more than a unit
         self.lib = Tokenizer.from_file(vocabulary)
@@ -98,29 +100,40 @@ class UnitIds(dict):
         ends = np.flatnonzero(ids == self.lib.token_to_id(mark))
         return np.delete(ids, ends), np.diff(ends, prepend=-1) - 1
 
-    def encode(self, texts: list[str]) -> list[np.ndarray]:
-        """Token ids of each whole text, as the library gives them."""
+    def encode(self, texts: list[str], end_id: int) -> tuple[np.ndarray, np.ndarray]:
+        """Token ids of all texts, one after another, each with ``end_id`` behind it, and where each
+        ends: one gather for the whole batch."""
         if len(self) > self.limit:
             self._begin()
-        get = self.__getitem__
-        rows = [None if any(s in t for s in self.special) else
-                np.fromiter(map(get, UNIT.findall(t)), np.int64) for t in texts]
+        get, odd, rows, lengths = self.__getitem__, {}, [], []
+        for i, text in enumerate(texts):
+            if any(s in text for s in self.special):  # a special string in the text is the library's own business
+                odd[i] = np.array(self.lib.encode(text, add_special_tokens=False).ids, np.int32)
+                lengths.append(0)
+            else:
+                found = list(map(get, UNIT.findall(text)))
+                rows.append(np.array(found, np.int64))
+                lengths.append(len(found))
         if self.unknown:
             self._learn()
-        out = []
-        for text, row in zip(texts, rows):
-            if row is None:  # a special string inside the text is the library's own business
-                out.append(np.array(self.lib.encode(text, add_special_tokens=False).ids, np.int32))
-            else:
-                size = self.size[row]
-                ends = np.cumsum(size)
-                n = int(ends[-1]) if len(ends) else 0
-                out.append(self.flat[np.repeat(self.start[row] - ends + size, size) + np.arange(n)])
-        return out
+        row = np.concatenate(rows) if rows else np.zeros(0, np.int64)
+        size = self.size[row]
+        ends = np.cumsum(size)
+        flat = self.flat[np.repeat(self.start[row] - ends + size, size) + np.arange(int(ends[-1]) if len(ends) else 0)]
+        upto = np.concatenate([[0], ends])[np.cumsum(lengths)]  # ids up to each text, odd ones left out
+        flat = np.insert(flat, upto, np.int32(end_id))
+        stops = upto + np.arange(1, len(texts) + 1)
+        if odd:
+            parts = np.split(flat, stops[:-1])
+            parts = [np.concatenate([odd[i], part]) if i in odd else part for i, part in enumerate(parts)]
+            flat, stops = np.concatenate(parts), np.cumsum([len(x) for x in parts])
+        return flat, stops
 
 
 class Bins:
-    """Open bins, one for each class; a bin of class k leaves when it holds k pieces."""
+    """Open bins, one for each class; a bin of class k leaves when it holds k pieces.
+
+    A piece is (document, start, bytes of its ids, tokens of the document)."""
 
     def __init__(self, worker: int, p: Packing):
         self.worker, self.p = worker, p
@@ -129,7 +142,7 @@ class Bins:
         self.rows: list = []
 
     def add(self, piece: tuple) -> None:
-        k = self.p.capacity // len(piece[2])
+        k = self.p.capacity // (len(piece[2]) >> 2)
         bin_ = self.open.setdefault(k, [])
         bin_.append(piece)
         if len(bin_) == k:
@@ -142,7 +155,7 @@ class Bins:
         sequence, offset = self.worker << 39 | (k - 1) << 28 | n, 0
         for one in pieces:
             self.rows.append((*one, sequence, offset))
-            offset += len(one[2])
+            offset += len(one[2]) >> 2
 
     def finish(self) -> None:
         """First fit, longest first, over the few pieces that no class could complete."""
@@ -150,12 +163,13 @@ class Bins:
         self.worker |= 1 << 23
         self.open, self.made, room, filled = {}, {}, [], []
         for one in rest:
-            at = next((i for i, r in enumerate(room) if r >= len(one[2])), None)
+            size = len(one[2]) >> 2
+            at = next((i for i, r in enumerate(room) if r >= size), None)
             if at is None:
                 at = len(room)
                 room.append(self.p.capacity)
                 filled.append([])
-            room[at] -= len(one[2])
+            room[at] -= size
             filled[at].append(one)
         for pieces in filled:
             self.close(1, pieces)
@@ -163,14 +177,9 @@ class Bins:
 
 def _batch(rows, id_type) -> pa.RecordBatch:
     cols = list(zip(*rows)) if rows else [[]] * 6
-    ids = cols[2]
-    ends = np.concatenate([[0], np.cumsum([len(x) for x in ids])]).astype(np.int32)
-    values = np.concatenate(ids) if len(ids) else np.zeros(0, np.int32)
-    return pa.RecordBatch.from_arrays(
-        [pa.array(cols[0], id_type), pa.array(cols[1], pa.int64()),
-         pa.ListArray.from_arrays(pa.array(ends), pa.array(values.astype(np.int32))),
-         pa.array(cols[3], pa.int64()), pa.array(cols[4], pa.int64()), pa.array(cols[5], pa.int64())],
-        names=["id", "start", "input_ids", "doc_tokens", "sequence_id", "seq_offset"])
+    kinds = (id_type, pa.int64(), pa.binary(), pa.int64(), pa.int64(), pa.int64())
+    return pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(cols, kinds)],
+                                      names=["id", "start", "ids", "doc_tokens", "sequence_id", "seq_offset"])
 
 
 def _drained(bins: Bins, id_type):
@@ -192,12 +201,15 @@ def _first_round(vocabulary: str, p: Packing):
         bins, id_type = Bins(TaskContext.get().partitionId(), p), pa.int64()
         for batch in slices(batches, "text", 1 << 20):
             id_type = batch.column(0).type
-            for doc, ids in zip(batch.column(0).to_pylist(), units.encode(batch.column(1).to_pylist())):
-                ids = np.append(ids, np.int32(p.end_id))
-                start = 0
-                for n in cut(len(ids), p):
-                    bins.add((doc, start, ids[start:start + n].copy(), len(ids)))
+            flat, stops = units.encode(batch.column(1).to_pylist(), p.end_id)
+            data, begin = memoryview(flat.astype("<i4", copy=False)).cast("B"), 0
+            for doc, stop in zip(batch.column(0).to_pylist(), stops.tolist()):
+                total, start = stop - begin, 0
+                for n in cut(total, p):
+                    at = 4 * (begin + start)
+                    bins.add((doc, start, bytes(data[at:at + 4 * n]), total))
                     start += n
+                begin = stop
             yield from _drained(bins, id_type)
         yield from _drained(bins, id_type)
         yield from _opened(bins, id_type)
@@ -209,10 +221,8 @@ def _next_round(number: int, last: bool, p: Packing):
         bins, id_type = Bins(number << 20 | TaskContext.get().partitionId(), p), pa.int64()
         for batch in batches:
             id_type = batch.column(0).type
-            offsets = batch.column(2).offsets.to_numpy()
-            values = batch.column(2).values.to_numpy()
-            for i, (doc, start, n) in enumerate(zip(*(batch.column(c).to_pylist() for c in (0, 1, 3)))):
-                bins.add((doc, start, values[offsets[i]:offsets[i + 1]].copy(), n))
+            for piece in zip(*(batch.column(c).to_pylist() for c in range(4))):
+                bins.add(piece)
             yield from _drained(bins, id_type)
         if last:
             bins.finish()
@@ -221,24 +231,19 @@ def _next_round(number: int, last: bool, p: Packing):
     return run
 
 
-def pack(docs: DataFrame, vocabulary: str, id_col: str = "doc_id", text_col: str = "text",
-         params: Packing = Packing()) -> DataFrame:
-    """Pieces of all documents, with their place in the packed sequences.
-
-    Returns ``id_col, start, input_ids, doc_tokens, sequence_id, seq_offset``, a row for each
-    piece: ids of the library for ``vocabulary`` (a path that every worker can read) and then
-    ``end_id``. Defined cases: a null or empty text is the end id alone; null and repeated
-    ids are documents of their own; a text of any length is cut; other columns are ignored;
-    an empty table gives no pieces.
-    """
+def packed(docs: DataFrame, vocabulary: str, id_col: str = "doc_id", text_col: str = "text",
+           params: Packing = Packing()) -> DataFrame:
+    """As :func:`pack`, with the ids of a piece as one binary value (``ids``)."""
     p, spark = params, docs.sparkSession
     if p.capacity > 2048:
         raise ValueError("a sequence id has 11 bits for the class")
     tune(spark)
     src = docs.select(F.col(id_col).alias("id"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
     kind = src.schema["id"].dataType.simpleString()
-    schema = f"id {kind}, start bigint, input_ids array<int>, doc_tokens bigint, sequence_id bigint, seq_offset bigint"
+    schema = f"id {kind}, start bigint, ids binary, doc_tokens bigint, sequence_id bigint, seq_offset bigint"
     workers = max(1, src.rdd.getNumPartitions())
+    if workers >= 1 << 20:
+        raise ValueError("a sequence id has 20 bits for the partition: coalesce the documents to fewer than 1,048,576 partitions")
     rounds = [written(src.mapInArrow(_first_round(vocabulary, p), schema), "packing")]
     while True:
         workers = -(-workers // p.fan_in)
@@ -251,3 +256,28 @@ def pack(docs: DataFrame, vocabulary: str, id_col: str = "doc_id", text_col: str
     for r in rounds[1:]:
         out = out.unionByName(r.where("sequence_id is not null"))
     return out.withColumnRenamed("id", id_col)
+
+
+def _listed(batches):
+    for batch in batches:
+        column = batch.column("ids")
+        ends = pa.array((offsets_of(column) // 4).astype(np.int32))
+        values = np.frombuffer(column.buffers()[2] or b"", "<i4")
+        lists = pa.ListArray.from_arrays(ends, pa.array(values))
+        cols = [lists if n == "ids" else batch.column(n) for n in batch.schema.names]
+        yield pa.RecordBatch.from_arrays(cols, names=["input_ids" if n == "ids" else n for n in batch.schema.names])
+
+
+def pack(docs: DataFrame, vocabulary: str, id_col: str = "doc_id", text_col: str = "text",
+         params: Packing = Packing()) -> DataFrame:
+    """Pieces of all documents, with their place in the packed sequences.
+
+    Returns ``id_col, start, input_ids, doc_tokens, sequence_id, seq_offset``, a row for each
+    piece: ids of the library for ``vocabulary`` (a path that every worker can read) and then
+    ``end_id``. Defined cases: a null or empty text is the end id alone; null and repeated
+    ids are documents of their own; a text of any length is cut; other columns are ignored;
+    an empty table gives no pieces; a million input partitions or more are refused.
+    """
+    out = packed(docs, vocabulary, id_col, text_col, params)
+    kind = out.schema[id_col].dataType.simpleString()
+    return out.mapInArrow(_listed, f"`{id_col}` {kind}, start bigint, input_ids array<int>, doc_tokens bigint, sequence_id bigint, seq_offset bigint")

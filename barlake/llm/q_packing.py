@@ -10,8 +10,8 @@ import public_tokenizers
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 
-from barlake.llm.packing import Packing, pack
-from barlake.llm.text import read_table
+from barlake.llm.packing import Packing, packed
+from barlake.llm.text import offsets_of, read_table
 
 PARAMS = Packing(capacity=2048, end_id=1)
 
@@ -23,25 +23,25 @@ SCHEMA = ("doc_id bigint, start bigint, length bigint, ids_crc32 bigint, doc_tok
 def _digested(keep_ids: bool):
     def run(batches):
         for batch in batches:
-            ids = batch.column("input_ids")
-            offsets, values = ids.offsets.to_numpy(), ids.values.to_numpy().astype("<u4", copy=False)
-            crc = [zlib.crc32(values[a:b].data) for a, b in zip(offsets[:-1], offsets[1:])]
-            cols = {"doc_id": batch.column("doc_id"), "start": batch.column("start"), "length": pa.array(np.diff(offsets).astype(np.int64)),
+            ids = batch.column("ids")
+            crc = [zlib.crc32(x.as_buffer()) for x in ids]
+            length = np.diff(offsets_of(ids)) // 4
+            cols = {"doc_id": batch.column("doc_id"), "start": batch.column("start"), "length": pa.array(length),
                     "ids_crc32": pa.array(crc, pa.int64()), "doc_tokens": batch.column("doc_tokens"),
                     "sequence_id": batch.column("sequence_id"), "offset": batch.column("seq_offset")}
             if keep_ids:
-                cols["input_ids"] = ids
+                cols["ids"] = ids
             yield pa.RecordBatch.from_arrays(list(cols.values()), names=list(cols))
     return run
 
 
 def digest(pieces: DataFrame, keep_ids: bool = False) -> DataFrame:
-    """The columns of the query, and the ids themselves where they are wanted."""
-    return pieces.mapInArrow(_digested(keep_ids), SCHEMA + ", input_ids array<int>" * keep_ids)
+    """The columns of the query from :func:`packed`, and the ids themselves (binary) where they are wanted."""
+    return pieces.mapInArrow(_digested(keep_ids), SCHEMA + ", ids binary" * keep_ids)
 
 
 def op10_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return digest(pack(read_table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.json"), params=PARAMS))
+    return digest(packed(read_table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.json"), params=PARAMS))
 
 
 QUERIES = {"op10_packing": op10_packing}

@@ -66,5 +66,7 @@ def test_cut_and_memory_of_units():
         assert sum(parts) == n and len(parts) <= n // 2048 + 6
     texts = ["some text, here", "é 日本 🙂 a\x85b", "", "   "] * 3 + [f"word{i} other{i}" for i in range(200)]
     units = UnitIds(PATH, limit=50)
-    got = [units.encode([t])[0].tolist() for t in texts]
-    assert [g + [1] for g in got] == library(texts)
+    assert [units.encode([t], 1)[0].tolist() for t in texts] == library(texts)
+    texts += ["a <|endoftext|> b", "", "<|endoftext|>"]
+    flat, stops = units.encode(texts, 1)
+    assert [x.tolist() for x in np.split(flat, stops[:-1])] == library(texts)
