@@ -12,7 +12,7 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 from barlake.llm.decontaminate import Decontamination, decontaminate
 from barlake.llm.line_dedup import LineDedup, dedup_lines
 from barlake.llm.minhash import MinHash, near_duplicates
-from barlake.llm.packing import Packing, pack
+from barlake.llm.packing import Packing, packed
 from barlake.llm.q_packing import digest
 from barlake.llm.text import read_table
 from barlake.llm.toxicity import ToxicNet, toxicity
@@ -59,7 +59,7 @@ def remove_benchmark(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataF
 def pack_sequences(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Pieces of the documents' tokens and their places in sequences of 2048."""
     ship_package(spark)
-    return digest(pack(docs, public_tokenizers.path(VOCABULARY), params=Packing()), keep_ids=True)
+    return digest(packed(docs, public_tokenizers.path(VOCABULARY), params=Packing()), keep_ids=True)
 
 
 STAGES = [("toxicity", drop_toxic), ("line_dedup", dedup_passages), ("near_dedup", drop_near_duplicates),
