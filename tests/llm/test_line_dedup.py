@@ -62,3 +62,12 @@ def test_odd_rows(spark):
     assert text[6] == text[7] == ["a. b. c."] and text[8] == [PASSAGE] * 2 and set(text[None]) == {PASSAGE, None} and len(text[9][0]) == 100_000
     assert dedup_lines(df.limit(0)).count() == 0
     assert dedup_lines(spark.createDataFrame([(1, "a. b. c."), (2, "a. b. c.")], "doc_id bigint, text string"), params=LineDedup(min_words=3)).where("n_removed = 3 and text = ''").count() == 1
+
+
+def test_the_filter_keeps_every_listed_hash(spark):
+    from barlake.llm.line_dedup import maybe_among
+    rows = spark.range(60_000).select(F.xxhash64("id").alias("w"), "id")
+    listed = rows.where("id < 20000").select("w")
+    kept = {r.id for r in maybe_among(rows, listed).collect()}
+    assert kept >= set(range(20_000)) and len(kept) < 20_000 + 400
+    assert maybe_among(rows, listed.limit(0)).count() == 0
