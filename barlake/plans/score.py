@@ -18,7 +18,7 @@ from barlake.sources import runs
 def score_latest(bars: DataFrame, model: M.FittedModel, n: int = 10, at=None) -> tuple[DataFrame, DataFrame]:
     """Returns (all latest predictions with prices, ranked submission)."""
     frame, _ = build_training_frame(bars)
-    latest = ranking.latest_rows(frame.select("stock_code", "date", "close", *model.features))
+    latest = ranking.latest_rows(frame.select(*dict.fromkeys(["stock_code", "date", "close", *model.features])))  # the close may be a feature
     pred = M.predict(model, latest, keep=["stock_code", "date", "close"])
     pred = ranking.predict_price(pred, "predicted_return", "close", at or dt.datetime.now(dt.timezone.utc).replace(tzinfo=None))
     return pred, ranking.submission(pred, n)

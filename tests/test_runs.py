@@ -53,3 +53,16 @@ def test_predictions_are_one_run(spark, tmp_path):
     assert runs.committed_runs(spark, str(tmp_path)) == [run]
     record = runs.read_run(spark, str(tmp_path), "record", run).first()
     assert record.top_gainers_codes == ["a"] and record.top_losers_returns == [-0.2]
+
+
+def test_the_newest_bars_are_scored_when_the_close_is_a_feature(spark, walk_df):
+    from barlake.operators import models as M
+    from barlake.plans.score import score_latest
+    from barlake.plans.train import build_training_frame
+    bars = walk_df.where("date < date'2020-04-10' and stock_code < 'S04'")
+    cols = ["return_1d", "close"]
+    frame = build_training_frame(bars)[0].where("target_return_1d is not null")
+    pred, ranked = score_latest(bars, M.fit("ridge", frame, cols), n=1)
+    last = {r.stock_code: r.close for r in bars.where("date = date'2020-04-09'").collect()}
+    assert {r.stock_code: r.close for r in pred.collect()} == last
+    assert sorted(r.category for r in ranked.collect()) == ["top_gainers", "top_losers"]
