@@ -55,3 +55,22 @@ def test_windows_keep_the_last_bars_only(spark, tmp_path):
     a = got[(got.stock_code == "a") & ~got.late].sort_values("date")
     assert [len(w) for w in a.window[:6]] == [1, 2, 3, 4, 4, 4]
     assert [r[4] for r in a.window.iloc[10]] == [7.0, 8.0, 9.0, 10.0]
+
+
+@pytest.mark.parametrize("name", ["stream_ema", "stream_rsi", "stream_windows", "stream_scores"])
+def test_queries_run_in_a_session_with_sparks_own_state_store(spark, tmp_path, name):
+    import duckdb
+
+    import __spark_entry__ as E
+    key, own = "spark.sql.streaming.stateStore.providerClass", "org.apache.spark.sql.execution.streaming.state.HDFSBackedStateStoreProvider"
+    rng = random.Random(5)
+    ticks = [(i, START + dt.timedelta(minutes=30 * i), 1, "ab"[i % 3 > 0], 10 + round(rng.random(), 3), "") for i in range(960)]
+    spark.createDataFrame(ticks, ZB.TICK_SCHEMA).coalesce(1).write.parquet(f"{tmp_path}/events.parquet")
+    plain = spark.newSession()
+    plain.conf.set(key, own)
+    df = E.queries()[name](plain, str(tmp_path))
+    con = duckdb.connect()
+    con.execute(f"CREATE VIEW events AS SELECT * FROM read_parquet('{tmp_path}/events.parquet/*.parquet')")
+    want = con.execute(E.oracle_sql()[name]).fetchall()
+    assert len(want) > 500 and sorted(map(str, (tuple(r) for r in df.collect()))) == sorted(map(str, want))
+    assert plain.conf.get(key) == own
