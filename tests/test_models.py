@@ -264,3 +264,24 @@ def test_newest_rows_with_repeats_and_null_instruments(spark):
     from barlake.operators.ranking import latest_rows
     df = spark.createDataFrame([("a", 1, 1.0), ("a", 2, 2.0), ("a", 2, 2.0), (None, 5, 3.0), ("b", None, 4.0)], "stock_code string, date int, v double")
     assert sorted(map(tuple, latest_rows(df).collect()), key=str) == sorted([("a", 2, 2.0), (None, 5, 3.0), ("b", None, 4.0)], key=str)
+
+
+def test_a_ridge_search_reads_the_rows_as_often_for_many_trials(spark):
+    from barlake.operators import splits as S
+    from barlake.operators.tuning import cv_score, random_search
+    rng = np.random.default_rng(8)
+    x = rng.normal([5.0, -300.0, 0.0], [1.0, 40.0, 1e-3], (240, 3))
+    pdf = pd.DataFrame(x, columns=["a", "b", "c"]).assign(flat=0.1, t=x @ [1.0, 0.02, 300.0] + rng.normal(0, 0.5, 240), stock_code="s",
+                                                          date=pd.date_range("2020-01-01", periods=240).date)
+    df, cols, tracker = spark.createDataFrame(pdf).repartition(3).cache(), ["a", "b", "c", "flat"], spark.sparkContext.statusTracker()
+    for ordered in (False, True):
+        jobs, found = [], {}
+        for n in (1, 6):
+            before = len(tracker.getJobIdsForGroup(None))
+            found[n] = random_search("ridge", df, cols, "t", n_trials=n, k=3, time_series=ordered).orderBy("trial").collect()
+            jobs.append(len(tracker.getJobIdsForGroup(None)) - before)
+        assert abs(jobs[1] - jobs[0]) <= 3
+        blocks = S.expanding_blocks(df, 3, out="_block") if ordered else S.shuffled_folds(df, 3, out="_block")
+        for r in found[6][:2]:
+            want = cv_score("ridge", blocks, cols, "t", {"alpha": float(r.params["alpha"])}, 3, ordered)
+            assert r.error is None and r.score == pytest.approx(want, rel=1e-6)  # the pipeline fits rounding noise of the constant column
