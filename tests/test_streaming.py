@@ -1,9 +1,13 @@
 """Stateful streams against batch results: order of arrival, late bars, restarts."""
 import datetime as dt
+import os
 import random
+import subprocess
+import sys
 
 import pandas as pd
 import pytest
+from pyspark import cloudpickle
 
 import sequential as Q
 from barlake.streaming import bars as ZB
@@ -74,3 +78,12 @@ def test_queries_run_in_a_session_with_sparks_own_state_store(spark, tmp_path, n
     want = con.execute(E.oracle_sql()[name]).fetchall()
     assert len(want) > 500 and sorted(map(str, (tuple(r) for r in df.collect()))) == sorted(map(str, want))
     assert plain.conf.get(key) == own
+
+
+@pytest.mark.parametrize("processor", [ZO.WilderRsi(5), ZO.Ema(5), ZO.LookBack(5)])
+def test_processors_load_where_the_package_is_not_importable(tmp_path, processor):
+    (tmp_path / "p").write_bytes(cloudpickle.dumps(processor))
+    code = "import pickle, sys; p = pickle.load(open('p', 'rb')); print(len(p.outputs()), 'barlake' in sys.modules)"
+    env = {k: v for k, v in os.environ.items() if k != "PYTHONPATH"}
+    done = subprocess.run([sys.executable, "-c", code], cwd=tmp_path, env=env, capture_output=True, text=True, timeout=60)
+    assert done.stdout.split() == ["1", "False"], done.stderr
