@@ -104,20 +104,21 @@ def maybe_among(rows: DataFrame, hashes: DataFrame) -> DataFrame:
 
 
 def covered_texts(docs: DataFrame, p: LineDedup) -> DataFrame:
-    """``id, rows, lines, again, at``: for each id its rows, their most lines, whether a window occurs
-    again within one of them, and the lines at which a window begins that a text of smaller
-    id has (null: none). Written; what led to it is deleted."""
+    """``id, rows, lines, own, at``: for each id its rows, their most lines, the lines at which a window
+    of its text begins that occurs before in the same text (of one of its rows, if they are several),
+    and those at which one begins that a text of smaller id has (null: none). Written; what led to it
+    is deleted."""
     cut = docs.select("id", lines_of(F.col("text"), p).alias("lines"))
     found = windows(cut.select(F.struct("id", F.size("lines").alias("n")).alias("id"), "lines"), p)
     everywhere = F.size("firsts") == F.size("hashes")
-    found = written(found.select("id.id", F.col("id.n").alias("n"), "hashes", F.when(~everywhere, F.col("firsts")).alias("firsts")), "line-windows")
+    found = written(found.select("id.id", F.col("id.n").alias("n"), "hashes", F.when(~everywhere, F.col("firsts")).alias("firsts"), "own"), "line-windows")
     rows = found.select("id", F.inline(F.expr(
         "transform(coalesce(firsts, if(size(hashes) = 0, cast(array() as array<int>), sequence(0, size(hashes) - 1))), "
         "q -> named_struct('pos', q, 'w', hashes[q]))")))
     first = rows.groupBy("w").agg(F.min("id").alias("first"), F.max("id").alias("last")).where("first < last").select("w", "first")
     first = written(first, "line-firsts")
     later = maybe_among(rows, first).join(first, "w").where("id > first").groupBy("id").agg(F.collect_set("pos").alias("at"))
-    per_id = found.groupBy("id").agg(F.count("*").alias("rows"), F.max("n").alias("lines"), F.max(F.col("firsts").isNotNull()).alias("again"))
+    per_id = found.groupBy("id").agg(F.count("*").alias("rows"), F.max("n").alias("lines"), F.max("own").alias("own"))
     marks = written(per_id.where("id is not null").join(later, "id", "left"), "line-marks")
     discard(found, first)
     return marks
@@ -140,18 +141,21 @@ def dedup_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     marks = covered_texts(slim, p).withColumnRenamed("lines", "known")
     joined = src.join(marks, "id", "left")
     # rows without an id are known only by what they repeat themselves, rows that share one not one by one
-    touched = F.col("at").isNotNull() | F.coalesce("again", F.lit(True)) | (F.col("rows") > 1)
+    joined = joined.withColumn("own", F.when(F.col("rows") == 1, F.col("own")))
+    touched = F.col("at").isNotNull() | F.col("own").isNull() | (F.size("own") > 0)
     text = F.coalesce(F.col(f"row.{text_col}"), F.lit(""))
-    joined = joined.select("row", "at", F.when(~touched, F.col("known")).alias("known"),
+    joined = joined.select("row", "at", F.when(~touched, F.col("known")).alias("known"), F.col("own").alias("found"),
                            F.when(touched, lines_of(text, p)).otherwise(F.array().cast("array<string>")).alias("lines"))
     return _without(joined, own, text_col, p)
 
 
 def _without(joined: DataFrame, own: list[str], text_col: str, p: LineDedup) -> DataFrame:
-    """Cuts the covered spans out: spans are runs of covered lines, found from their ends."""
-    inner = windows(joined.select(F.struct("row", "at", "known", "lines").alias("id"), "lines"), p)
+    """Cuts the covered spans out: spans are runs of covered lines, found from their ends. Windows are
+    hashed again only for the rows whose own repeats are not known yet."""
+    unknown = F.when(F.col("found").isNull(), F.col("lines")).otherwise(F.array().cast("array<string>"))
+    inner = windows(joined.select(F.struct("row", "at", "known", "found", "lines").alias("id"), unknown.alias("lines")), p)
     covered = inner.select("id.*", F.expr(
-        f"array_sort(array_distinct(flatten(transform(concat(own, coalesce(at, cast(array() as array<int>))), q -> sequence(q, q + {p.window - 1})))))").alias("c"))
+        f"array_sort(array_distinct(flatten(transform(concat(coalesce(id.found, own), coalesce(id.at, cast(array() as array<int>))), q -> sequence(q, q + {p.window - 1})))))").alias("c"))
     spans = covered.select("row", "known", "lines", F.expr(
         "arrays_zip(filter(c, (q, i) -> i = 0 or c[i - 1] <> q - 1), filter(c, (q, i) -> i = size(c) - 1 or c[i + 1] <> q + 1))").alias("z"))
     words = F.expr("transform(z, s -> named_struct('a', s['0'], 'b', s['1'], 't', array_join(slice(lines, s['0'] + 1, s['1'] - s['0'] + 1), '')))")

@@ -2,7 +2,7 @@ import duckdb
 import pytest
 from pyspark.sql import functions as F
 
-from barlake.llm.line_dedup import LineDedup, dedup_lines
+from barlake.llm.line_dedup import LineDedup, covered_texts, dedup_lines
 from barlake.llm.q_line_dedup import ORACLES, op1_line_dedup
 
 SF = "/root/testdata/sf0.01"
@@ -71,3 +71,19 @@ def test_the_filter_keeps_every_listed_hash(spark):
     kept = {r.id for r in maybe_among(rows, listed).collect()}
     assert kept >= set(range(20_000)) and len(kept) < 20_000 + 400
     assert maybe_among(rows, listed.limit(0)).count() == 0
+
+
+def test_own_repeats_are_found_once(spark):
+    """With the marks of single rows the last pass need not hash their windows again."""
+    three = "a one. b two. c three. "
+    rows = [(1, three + "d. " + three), (2, "x. y. z. v."), (3, three), (3, three + three), (None, three + three)]
+    marks = {r.id: r for r in covered_texts(spark.createDataFrame(rows, "id bigint, text string"), LineDedup()).collect()}
+    assert set(marks) == {1, 2, 3} and list(marks[1].own) == [4] and marks[1].at is None and marks[1].rows == 1
+    assert list(marks[2].own) == [] and marks[2].at is None and marks[3].rows == 2 and sorted(marks[3].at)[0] == 0
+
+
+def test_rows_of_one_id_lose_only_what_each_repeats(spark):
+    twice = PASSAGE + " In between. " + PASSAGE
+    rows = [(5, twice), (5, PASSAGE), (None, twice), (7, twice.replace("word", "other").replace("tail", "more"))]
+    got = sorted((str(r.doc_id), r.n_removed > 0, len(r.text)) for r in dedup_lines(spark.createDataFrame(rows, "doc_id bigint, text string")).collect())
+    assert [g[:2] for g in got] == [("5", False), ("5", True), ("7", True), ("None", True)] and got[0][2] == len(PASSAGE)
