@@ -51,7 +51,8 @@ def cut(n: int, p: Packing) -> list[int]:
 
 
 class UnitIds(dict):
-    """unit -> row of a ragged table of token ids; unknown units are encoded together."""
+    """unit -> row of a ragged table of token ids; unknown units are encoded together. Beyond `limit`
+    units, those that came again after they were learnt stay, unless they are half the limit themselves."""
 
     def __init__(self, vocabulary: str, limit: int = 500_000):
         super().__init__()
@@ -66,6 +67,18 @@ class UnitIds(dict):
         self.clear()
         self.flat, self.used = np.zeros(1 << 16, np.int32), 0
         self.start, self.size = np.zeros(1 << 14, np.int64), np.zeros(1 << 14, np.int64)
+        self.again = np.zeros(1 << 14, bool)
+
+    def _forget(self):
+        kept = np.flatnonzero(self.again[:len(self)])
+        if len(kept) > self.limit // 2:
+            return self._begin()
+        units, size = list(self), self.size[kept]
+        ends = np.cumsum(size)
+        flat = self.flat[np.repeat(self.start[kept] - ends + size, size) + np.arange(int(size.sum()))]
+        self._begin()
+        self.update((units[row], i) for i, row in enumerate(kept.tolist()))
+        self._append(flat, size)
 
     def __missing__(self, unit: str) -> int:
         row = self[unit] = len(self)
@@ -73,17 +86,22 @@ class UnitIds(dict):
         return row
 
     def _learn(self):
-        flat, size = self._encoded(self.unknown)
+        self._append(*self._encoded(self.unknown))
+        self.unknown = []
+
+    def _append(self, flat: np.ndarray, size: np.ndarray):
+        """The ids of the last len(size) units."""
         first, total = len(self) - len(size), len(flat)
         while len(self) > len(self.start):
-            self.start, self.size = np.resize(self.start, 2 * len(self.start)), np.resize(self.size, 2 * len(self.size))
+            n = 2 * len(self.start)
+            self.start, self.size, self.again = (np.resize(x, n) for x in (self.start, self.size, self.again))
         while self.used + total > len(self.flat):
             self.flat = np.resize(self.flat, 2 * len(self.flat))
         self.size[first:len(self)] = size
         self.start[first:len(self)] = self.used + np.cumsum(size) - size
+        self.again[first:len(self)] = False
         self.flat[self.used:self.used + total] = flat
         self.used += total
-        self.unknown = []
 
     def _encoded(self, units: list[str], run: int = 512) -> tuple[np.ndarray, np.ndarray]:
         """All ids of the units, one after another, and the number of each unit's.
@@ -104,19 +122,20 @@ class UnitIds(dict):
         """Token ids of all texts, one after another, each with ``end_id`` behind it, and where each
         ends: one gather for the whole batch."""
         if len(self) > self.limit:
-            self._begin()
-        get, odd, rows, lengths = self.__getitem__, {}, [], []
+            self._forget()
+        get, odd, rows, lengths, known = self.__getitem__, {}, [], [], len(self)
         for i, text in enumerate(texts):
             if any(s in text for s in self.special):  # a special string in the text is the library's own business
                 odd[i] = np.array(self.lib.encode(text, add_special_tokens=False).ids, np.int32)
                 lengths.append(0)
             else:
-                found = list(map(get, UNIT.findall(text)))
-                rows.append(np.array(found, np.int64))
-                lengths.append(len(found))
+                units = UNIT.findall(text)
+                rows.append(np.fromiter(map(get, units), np.int64, len(units)))
+                lengths.append(len(units))
         if self.unknown:
             self._learn()
         row = np.concatenate(rows) if rows else np.zeros(0, np.int64)
+        self.again[row[row < known]] = True
         size = self.size[row]
         ends = np.cumsum(size)
         flat = self.flat[np.repeat(self.start[row] - ends + size, size) + np.arange(int(ends[-1]) if len(ends) else 0)]

@@ -17,7 +17,7 @@ LETTERS = "A-Za-zÀ-ÖØ-öø-ÿ"
 #: A unit is an optional blank and a run without white space, or a white-space run cut as
 #: PATTERN cuts it; plain letters before a mark are a unit of their own. No pre-token crosses
 #: a unit, so a unit's tokens do not depend on its text.
-UNIT = re.compile(f" ?[{LETTERS}]++(?=[.,;:!?])| ?[^{WHITE}]+|[{WHITE}]+(?![^{WHITE}])|[{WHITE}]+")
+UNIT = re.compile(f" ?(?:[{LETTERS}]++(?![^.,;:!?{WHITE}])|[^{WHITE}]+)|[{WHITE}]+(?![^{WHITE}])|[{WHITE}]+")
 #: A unit that is one pre-token at sight.
 PLAIN = re.compile(f" ?[{LETTERS}]+").fullmatch
 PRETOKEN = regex.compile(PATTERN)

@@ -70,3 +70,17 @@ def test_cut_and_memory_of_units():
     texts += ["a <|endoftext|> b", "", "<|endoftext|>"]
     flat, stops = units.encode(texts, 1)
     assert [x.tolist() for x in np.split(flat, stops[:-1])] == library(texts)
+
+
+def test_units_that_come_again_are_learnt_once():
+    units, learnt = UnitIds(PATH, limit=100), []
+    encoded = units._encoded
+    units._encoded = lambda new: learnt.extend(new) or encoded(new)
+    texts = [f" often again{'' if i % 2 else '!'} " + " ".join(f"rare{chr(97 + i // 26)}{chr(97 + i % 26)}{chr(97 + j)}" for j in range(20)) for i in range(60)]
+    for text, want in zip(texts, library(texts)):
+        flat, stops = units.encode([text], 1)
+        assert flat.tolist() == want and stops.tolist() == [len(want)]
+    assert learnt.count(" often") == learnt.count(" again") == 1 and len(units) < 130
+    units.again[:] = True  # too many to keep: begun anew
+    assert units.encode([" ".join(texts)], 1)[0].tolist() == library([" ".join(texts)])[0]
+    assert units.encode([texts[3]], 1)[0].tolist() == library([texts[3]])[0]
