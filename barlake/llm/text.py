@@ -94,9 +94,14 @@ _TRIM = getattr(ctypes.CDLL(None), "malloc_trim", None)  # where the C library h
 
 
 def _let_go() -> None:
-    """Freed memory goes back to the system: a worker's next operator finds it there, and so do the
-    other processes of its executor."""
+    """A worker's next operator finds the memory of the former one, and so do the other processes of
+    its executor."""
     _HELD.clear()
+    give_back()
+
+
+def give_back() -> None:
+    """Memory that this process has freed goes back to the system."""
     gc.collect()
     pa.default_memory_pool().release_unused()
     if _TRIM:

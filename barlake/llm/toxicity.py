@@ -21,7 +21,7 @@ import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame, functions as F
 
-from barlake.llm.text import held, release, slices, tune
+from barlake.llm.text import give_back, held, release, slices, tune
 from barlake.session import written
 
 EDGE = ".,;:!?\"'()[]{}<>*#-_|"
@@ -128,11 +128,8 @@ class Net:
 
 def train(texts: list[np.ndarray], labels: np.ndarray, p: ToxicNet) -> Net:
     """texts: for each training text the (words, 3) hashes of its words."""
-    texts_with: dict[int, int] = {}
-    for t in texts:
-        for h in np.unique(t).tolist():
-            texts_with[h] = texts_with.get(h, 0) + 1
-    net = Net(np.array([h for h, n in texts_with.items() if n >= p.least_texts and h], np.int64), p)
+    ids, texts_with = np.unique(np.concatenate([np.zeros(0, np.uint32), *map(np.unique, texts)]), return_counts=True)
+    net = Net(ids[(texts_with >= p.least_texts) & (ids != 0)], p)
     if not len(texts) or len(set(labels.tolist())) < 2:
         net.prior = np.float32(-4 if not labels.sum() else 4)
         return net
@@ -218,9 +215,14 @@ def fit(docs: DataFrame, labels: DataFrame, id_col: str, text_col: str, label_co
     rows = rows.groupBy("id", "label").agg(F.min_by("text", F.struct(F.xxhash64("text"), "text")).alias("text"))
     kind = rows.schema["id"].dataType.simpleString()
     found = (rows.select("id", "label", "text").mapInArrow(_hashing(p.affix), f"id {kind}, label int, hashes binary").toArrow())
-    found = found.take(pa.array(np.argsort(np.array([str(x) for x in found["id"].to_pylist()]), kind="stable")))
-    arrays = [np.frombuffer(b, np.uint32).reshape(-1, 3) for b in found["hashes"].to_pylist()]
-    return train(arrays, np.array(found["label"].to_pylist(), np.int64), p)
+    order = np.argsort(np.array([str(x) for x in found["id"].to_pylist()]), kind="stable").tolist()
+    labelled = np.array(found["label"].to_pylist(), np.int64)[order]
+    hashes = found["hashes"].to_pylist()
+    del found
+    net = train([np.frombuffer(hashes[i], np.uint32).reshape(-1, 3) for i in order], labelled, p)
+    del hashes
+    give_back()  # the driver lives on, and other operators with it
+    return net
 
 
 def _scoring(shared, key: int, p: ToxicNet):

@@ -1,10 +1,11 @@
+import tracemalloc
 import zlib
 
 import numpy as np
 from pyspark.sql import functions as F
 
 from barlake.llm.q_toxicity import op2_toxicity
-from barlake.llm.toxicity import Net, ToxicNet, Words, score, thresholds, toxicity
+from barlake.llm.toxicity import Net, ToxicNet, Words, score, thresholds, toxicity, train
 
 SF = "/root/testdata/sf0.1"
 QUICK = ToxicNet(steps=40, sample=200)
@@ -62,3 +63,13 @@ def test_odd_tables(spark):
     assert all(0 <= r.score <= 1 for r in got)
     assert toxicity(df.limit(0), labels, params=QUICK).count() == 0
     assert {r.predicted for r in toxicity(df, labels.limit(0), params=QUICK).collect()} == {0}
+
+
+def test_training_counts_hashes_in_little_memory():
+    """The driver trains: no Python object for each distinct hash."""
+    texts = [np.arange(i * 3000, (i + 1) * 3000, dtype=np.uint32).reshape(-1, 3) for i in range(200)] + [np.arange(30, dtype=np.uint32).reshape(-1, 3)] * 2
+    tracemalloc.start()
+    net = train(texts, np.arange(202) % 2, ToxicNet(steps=0))
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert net.ids.tolist() == list(range(1, 30)) and peak < 40e6
