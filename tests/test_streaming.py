@@ -80,6 +80,20 @@ def test_queries_run_in_a_session_with_sparks_own_state_store(spark, tmp_path, n
     assert plain.conf.get(key) == own
 
 
+def test_operators_run_on_sparks_own_state_store(spark, tmp_path):
+    plain = spark.newSession()
+    plain.conf.set("spark.sql.streaming.stateStore.providerClass", "org.apache.spark.sql.execution.streaming.state.HDFSBackedStateStoreProvider")
+    bar = lambda k, h, close: (k, START + dt.timedelta(hours=h), 1.0, 2.0, 0.5, close, 1.0)
+    first = [bar("a", 2, 3.0), bar("a", 0, 1.0), bar("c", 3, 5.0), bar("b", 5, 8.0)]
+    second = [bar("a", 1, 2.0), bar("a", 2, 9.0), bar("a", 4, 4.0)]  # behind the watermark of hour 3; again; in time
+    got = run(plain, [first, second], lambda s: ZO.stream_ema(s, 2, "2 hours"), tmp_path)
+    rows = sorted((r.stock_code, (r.date - START).total_seconds() / 3600, r.close, bool(r.late), r.ema_2) for r in got.itertuples())
+    assert str(rows) == str([("a", 0.0, 1.0, False, float("nan")), ("a", 1.0, 2.0, True, float("nan")), ("a", 2.0, 3.0, False, 2.0),
+                             ("a", 2.0, 9.0, True, float("nan")), ("c", 3.0, 5.0, False, float("nan"))])  # c's only bar lies at the watermark
+    old = [(k, d.replace(year=1969), *r) for k, d, *r in first]  # before the clock's zero a bar is late, not an error
+    assert run(plain, [old], lambda s: ZO.stream_ema(s, 2, "2 hours"), tmp_path / "old").late.all()
+
+
 @pytest.mark.parametrize("processor", [ZO.WilderRsi(5), ZO.Ema(5), ZO.LookBack(5)])
 def test_processors_load_where_the_package_is_not_importable(tmp_path, processor):
     (tmp_path / "p").write_bytes(cloudpickle.dumps(processor))
