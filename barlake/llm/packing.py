@@ -19,11 +19,12 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, functions as F
 from tokenizers import Tokenizer
 
-from barlake.llm.pretokens import UNIT, read_vocabulary
+from barlake.llm.pretokens import read_vocabulary, unit_cuts
 from barlake.llm.text import held, offsets_of, slices, tune
 from barlake.session import written
 
@@ -118,28 +119,33 @@ class UnitIds(dict):
         ends = np.flatnonzero(ids == self.lib.token_to_id(mark))
         return np.delete(ids, ends), np.diff(ends, prepend=-1) - 1
 
-    def encode(self, texts: list[str], end_id: int) -> tuple[np.ndarray, np.ndarray]:
+    def encode(self, texts: pa.Array | list[str], end_id: int) -> tuple[np.ndarray, np.ndarray]:
         """Token ids of all texts, one after another, each with ``end_id`` behind it, and where each
-        ends: one gather for the whole batch."""
+        ends: one gather for the whole batch. Each different unit of the batch is looked up once."""
         if len(self) > self.limit:
             self._forget()
-        get, odd, rows, lengths, known = self.__getitem__, {}, [], [], len(self)
-        for i, text in enumerate(texts):
-            if any(s in text for s in self.special):  # a special string in the text is the library's own business
-                odd[i] = np.array(self.lib.encode(text, add_special_tokens=False).ids, np.int32)
-                lengths.append(0)
-            else:
-                units = UNIT.findall(text)
-                rows.append(np.fromiter(map(get, units), np.int64, len(units)))
-                lengths.append(len(units))
+        column = texts if isinstance(texts, pa.Array) else pa.array(texts, pa.string())
+        odd, known = {}, len(self)
+        for s in self.special:  # a special string in the text is the library's own business
+            there = pc.match_substring(column, s)
+            for i in np.flatnonzero(there.to_numpy(zero_copy_only=False)).tolist():
+                odd[i] = np.array(self.lib.encode(column[i].as_py(), add_special_tokens=False).ids, np.int32)
+            if odd:
+                column = pc.if_else(there, pa.scalar("", column.type), column)
+        starts = offsets_of(column)
+        data = np.frombuffer(column.buffers()[2] or b"", np.uint8)[starts[0]:starts[-1]]
+        starts -= starts[0]
+        cuts = unit_cuts(data, starts)
+        units = pa.StringArray.from_buffers(len(cuts) - 1, pa.py_buffer(cuts.astype(np.int32)), pa.py_buffer(data)).dictionary_encode()
+        rows = np.fromiter(map(self.__getitem__, units.dictionary.to_numpy(zero_copy_only=False)), np.int64, len(units.dictionary))
         if self.unknown:
             self._learn()
-        row = np.concatenate(rows) if rows else np.zeros(0, np.int64)
-        self.again[row[row < known]] = True
+        self.again[rows[rows < known]] = True
+        row = rows[units.indices.to_numpy()]
         size = self.size[row]
         ends = np.cumsum(size)
         flat = self.flat[np.repeat(self.start[row] - ends + size, size) + np.arange(int(ends[-1]) if len(ends) else 0)]
-        upto = np.concatenate([[0], ends])[np.cumsum(lengths)]  # ids up to each text, odd ones left out
+        upto = np.concatenate([[0], ends])[np.searchsorted(cuts, starts[1:])]  # ids up to each text, odd ones left out
         flat = np.insert(flat, upto, np.int32(end_id))
         stops = upto + np.arange(1, len(texts) + 1)
         if odd:
@@ -218,9 +224,9 @@ def _first_round(vocabulary: str, p: Packing):
     def run(batches):
         units = held(("packing", vocabulary), lambda: UnitIds(vocabulary))
         bins, id_type = Bins(TaskContext.get().partitionId(), p), pa.int64()
-        for batch in slices(batches, "text", 1 << 20):
+        for batch in slices(batches, "text", 2 << 20):
             id_type = batch.column(0).type
-            flat, stops = units.encode(batch.column(1).to_pylist(), p.end_id)
+            flat, stops = units.encode(batch.column(1), p.end_id)
             data, begin = memoryview(flat.astype("<i4", copy=False)).cast("B"), 0
             for doc, stop in zip(batch.column(0).to_pylist(), stops.tolist()):
                 total, start = stop - begin, 0

@@ -1,8 +1,10 @@
+import random
 import zlib
 
 import duckdb
 import numpy as np
 import public_tokenizers
+import pyarrow as pa
 from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
@@ -84,3 +86,23 @@ def test_units_that_come_again_are_learnt_once():
     units.again[:] = True  # too many to keep: begun anew
     assert units.encode([" ".join(texts)], 1)[0].tolist() == library([" ".join(texts)])[0]
     assert units.encode([texts[3]], 1)[0].tolist() == library([texts[3]])[0]
+
+
+def test_a_batch_is_cut_at_once_and_looks_each_unit_up_once():
+    class Counted(UnitIds):
+        looked_up = 0
+
+        def __getitem__(self, unit):
+            self.looked_up += 1
+            return super().__getitem__(unit)
+
+    units = Counted(PATH)
+    assert np.split(units.encode([" same words." * 500, " same words."], 1)[0], [1500])[0].tolist() == library([" same words." * 500])[0][:-1]
+    assert units.looked_up == 3
+    rng, units = random.Random(4), UnitIds(PATH, limit=2000)
+    parts = [*" \n\t\x0b\x85\xa0     　\x1c.,;:!?'-aZÀ×ß÷ÿ", "'s", "it's", " word", "  ", "é", "日本", "ま。", "’", "12", "🙂", "<|endoftext|>"]
+    for _ in range(200):
+        texts = ["", *("".join(rng.choices(parts, k=rng.choice([0, 1, 2, 3, 8, 40]))) for _ in range(20))]
+        column = pa.array(["cut off", *texts], rng.choice([pa.string(), pa.large_string()])).slice(1)
+        flat, stops = units.encode(column, 1)
+        assert [x.tolist() for x in np.split(flat, stops[:-1])] == library(texts)
